@@ -109,12 +109,10 @@ def likelihood_rows(model):
     return run
 
 
-def normalized(scores: list[Column]) -> list[Column]:
-    """Probabilities of log scores."""
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    e = [F.exp(s - top) for s in scores]
-    total = sum(e[1:], e[0])
-    return [x / total for x in e]
+def shares(scores: Column) -> Column:
+    """Probabilities of an array of log scores."""
+    e = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, v: a + v))
 
 
 def identify(rows: DataFrame, suffix_languages: dict[str, str] | None = None) -> DataFrame:
@@ -131,8 +129,8 @@ def identify(rows: DataFrame, suffix_languages: dict[str, str] | None = None) ->
         return scored.select(*base, F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), "n_grams", enough.alias("accepted"))
     some = range(len(langs))
     ll = [F.col("ll")[k] for k in some]
-    soft = scored.filter(enough).select("host", "suffix", *[p.alias(f"p{k}") for k, p in zip(some, normalized(ll))])
-    sums = [F.sum(f"p{k}").alias(f"s{k}") for k in some]
+    soft = scored.filter(enough).select("host", "suffix", shares(F.col("ll")).alias("p"))
+    sums = [F.sum(F.col("p")[k]).alias(f"s{k}") for k in some]
     by_host = C.materialize(soft.groupBy("host", "suffix").agg(F.count("*").alias("n"), *sums), "language-hosts")
     whole = by_host.agg(F.sum("n"), *[F.sum(f"s{k}") for k in some]).first()
     corpus = [((whole[k + 1] or 0.0) + 1) / ((whole[0] or 0) + len(langs)) for k in some]
@@ -157,11 +155,13 @@ def identify(rows: DataFrame, suffix_languages: dict[str, str] | None = None) ->
                 p = SUFFIX if lang == langs[k] else (1 - SUFFIX) / max(1, len(langs) - 1)
                 s = s + F.when(F.col("suffix") == suffix, float(np.log(p))).otherwise(0.0)
         score.append(s)
-    best = F.array_max(F.array(*[F.struct(p.alias("p"), F.lit(lang).alias("lang")) for p, lang in zip(normalized(score), langs)]))
-    out = rows2.select(*base, "n_grams", best.alias("best"))
-    return out.select(*base, F.when(enough, F.col("best.lang")).otherwise("und").alias("language"),
-                      F.when(enough, F.col("best.p")).otherwise(0.0).alias("posterior"), "n_grams",
-                      (enough & (F.col("best.p") >= ACCEPT)).alias("accepted"))
+    out = rows2.select(*base, "n_grams", F.array(*score).alias("s"))
+    top = F.array_max("s")
+    sure = 1 / F.aggregate(F.transform("s", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, v: a + v)
+    best = F.element_at(F.array(*map(F.lit, langs)), F.array_position("s", top).cast("int"))
+    out = out.select(*base, "n_grams", sure.alias("p"), best.alias("lang"))
+    return out.select(*base, F.when(enough, F.col("lang")).otherwise("und").alias("language"),
+                      F.when(enough, F.col("p")).otherwise(0.0).alias("posterior"), "n_grams", (enough & (F.col("p") >= ACCEPT)).alias("accepted"))
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
