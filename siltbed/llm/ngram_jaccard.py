@@ -6,8 +6,9 @@
    frequent ones has a fixed size and only steers speed. Prefix entries travel as packed blocks.
 3. Classes that meet at a prefix shingle join the group of the smallest class there. Each group runs a dual
    traversal of a signature tree: nodes hold OR-combined token bitmaps and size ranges, and a pair of nodes is
-   pruned by its largest possible overlap, its sizes, or because all its members are linked already. Leaves compare
-   the whole sets. A group beyond ``GROUP`` members is dealt as pairs of blocks, so that no task holds it.
+   pruned by its largest possible overlap, its sizes, or because all its members are joined already. The first
+   traversal has signatures only and leaves groups of classes that may link; the second has the whole sets of those
+   and compares them at its leaves. A group beyond ``GROUP`` members is dealt as pairs of blocks, so that no task holds it.
 4. Links (a spanning set of each group) give components.
 
 Nulls and empty texts have no shingles and link with nothing; a text with fewer words than the width has its whole
@@ -41,6 +42,13 @@ def set_signature(u: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def token_bits(u: np.ndarray) -> np.ndarray:
+    """The packed bitmap of a set."""
+    row = np.zeros(BITS, bool)
+    row[(C.mix(u) >> np.uint64(52)).astype(np.int64) % BITS] = True
+    return np.packbits(row)
+
+
 def heavy_shingles(docs: DataFrame, width: int, separator: np.ndarray) -> np.ndarray:
     """The most frequent shingles by document count, over all documents; sorted, ``HEAVY`` at most."""
 
@@ -85,12 +93,12 @@ def member_rows(width: int, threshold: int, separator: np.ndarray, heavy, parts:
             names, at = np.unique(part[order], return_index=True)
             blobs = [packed[a:b].tobytes() for a, b in zip(at, [*at[1:], len(order)])]
             nulls = pa.nulls(len(names), pa.int64())
-            return pa.RecordBatch.from_arrays([nulls, nulls, nulls, nulls, nulls, pa.array(names), pa.array(blobs, pa.binary())], names=NAMES)
+            return pa.RecordBatch.from_arrays([nulls, nulls, nulls, nulls, nulls, pa.nulls(len(names), pa.binary()), pa.array(names), pa.array(blobs, pa.binary())], names=NAMES)
 
         for batch in batches:
             for part, data, offsets in C.slices(batch):
                 h, bounds = C.batch_shingles(data, offsets, width, separator)
-                n_of, s1_of, s2_of = [], [], []
+                n_of, s1_of, s2_of, bits_of = [], [], [], []
                 for i in range(part.num_rows):
                     u = np.unique(h[bounds[i]:bounds[i + 1]])
                     n = len(u)
@@ -98,8 +106,10 @@ def member_rows(width: int, threshold: int, separator: np.ndarray, heavy, parts:
                     n_of.append(n)
                     s1_of.append(s1)
                     s2_of.append(s2)
+                    bits_of.append(None)
                     if n and (s1, s2) not in seen:
                         seen.add((s1, s2))
+                        bits_of[-1] = token_bits(u).tobytes()
                         if len(frequent):
                             last = frequent[np.minimum(np.searchsorted(frequent, u), len(frequent) - 1)] == u
                             u = np.concatenate([u[~last], u[last]])
@@ -112,7 +122,7 @@ def member_rows(width: int, threshold: int, separator: np.ndarray, heavy, parts:
                             seen.clear()
                 yield pa.RecordBatch.from_arrays([
                     part.column(part.schema.get_field_index("k2")), part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()),
-                    pa.array(n_of, pa.int64()), pa.array(s1_of, pa.int64()), pa.array(s2_of, pa.int64()),
+                    pa.array(n_of, pa.int64()), pa.array(s1_of, pa.int64()), pa.array(s2_of, pa.int64()), pa.array(bits_of, pa.binary()),
                     pa.nulls(part.num_rows, pa.int64()), pa.nulls(part.num_rows, pa.binary())], names=NAMES)
         if prefixes:
             yield flush()
@@ -120,8 +130,8 @@ def member_rows(width: int, threshold: int, separator: np.ndarray, heavy, parts:
     return run
 
 
-NAMES = ["k2", "doc_id", "n", "s1", "s2", "part", "entries"]
-MEMBERS = "k2 long, doc_id long, n long, s1 long, s2 long, part long, entries binary"
+NAMES = ["k2", "doc_id", "n", "s1", "s2", "bits", "part", "entries"]
+MEMBERS = "k2 long, doc_id long, n long, s1 long, s2 long, bits binary, part long, entries binary"
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +163,7 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class SignatureTree:
     """Members in order of size; a level's nodes cover ``FAN`` of the level below each."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        sizes = np.array([len(s) for s in sets])
-        bits = np.zeros((len(sets), BITS // 8), np.uint8)
-        for i, s in enumerate(sets):
-            at = (C.mix(s) >> np.uint64(52)).astype(np.int64) % BITS
-            row = np.zeros(BITS, bool)
-            row[at] = True
-            bits[i] = np.packbits(row)
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray):
         twice = sizes - np.bitwise_count(bits).sum(axis=1)
         self.levels = [(bits, sizes, sizes, twice)]
         while len(self.levels[-1][0]) > 1:
@@ -181,9 +183,12 @@ class SignatureTree:
         return ok
 
 
-def links_of(sets: list[np.ndarray], blocks: list[int], cross: bool, threshold: int) -> list[tuple[int, int]]:
-    """Spanning links among the members (sorted by size); ``cross`` compares different blocks only."""
-    tree, parent = SignatureTree(sets), list(range(len(sets)))
+def links_of(bits: np.ndarray, sizes: np.ndarray, blocks: list[int], threshold: int, sets: list[np.ndarray] | None) -> list[tuple[int, int]]:
+    """Spanning links among members in order of size; without ``sets``, of pairs that their signatures let pass.
+
+    Where the members are of two blocks, only pairs across them are compared."""
+    tree, parent = SignatureTree(bits, sizes), list(range(len(sizes)))
+    cross = len(set(blocks)) > 1
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -197,7 +202,7 @@ def links_of(sets: list[np.ndarray], blocks: list[int], cross: bool, threshold:
         level, i, j = stack.pop()
         if level:
             span = FAN ** level
-            below = {find(k) for base in {i, j} for k in range(base * span, min(len(sets), base * span + span))}
+            below = {find(k) for base in {i, j} for k in range(base * span, min(len(sizes), base * span + span))}
             if len(below) == 1:  # all of them are linked already
                 continue
             n = len(tree.levels[level - 1][0])
@@ -208,6 +213,10 @@ def links_of(sets: list[np.ndarray], blocks: list[int], cross: bool, threshold:
             continue
         if i == j or cross and blocks[i] == blocks[j] or find(i) == find(j):
             continue
+        if sets is None:
+            parent[find(i)] = find(j)
+            found.append((i, j))
+            continue
         a, b = sets[i], sets[j]
         both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
         if 100 * both >= threshold * (len(a) + len(b) - both):
@@ -216,37 +225,82 @@ def links_of(sets: list[np.ndarray], blocks: list[int], cross: bool, threshold:
     return found
 
 
-def group_links(threshold: int):
-    """A function for mapInArrow over rows (leader, bi, bj, block, node, entries) in order of group."""
-
-    def close(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        rows = [(np.frombuffer(s, np.uint64), block, node) for block, node, s in rows]
-        rows.sort(key=lambda r: len(r[0]))
-        found = links_of([r[0] for r in rows], [r[1] for r in rows], rows and len({r[1] for r in rows}) > 1, threshold)
-        return [rows[i][2] for i, _ in found], [rows[j][2] for _, j in found]
+def signature_groups(rows: list[tuple], threshold: int) -> tuple[list[int], list[int]]:
+    """(leader, member) of the classes of a group that may link; rows are (block, s1, (n, bits))."""
+    rows.sort(key=lambda r: r[2][0])
+    bits = np.stack([np.frombuffer(r[2][1], np.uint8) for r in rows])
+    found = links_of(bits, np.array([r[2][0] for r in rows]), [r[0] for r in rows], threshold, None)
+    near: dict[int, list[int]] = {}
+    for i, j in found:
+        near.setdefault(i, []).append(j)
+        near.setdefault(j, []).append(i)
+    leaders, members, seen = [], [], set()
+    for i in near:
+        if i not in seen:
+            seen.add(i)
+            some, stack = [], [i]
+            while stack:
+                x = stack.pop()
+                some.append(rows[x][1])
+                for y in near[x]:
+                    if y not in seen:
+                        seen.add(y)
+                        stack.append(y)
+            leaders += [min(some)] * len(some)
+            members += some
+    return leaders, members
+
+
+def set_links(rows: list[tuple], threshold: int) -> tuple[list[int], list[int]]:
+    """Links of a group; rows are (block, node, (whole set,))."""
+    rows = sorted(((b, node, np.frombuffer(s[0], np.uint64)) for b, node, s in rows), key=lambda r: len(r[2]))
+    sets = [r[2] for r in rows]
+    found = links_of(np.stack([token_bits(s) for s in sets]), np.array([len(s) for s in sets]), [r[0] for r in rows], threshold, sets)
+    return [rows[i][1] for i, _ in found], [rows[j][1] for _, j in found]
+
+
+def by_group(work, threshold: int):
+    """A function for mapInArrow over rows (leader, bi, bj, block, member, payload ...) in order of group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            leader, bi, bj, block, node = (batch.column(k).to_pylist() for k in range(5))
+            leader, bi, bj, block, member = (batch.column(k).to_pylist() for k in range(5))
+            payload = list(zip(*(batch.column(k).to_pylist() for k in range(5, batch.num_columns))))
             a, b = [], []
-            for k, s in enumerate(batch.column(5)):
+            for k in range(batch.num_rows):
                 key = (leader[k], bi[k], bj[k])
                 if key != now and rows:
-                    x, y = close(rows)
-                    a += x
-                    b += y
+                    if len(rows) > 1:
+                        x, y = work(rows, threshold)
+                        a += x
+                        b += y
                     rows = []
                 now = key
-                rows.append((block[k], node[k], s.as_py()))
+                rows.append((block[k], member[k], payload[k]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        if rows:
-            a, b = close(rows)
+        if len(rows) > 1:
+            a, b = work(rows, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def dealt_groups(groups: DataFrame, label: str) -> DataFrame:
+    """(leader, bi, bj, block, s1) of (leader, member) pairs, the leader being a member too.
+
+    A large group is cut into blocks, and each pair of blocks is a group of its own."""
+    sizes = groups.groupBy("leader").agg((F.floor(F.count("*") / GROUP) + 1).alias("g"))
+    return (groups.join(C.materialize(sizes, label), "leader")
+            .withColumn("block", F.pmod(F.hash("member"), F.col("g")))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+            .select("leader", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", F.col("member").alias("s1")))
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition("leader", "bi", "bj").sortWithinPartitions("leader", "bi", "bj")
+
+
 def set_rows(width: int, separator: np.ndarray):
     """A function for mapInArrow: the whole sets of the rows whose signature is the one expected."""
 
@@ -276,24 +330,22 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: int = 80, separat
     heavy = spark.sparkContext.broadcast(heavy_shingles(docs, width, separator))
     parts = C.pieces(spark, C.total_bytes(docs) * (100 - threshold) // 600, ENTRIES)
     stage = C.materialize(keyed.mapInArrow(member_rows(width, threshold, separator, heavy, parts), MEMBERS), "jaccard-members")
-    members = stage.filter("part is null").drop("part", "entries")
+    members = stage.filter("part is null").select("k2", "doc_id", "n", "s1", "s2", "bits")
     packed = stage.filter("part is not null").select("part", "entries")
     edges = packed.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "leader long, member long").distinct()
     edges = C.materialize(edges, "jaccard-meet")
-    leaders = edges.groupBy("leader").agg((F.floor(F.count("*") / GROUP) + 1).alias("g"))
-    shared = edges.select("leader", "member").unionByName(edges.select("leader", F.col("leader").alias("member")).distinct())
-    dealt = (C.materialize(shared, "jaccard-shared").join(C.materialize(leaders, "jaccard-leaders"), "leader")
-             .withColumn("block", F.pmod(F.hash("member"), F.col("g")))
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-             .select("leader", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", F.col("member").alias("s1")))
-    classes = C.materialize(members.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id"), F.min("k2").alias("node")), "jaccard-classes")
-    wanted = edges.select(F.col("leader").alias("s1")).unionByName(edges.select(F.col("member").alias("s1"))).distinct()
-    wanted = C.materialize(classes.join(wanted, "s1", "left_semi").select("node", "s1", "s2"), "jaccard-wanted")
+    one = [F.min("doc_id").alias("class_id"), F.min("k2").alias("node"), F.max("n").alias("n"), F.max("bits").alias("bits")]
+    classes = C.materialize(members.filter("n > 0").groupBy("s1", "s2").agg(*one), "jaccard-classes")
+    shared = edges.unionByName(edges.select("leader", F.col("leader").alias("member")).distinct())
+    dealt = dealt_groups(C.materialize(shared, "jaccard-shared"), "jaccard-sizes")
+    signed = in_order(dealt.join(classes.select("s1", "n", "bits"), "s1").select("leader", "bi", "bj", "block", "s1", "n", "bits"))
+    near = signed.mapInArrow(by_group(signature_groups, threshold), "leader long, member long").distinct()
+    near = C.materialize(near, "jaccard-near")
+    wanted = C.materialize(classes.join(near.select(F.col("member").alias("s1")), "s1", "left_semi").select("node", "s1", "s2"), "jaccard-wanted")
     texts = keyed.select("k2", "text").join(wanted, F.col("k2") == F.col("node")).select("s1", "s2", "node", "text")
     sets = C.materialize(texts.mapInArrow(set_rows(width, separator), "s1 long, node long, entries binary").dropDuplicates(["node"]), "jaccard-sets")
-    grouped = dealt.join(sets, "s1").select("leader", "bi", "bj", "block", "node", "entries")
-    grouped = grouped.repartition("leader", "bi", "bj").sortWithinPartitions("leader", "bi", "bj")
-    links = C.materialize(grouped.mapInArrow(group_links(threshold), "a long, b long"), "jaccard-links")
+    whole = in_order(dealt_groups(near, "jaccard-near-sizes").join(sets, "s1").select("leader", "bi", "bj", "block", "node", "entries"))
+    links = C.materialize(whole.mapInArrow(by_group(set_links, threshold), "a long, b long"), "jaccard-links")
     comps = C.connected_components(links, "jaccard-cc")
     placed = classes.join(comps, "node", "left").withColumn("root", F.coalesce("component", "node"))
     smallest = placed.groupBy("root").agg(F.min("class_id").alias("component_id"))
