@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from siltbed.llm import common as C
 
-HEAVY = 20_000  # entries of the list of frequent shingles: a bounded broadcast
+HEAVY = 100_000  # entries of the list of frequent shingles: a bounded broadcast
 HEAVY_DF = 64  # documents that make a shingle frequent
 ENTRIES = 100_000  # prefix entries of one packed part
 GROUP = 1024  # members that one block of a group holds
-BITS = 4096  # bits of a signature
+LEAST_BITS, MOST_BITS = 1 << 10, 1 << 17  # a signature has four bits a shingle within these, rounded up to a power of two
 FAN = 8  # members of a leaf and children of a node
 
 
@@ -43,19 +43,30 @@ def set_signature(u: np.ndarray) -> tuple[int, int]:
 
 
 def token_bits(u: np.ndarray) -> np.ndarray:
-    """The packed bitmap of a set."""
-    row = np.zeros(BITS, bool)
-    row[(C.mix(u) >> np.uint64(52)).astype(np.int64) % BITS] = True
+    """The packed bitmap of a set; a token's bit is given by the first bits of its hash, so halving a bitmap joins neighbours."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(u) - 1).bit_length()))
+    row = np.zeros(bits, bool)
+    row[(C.mix(u) >> np.uint64(65 - bits.bit_length())).astype(np.int64)] = True
     return np.packbits(row)
 
 
+def halved(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(np.unpackbits(bits).reshape(-1, 2).any(axis=1))
+
+
 def heavy_shingles(docs: DataFrame, width: int, separator: np.ndarray) -> np.ndarray:
-    """The most frequent shingles by document count, over all documents; sorted, ``HEAVY`` at most."""
+    """The most frequent shingles by document count, over all documents (copies in one task count once); sorted, ``HEAVY`` at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for _, data, offsets in C.slices(batch):
                 h, bounds = C.batch_shingles(data, offsets, width, separator)
+                sums = np.concatenate([[0], np.cumsum(C.mix(h), dtype=np.uint64)]).astype(np.uint64)
+                with np.errstate(over="ignore"):
+                    texts = (sums[bounds[1:]] - sums[bounds[:-1]]).tolist()
+                fresh_text = np.array([not (t in seen or seen.add(t)) for t in texts])  # a copy isn't counted again by its task
+                h, bounds = h[np.repeat(fresh_text, np.diff(bounds))], np.concatenate([[0], np.cumsum(np.diff(bounds) * fresh_text)])
                 owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 order = np.argsort(h, kind="stable")
                 h, owner = h[order], owner[order]
@@ -183,11 +194,13 @@ class SignatureTree:
         return ok
 
 
-def links_of(bits: np.ndarray, sizes: np.ndarray, blocks: list[int], threshold: int, sets: list[np.ndarray] | None) -> list[tuple[int, int]]:
-    """Spanning links among members in order of size; without ``sets``, of pairs that their signatures let pass.
+def links_of(bits: list[np.ndarray], sizes: list[int], blocks: list[int], threshold: int, sets: list[np.ndarray] | None) -> list[tuple[int, int]]:
+    """Spanning links among members; without ``sets``, of pairs that their signatures let pass.
 
-    Where the members are of two blocks, only pairs across them are compared."""
-    tree, parent = SignatureTree(bits, sizes), list(range(len(sizes)))
+    Sizes of a pair differ by less than two times, so their bitmaps are of equal length or one step apart: there is a tree for each
+    length, which also holds the members of the next length with halved bitmaps. Where the members are of two blocks, only pairs
+    across them are compared."""
+    parent = list(range(len(sizes)))
     cross = len(set(blocks)) > 1
 
     def find(x: int) -> int:
@@ -196,40 +209,45 @@ def links_of(bits: np.ndarray, sizes: np.ndarray, blocks: list[int], threshold:
             x = parent[x]
         return x
 
-    found, top = [], len(tree.levels) - 1
-    stack = [(top, 0, 0)]
-    while stack:
-        level, i, j = stack.pop()
-        if level:
-            span = FAN ** level
-            below = {find(k) for base in {i, j} for k in range(base * span, min(len(sizes), base * span + span))}
-            if len(below) == 1:  # all of them are linked already
+    found: list[tuple[int, int]] = []
+    for length in sorted({len(b) for b in bits}):
+        at = sorted((k for k, b in enumerate(bits) if len(b) in (length, 2 * length)), key=lambda k: sizes[k])
+        shorter = [len(bits[k]) == length for k in at]
+        tree = SignatureTree(np.stack([bits[k] if s else halved(bits[k]) for k, s in zip(at, shorter)]), np.array([sizes[k] for k in at]))
+        top = len(tree.levels) - 1
+        stack = [(top, 0, 0)]
+        while stack:
+            level, i, j = stack.pop()
+            if level:
+                span = FAN ** level
+                below = {find(at[k]) for base in {i, j} for k in range(base * span, min(len(at), base * span + span))}
+                if len(below) == 1:  # all of them are joined already
+                    continue
+                n = len(tree.levels[level - 1][0])
+                b = np.arange(j * FAN, min(n, j * FAN + FAN))
+                for x in range(i * FAN, min(n, i * FAN + FAN)):
+                    ys = b[b >= x] if i == j else b
+                    stack += [(level - 1, x, int(y)) for y in ys[tree.possible(level - 1, x, ys, threshold)]]
                 continue
-            n = len(tree.levels[level - 1][0])
-            b = np.arange(j * FAN, min(n, j * FAN + FAN))
-            for x in range(i * FAN, min(n, i * FAN + FAN)):
-                ys = b[b >= x] if i == j else b
-                stack += [(level - 1, x, int(y)) for y in ys[tree.possible(level - 1, x, ys, threshold)]]
-            continue
-        if i == j or cross and blocks[i] == blocks[j] or find(i) == find(j):
-            continue
-        if sets is None:
-            parent[find(i)] = find(j)
-            found.append((i, j))
-            continue
-        a, b = sets[i], sets[j]
-        both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-        if 100 * both >= threshold * (len(a) + len(b) - both):
-            parent[find(i)] = find(j)
-            found.append((i, j))
+            if i == j or not (shorter[i] or shorter[j]):
+                continue
+            p, q = at[i], at[j]
+            if cross and blocks[p] == blocks[q] or find(p) == find(q):
+                continue
+            if sets is not None:
+                a, b = sets[p], sets[q]
+                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                if 100 * both < threshold * (len(a) + len(b) - both):
+                    continue
+            parent[find(p)] = find(q)
+            found.append((p, q))
     return found
 
 
 def signature_groups(rows: list[tuple], threshold: int) -> tuple[list[int], list[int]]:
     """(leader, member) of the classes of a group that may link; rows are (block, s1, (n, bits))."""
-    rows.sort(key=lambda r: r[2][0])
-    bits = np.stack([np.frombuffer(r[2][1], np.uint8) for r in rows])
-    found = links_of(bits, np.array([r[2][0] for r in rows]), [r[0] for r in rows], threshold, None)
+    bits = [np.frombuffer(r[2][1], np.uint8) for r in rows]
+    found = links_of(bits, [r[2][0] for r in rows], [r[0] for r in rows], threshold, None)
     near: dict[int, list[int]] = {}
     for i, j in found:
         near.setdefault(i, []).append(j)
@@ -253,9 +271,8 @@ def signature_groups(rows: list[tuple], threshold: int) -> tuple[list[int], list
 
 def set_links(rows: list[tuple], threshold: int) -> tuple[list[int], list[int]]:
     """Links of a group; rows are (block, node, (whole set,))."""
-    rows = sorted(((b, node, np.frombuffer(s[0], np.uint64)) for b, node, s in rows), key=lambda r: len(r[2]))
-    sets = [r[2] for r in rows]
-    found = links_of(np.stack([token_bits(s) for s in sets]), np.array([len(s) for s in sets]), [r[0] for r in rows], threshold, sets)
+    sets = [np.frombuffer(r[2][0], np.uint64) for r in rows]
+    found = links_of([token_bits(s) for s in sets], [len(s) for s in sets], [r[0] for r in rows], threshold, sets)
     return [rows[i][1] for i, _ in found], [rows[j][1] for _, j in found]
 
 
@@ -342,7 +359,7 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: int = 80, separat
     near = signed.mapInArrow(by_group(signature_groups, threshold), "leader long, member long").distinct()
     near = C.materialize(near, "jaccard-near")
     wanted = C.materialize(classes.join(near.select(F.col("member").alias("s1")), "s1", "left_semi").select("node", "s1", "s2"), "jaccard-wanted")
-    texts = keyed.select("k2", "text").join(wanted, F.col("k2") == F.col("node")).select("s1", "s2", "node", "text")
+    texts = keyed.select("k2", "text").join(wanted.hint("merge"), F.col("k2") == F.col("node")).select("s1", "s2", "node", "text")  # the same way at every size
     sets = C.materialize(texts.mapInArrow(set_rows(width, separator), "s1 long, node long, entries binary").dropDuplicates(["node"]), "jaccard-sets")
     whole = in_order(dealt_groups(near, "jaccard-near-sizes").join(sets, "s1").select("leader", "bi", "bj", "block", "node", "entries"))
     links = C.materialize(whole.mapInArrow(by_group(set_links, threshold), "a long, b long"), "jaccard-links")
