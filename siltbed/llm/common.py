@@ -135,14 +135,17 @@ def batch_shingles(data: np.ndarray, offsets: np.ndarray, width: int, separator:
     return shingle_hashes(word_hashes(data, starts, ends), bounds, width)
 
 
+KEY = "__content_key__"  # the key's name beside columns of the caller's
+
+
 def text_key(doc_id: Column, text: Column) -> Column:
     """A key of a row by what it holds: equal rows get equal keys on every read of a table, whatever the order."""
     return F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text)
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """(k1, k2, doc_id, text): k1 is doc_id or -1, k2 the key of the content."""
-    return docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("k1"), text_key(F.col("doc_id"), F.col("text")).alias("k2"), "doc_id", "text")
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with the key of their content in ``KEY``; all other columns stay."""
+    return docs.withColumn(KEY, text_key(F.col("doc_id"), F.col("text")))
 
 
 def connected_components(edges: DataFrame, label: str) -> DataFrame:

@@ -121,6 +121,5 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, threshold
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """The documents that contain no test item."""
-    found = C.materialize(contained_items(docs, items, width, threshold).select("k2").distinct(), "benchmark-found")
-    keyed = docs.withColumn("k2", C.text_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(found, "k2", "left_anti").select(*docs.columns)
+    found = contained_items(docs, items, width, threshold).select(F.col("k2").alias(C.KEY)).distinct()
+    return C.keyed(docs).join(C.materialize(found, "benchmark-found"), C.KEY, "left_anti").select(*docs.columns)

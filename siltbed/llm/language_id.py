@@ -26,7 +26,7 @@ from siltbed.llm import common as C
 BUCKETS = 1 << 14  # hashed trigrams of the text model
 SAMPLE = 4_000  # labelled rows of each language that the text model is fitted on
 LANGUAGES = 256  # languages at most, the most frequent ones
-LEAST = 20  # labelled rows that make a language
+LEAST = 5  # labelled rows that make a language
 TEMPER, DECLARED, SUFFIX, SMOOTH, ACCEPT, LEAST_GRAMS = 60.0, 0.9, 0.8, 20.0, 0.5, 3
 
 LETTER = np.zeros(256, bool)
@@ -181,6 +181,5 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is known well enough."""
-    verdict = identify(document_rows(docs)).filter(~F.col("accepted")).select("k2").distinct()
-    keyed = docs.withColumn("k2", C.text_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(C.materialize(verdict, "language-rejected"), "k2", "left_anti").select(*docs.columns)
+    rejected = identify(document_rows(docs)).filter(~F.col("accepted")).select(F.col("k2").alias(C.KEY)).distinct()
+    return C.keyed(docs).join(C.materialize(rejected, "language-rejected"), C.KEY, "left_anti").select(*docs.columns)

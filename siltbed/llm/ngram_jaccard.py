@@ -380,6 +380,5 @@ def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     ranked = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "k2")
     linked = groups.filter("n_shingles > 0")
     kept = linked.groupBy("component_id").agg(F.min(ranked).alias("r")).select(F.col("r.k2").alias("k2"))
-    kept = C.materialize(kept.unionByName(groups.filter("n_shingles = 0").select("k2")).distinct(), "jaccard-kept")
-    keyed = docs.withColumn("k2", C.text_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(kept, "k2", "left_semi").dropDuplicates(["k2"]).drop("k2").select(*docs.columns)
+    kept = kept.unionByName(groups.filter("n_shingles = 0").select("k2")).distinct().withColumnRenamed("k2", C.KEY)
+    return C.keyed(docs).join(C.materialize(kept, "jaccard-kept"), C.KEY, "left_semi").dropDuplicates([C.KEY]).select(*docs.columns)

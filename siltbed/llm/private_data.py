@@ -32,6 +32,7 @@ DIGIT = re.compile(r"[0-9]")
 
 TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9_./+@-]{4,}[A-Za-z0-9]")
 WORD = re.compile(r"([^\W\d_]+)\W*$")
+MASKED = "__masked_text__"
 LEAST_DIGITS = 4  # digits of an identifier-like token
 ROUNDS, DOUBT, SUPPORT, ACCEPT = 3, 1.0, 5, 0.8
 
@@ -170,16 +171,16 @@ def mask(text: str | None, spans: str | None) -> str | None:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with personal data masked; their count of characters follows."""
-    spans = C.materialize(find_spans(docs).filter("spans <> ''").select("k2", "spans").distinct(), "private-spans")
-    keyed = docs.withColumn("k2", C.text_key(F.col("doc_id"), F.col("text"))).join(spans, "k2", "left")
+    spans = find_spans(docs).filter("spans <> ''").select("k2", "spans").distinct()
+    keyed = docs.select(C.text_key(F.col("doc_id"), F.col("text")).alias("k2"), "text").join(C.materialize(spans, "private-spans"), "k2")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(text=[mask(t, s if isinstance(s, str) else None) for t, s in zip(pdf["text"], pdf["spans"])])[["k2", "text"]]
-
-    masked = keyed.filter("spans is not null").select("k2", "text", "spans").mapInPandas(run, "k2 long, text string")
-    masked = C.materialize(masked.dropDuplicates(["k2"]).withColumnRenamed("text", "masked"), "private-masked")
-    done = docs.withColumn("k2", C.text_key(F.col("doc_id"), F.col("text"))).join(masked, "k2", "left")
-    text = F.coalesce("masked", "text")
-    changed = {"text": text, "n_chars": F.when(F.col("masked").isNotNull(), F.length("masked").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return done.select(*[changed[c].alias(c) if changed.get(c) is not None else F.col(c) for c in docs.columns])
+            yield pd.DataFrame({C.KEY: pdf["k2"], MASKED: [mask(t, s) for t, s in zip(pdf["text"], pdf["spans"])]})
+
+    masked = keyed.mapInPandas(run, f"{C.KEY} long, {MASKED} string").dropDuplicates([C.KEY])
+    done = C.keyed(docs).join(C.materialize(masked, "private-masked"), C.KEY, "left")
+    new = {"text": F.coalesce(MASKED, "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length(MASKED).cast("long"), "n_chars")
+    return done.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
