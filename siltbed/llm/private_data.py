@@ -32,7 +32,7 @@ DIGIT = re.compile(r"[0-9]")
 
 TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9_./+@-]{4,}[A-Za-z0-9]")
 WORD = re.compile(r"([^\W\d_]+)\W*$")
-MASKED = "__masked_text__"
+SPANS = "__private_spans__"
 LEAST_DIGITS = 4  # digits of an identifier-like token
 ROUNDS, DOUBT, SUPPORT, ACCEPT = 3, 1.0, 5, 0.8
 
@@ -171,16 +171,10 @@ def mask(text: str | None, spans: str | None) -> str | None:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with personal data masked; their count of characters follows."""
-    spans = find_spans(docs).filter("spans <> ''").select("k2", "spans").distinct()
-    keyed = docs.select(C.text_key(F.col("doc_id"), F.col("text")).alias("k2"), "text").join(C.materialize(spans, "private-spans"), "k2")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({C.KEY: pdf["k2"], MASKED: [mask(t, s) for t, s in zip(pdf["text"], pdf["spans"])]})
-
-    masked = keyed.mapInPandas(run, f"{C.KEY} long, {MASKED} string").dropDuplicates([C.KEY])
-    done = C.keyed(docs).join(C.materialize(masked, "private-masked"), C.KEY, "left")
-    new = {"text": F.coalesce(MASKED, "text")}
+    spans = find_spans(docs).filter("spans <> ''").select(F.col("k2").alias(C.KEY), F.col("spans").alias(SPANS)).distinct()
+    marked = C.keyed(docs).join(C.materialize(spans, "private-spans").hint("merge"), C.KEY, "left")  # the same way at every size
+    masked = F.pandas_udf(lambda texts, marks: pd.Series([mask(t, s) for t, s in zip(texts, marks)], dtype=object), "string")
+    done = marked.withColumn("text", F.when(F.col(SPANS).isNull(), F.col("text")).otherwise(masked("text", F.coalesce(SPANS, F.lit("")))))
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.coalesce(F.length(MASKED).cast("long"), "n_chars")
-    return done.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        done = done.withColumn("n_chars", F.when(F.col(SPANS).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return done.select(*docs.columns)
