@@ -45,8 +45,8 @@ def retain(segmented: DataFrame, low_water_mark: int) -> DataFrame:
 
 
 def replay(records: DataFrame) -> DataFrame:
-    """Records whose checksum holds; newest-wins over them rebuilds the state."""
-    return records.filter(F.crc32(F.col("value").cast("binary")) == F.col("crc"))
+    """Records whose checksum holds; newest-wins over them rebuilds the state. A null value, as deletes have, counts as no bytes."""
+    return records.filter(F.crc32(F.coalesce(F.col("value").cast("binary"), F.lit(b""))) == F.col("crc"))
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
