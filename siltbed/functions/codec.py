@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 HEADER = 29  # crc 4, ts 8, tombstone 1, key size 8, value size 8
 
@@ -42,6 +42,45 @@ def record_hex(crc: Column, ts: Column, tombstone: Column, key: Column, value: C
         le_hex(F.octet_length(key), 8), le_hex(F.octet_length(v), 8), F.hex(F.encode(key, "utf-8")), F.hex(F.encode(v, "utf-8")))
 
 
+def uvarint_hex(x: Column) -> Column:
+    """An unsigned LEB128 number as upper-case hex."""
+    n = uvarint_size(x)
+
+    def byte(i: Column) -> Column:
+        low = F.call_function("shiftrightunsigned", x.cast("long"), (i * 7).cast("int")).bitwiseAND(F.lit(127))
+        return F.lpad(F.hex(low + F.when(i < n - 1, 128).otherwise(0)), 2, "0")
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), byte), "")
+
+
+def compressed_hex(crc: Column, ts: Column, tombstone: Column, key_id: Column, value: Column) -> Column:
+    """A compressed table record as upper-case hex, all inside the JVM; a tombstone has neither value nor its size."""
+    v = F.coalesce(value, F.lit(""))
+    rest = F.when(tombstone, uvarint_hex(key_id)).otherwise(
+        F.concat(uvarint_hex(F.octet_length(v)), uvarint_hex(key_id), F.hex(F.encode(v, "utf-8"))))
+    return F.concat(le_hex(crc, 4), uvarint_hex(ts), F.when(tombstone, "01").otherwise("00"), rest)
+
+
+def dense_hex(cells: DataFrame, group: str, index: Column, value: Column, n: int, width: int) -> DataFrame:
+    """(group, body): the ``n`` counters of each sketch in order, absent ones as 0, as little-endian hex of ``width`` bytes.
+
+    A sketch has a fixed size, so that a group is bounded however many elements it has seen."""
+    slots = cells.select(group).distinct().withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    held = cells.select(F.col(group), index.cast("long").alias("slot"), value.cast("long").alias("held"))
+    filled = slots.join(held, [group, "slot"], "left").select(group, "slot", le_hex(F.coalesce("held", F.lit(0)), width).alias("part"))
+    listed = filled.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("slot", "part"))).alias("parts"))
+    return listed.select(group, F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("body"))
+
+
+def number_hex(*numbers: int) -> str:
+    """Eight bytes each, little-endian."""
+    return b"".join(struct.pack("<Q", x) for x in numbers).hex().upper()
+
+
+def seeds_hex(seeds: list[bytes]) -> str:
+    return b"".join(struct.pack("<Q", len(s)) + s for s in seeds).hex().upper()
+
+
 def encode_record(ts: int, tombstone: bool, key: str, value: bytes) -> bytes:
     k = key.encode()
     return struct.pack("<IQ?QQ", zlib.crc32(value), ts, tombstone, len(k), len(value)) + k + value

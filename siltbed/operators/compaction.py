@@ -41,8 +41,7 @@ def size_tiered(runs: DataFrame, fan_in: int, level_count: int) -> DataFrame:
     pile up. As run ids are dense, a run's final place is arithmetic: of n runs, the oldest
     floor(n / fan_in^j) * fan_in^j have reached level j + 1 at least. So one aggregation replaces the cascade.
     """
-    n = runs.agg((F.max("run_id") + 1).alias("n"))
-    placed = runs.crossJoin(F.broadcast(n))  # one row
+    placed = runs.withColumn("n", runs.agg(F.max("run_id") + 1).scalar())
     level, group = F.lit(1), F.col("run_id").cast("long")
     for j in range(1, level_count):
         block = fan_in ** j

@@ -12,7 +12,7 @@ from siltbed.config import EngineConfig
 from siltbed.functions import bloom, cms, codec, hll, simhash
 from siltbed.log import events_log, is_reserved, parts_log
 from siltbed.operators import access, catalog, compaction, control, merkle, writes
-from siltbed.session import table
+from siltbed.session import scratch_dir, table
 from siltbed.sources import tables, wal
 from siltbed.streaming import upsert
 
@@ -27,6 +27,11 @@ RUNS = f"""{KV}, r0 AS (SELECT *, (seq // {RUN})::INT AS run_id FROM kv),
 SEED = 1700000001
 
 
+def le_sql(x: str, width: int) -> str:
+    h = f"lpad(printf('%X', {x}), {2 * width}, '0')"
+    return "(" + " || ".join(f"substr({h}, {2 * i + 1}, 2)" for i in reversed(range(width))) + ")"
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -73,6 +78,12 @@ def range_scan_page(spark, d):
     return access.page(access.range_scan(kv(spark, d), "user_000003", "user_000090"), 10, 2)
 
 
+@query("scan_pages", f"WITH {STATE} SELECT ((row_number() OVER (ORDER BY key) - 1) // 10 + 1)::INT AS page, (row_number() OVER (ORDER BY key))::INT AS ordinal, key, value FROM state WHERE key BETWEEN 'user_000003' AND 'user_000090' QUALIFY page <= 3")
+def scan_pages(spark, d):
+    """Forwards to page 3 and back to page 2."""
+    return access.get_many_pages(kv(spark, d), "user_000003", "user_000090", 10, [1, 3, 2])
+
+
 @query("prefix_scan", f"WITH {STATE} SELECT key, value FROM state WHERE starts_with(key, 'user_0000')")
 def prefix_scan(spark, d):
     return access.prefix_scan(kv(spark, d), "user_0000").select("key", "value")
@@ -238,13 +249,25 @@ def sparse_index(spark, d):
 
 
 @query("index_seek", f"""WITH {RUNS}, n AS (SELECT run_id, key, row_number() OVER (PARTITION BY run_id ORDER BY key) - 1 AS pos FROM runs),
- i AS (SELECT * FROM n WHERE pos % 5 = 0), p AS (SELECT DISTINCT run_id, key FROM r0 WHERE seq % 10 = 3)
+ i AS (SELECT * FROM n WHERE pos % 5 = 0), p AS (SELECT DISTINCT run_id, key FROM r0)
  SELECT p.run_id, p.key, max(i.pos) AS seek_pos FROM p LEFT JOIN i ON i.run_id = p.run_id AND i.key <= p.key GROUP BY p.run_id, p.key""")
 def index_seek(spark, d):
-    probes = compaction.assign_runs(kv(spark, d), RUN).filter("seq % 10 = 3").select("run_id", "key").distinct()
+    probes = compaction.assign_runs(kv(spark, d), RUN).select("run_id", "key").distinct()
     return catalog.index_seek(catalog.sparse_index(runs(spark, d), 5), probes)
 
 
+@query("sorted_table_read", f"WITH {STATE} SELECT layout, key, seq, value, tombstone FROM newest, (SELECT unnest(['many', 'one']) AS layout) WHERE key BETWEEN 'user_000030' AND 'user_000090'")
+def sorted_table_read(spark, d):
+    """A flushed table in both layouts, read back by key range."""
+    rows = access.newest_versions(kv(spark, d)).select("key", "seq", "value", "tombstone")
+    out = []
+    for layout in ("many", "one"):
+        path = scratch_dir(spark, f"sorted-{layout}")
+        tables.write_table(rows, path, one_file=layout == "one")
+        out.append(tables.read_table(spark, path).filter(F.col("key").between("user_000030", "user_000090")).withColumn("layout", F.lit(layout)))
+    return out[0].unionByName(out[1])
+
+
 # Integrity
 
 CRC_SQL = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT)),
@@ -337,9 +360,14 @@ def simhash_lookup(spark, d):
     """Distance of every stored fingerprint to one text's."""
     prints = simhash_prints(spark, d)
     first = table(spark, d, "documents").agg(F.min("doc_id").alias("doc_id"))
-    one = simhash.fingerprints(table(spark, d, "documents").join(F.broadcast(first), "doc_id"), "doc_id", "text").select(F.col("hi").alias("h"), F.col("lo").alias("l"))
-    dist = simhash.hamming(F.col("hi"), F.col("lo"), F.col("h"), F.col("l")).cast("int")
-    return prints.join(F.broadcast(one)).select("doc_id", dist.alias("distance"))  # one row
+    one = simhash.fingerprints(table(spark, d, "documents").join(F.broadcast(first), "doc_id"), "doc_id", "text")
+    q = one.select(F.struct("hi", "lo")).scalar()
+    return prints.select("doc_id", simhash.hamming(F.col("hi"), F.col("lo"), q["hi"], q["lo"]).cast("int").alias("distance"))
+
+
+@query("digest_bits", "SELECT doc_id, array_to_string(list_transform(range(1, 33, 2), lambda i: bin(('0x' || substr(md5(text), i, 2))::INT)), '') AS bits FROM documents")
+def digest_bits(spark, d):
+    return table(spark, d, "documents").select("doc_id", simhash.bit_string(F.md5("text")).alias("bits"))
 
 
 # Sketches
@@ -356,10 +384,11 @@ def seeded_sql(col: str, m: int) -> str:
     return f"(('0x' || substr(md5(encode({col}) || unhex(lpad(printf('%x', {SEED} + i), 8, '0') || repeat('00', 28))), 1, 16))::UBIGINT % {m})::BIGINT"
 
 
-@query("bloom_params", "SELECT o_orderkey AS n, ceil(o_orderkey * abs(ln(0.01)) / pow(ln(2), 2))::BIGINT AS m FROM orders")
+@query("bloom_params", "SELECT n, m, ceil(m / nullif(n, 0) * ln(2))::BIGINT AS k FROM (SELECT o_orderkey AS n, ceil(o_orderkey * abs(ln(0.01)) / pow(ln(2), 2))::BIGINT AS m FROM orders)")
 def bloom_params(spark, d):
     n = F.col("o_orderkey")
-    return table(spark, d, "orders").select(n.alias("n"), F.ceil(n * F.abs(F.log(F.lit(0.01))) / F.pow(F.log(F.lit(2.0)), 2)).alias("m"))
+    sized = table(spark, d, "orders").select(n.alias("n"), F.ceil(n * F.abs(F.log(F.lit(0.01))) / F.pow(F.log(F.lit(2.0)), 2)).alias("m"))
+    return sized.withColumn("k", F.ceil(F.col("m") / F.nullif(F.col("n"), F.lit(0)) * F.log(F.lit(2.0))))
 
 
 POSITIONS = f"pos AS (SELECT DISTINCT name, {seeded_sql('element', BLOOM_M)} AS pos FROM e, (SELECT unnest(range({BLOOM_K})) AS i))"
@@ -411,6 +440,36 @@ def hll_estimate(spark, d):
     return hll.estimate(hll_registers(spark, d), "name", P).select("name", F.round("estimate", 6).alias("estimate"))
 
 
+@query("hll_clear", f"WITH {REGS} SELECT name, register, rank FROM regs WHERE name <> 'error'")
+def hll_clear(spark, d):
+    return hll.clear(hll_registers(spark, d), "name", "error")
+
+
+def dense_sql(cells: str, n: int, width: int, head: str) -> str:
+    """Sketch bytes in hex of a relation ``cells`` (name, slot, held)."""
+    return f"""all_slots AS (SELECT name, slot FROM (SELECT DISTINCT name FROM {cells}), (SELECT unnest(range({n})) AS slot))
+ SELECT name, '{head}' || string_agg({le_sql('coalesce(held, 0)', width)}, '' ORDER BY slot) AS bytes FROM all_slots LEFT JOIN {cells} USING (name, slot) GROUP BY name"""
+
+
+HLL_HEAD = codec.number_hex(1 << P) + f"{P:02X}"
+
+
+@query("hll_bytes", f"WITH {REGS}, c AS (SELECT name, register AS slot, rank AS held FROM regs), {dense_sql('c', 1 << P, 1, HLL_HEAD)}")
+def hll_bytes(spark, d):
+    body = codec.dense_hex(hll_registers(spark, d), "name", F.col("register"), F.col("rank"), 1 << P, 1)
+    return body.select("name", F.concat(F.lit(HLL_HEAD), "body").alias("bytes"))
+
+
+SEEDS = [(SEED + i).to_bytes(4, "big") + bytes(28) for i in range(BLOOM_K)]
+BLOOM_HEAD = codec.number_hex(BLOOM_K, BLOOM_M)
+
+
+@query("bloom_bytes", f"WITH {ELEMENTS}, {POSITIONS}, c AS (SELECT name, pos AS slot, 1 AS held FROM pos), f AS (WITH {dense_sql('c', BLOOM_M, 1, BLOOM_HEAD)}) SELECT name, bytes || '{codec.seeds_hex(SEEDS)}' AS bytes FROM f")
+def bloom_bytes(spark, d):
+    body = codec.dense_hex(bloom_positions(spark, d), "name", F.col("pos"), F.lit(1), BLOOM_M, 1)
+    return body.select("name", F.concat(F.lit(BLOOM_HEAD), "body", F.lit(codec.seeds_hex(SEEDS))).alias("bytes"))
+
+
 @query("hll_builtin")
 def hll_builtin(spark, d):
     return hll.builtin(elements(spark, d), "name", "element")
@@ -425,6 +484,15 @@ def cms_cells(spark, d):
     return cms.cells(elements(spark, d), "name", "element", CMS_M, CMS_K, SEED)
 
 
+CMS_HEAD = codec.number_hex(CMS_K, CMS_M) + codec.seeds_hex([(SEED + i).to_bytes(4, "big") + bytes(28) for i in range(CMS_K)])
+
+
+@query("cms_bytes", f"WITH {ELEMENTS}, {CELLS}, c AS (SELECT name, row * {CMS_M} + col AS slot, cnt AS held FROM cells), {dense_sql('c', CMS_K * CMS_M, 4, CMS_HEAD)}")
+def cms_bytes(spark, d):
+    body = codec.dense_hex(cms_cells(spark, d), "name", F.col("row") * CMS_M + F.col("col"), F.col("cnt"), CMS_K * CMS_M, 4)
+    return body.select("name", F.concat(F.lit(CMS_HEAD), "body").alias("bytes"))
+
+
 @query("cms_estimate", f"""WITH {ELEMENTS}, {CELLS}, w AS (SELECT name, element, i::INT AS row, {seeded_sql('element', CMS_M)} AS col FROM (SELECT DISTINCT * FROM e), (SELECT unnest(range({CMS_K})) AS i))
  SELECT w.name, w.element, min(cnt) AS frequency FROM w JOIN cells c ON w.name = c.name AND w.row = c.row AND w.col = c.col GROUP BY ALL""")
 def cms_estimate(spark, d):
@@ -459,11 +527,6 @@ def record_size(spark, d):
                     codec.compressed_size(F.col("ts"), F.col("key_id"), F.col("props"), F.col("tombstone")).alias("compressed"))
 
 
-def le_sql(x: str, width: int) -> str:
-    h = f"lpad(printf('%X', {x}), {2 * width}, '0')"
-    return "(" + " || ".join(f"substr({h}, {2 * i + 1}, 2)" for i in reversed(range(width))) + ")"
-
-
 @query("record_codec", f"""WITH {KV} SELECT seq, {le_sql(f"xor({CRC_SQL.format('props')}, 4294967295::BIGINT)", 4)} || {le_sql('ts', 8)} || CASE WHEN tombstone THEN '01' ELSE '00' END
  || {le_sql('strlen(key)', 8)} || {le_sql('strlen(props)', 8)} || hex(encode(key)) || hex(encode(props)) AS record FROM kv""")
 def record_codec(spark, d):
@@ -471,6 +534,19 @@ def record_codec(spark, d):
     return k.select("seq", codec.record_hex(F.crc32("props"), F.col("ts"), F.col("tombstone"), F.col("key"), F.col("props")).alias("record"))
 
 
+def uvarint_sql(x: str) -> str:
+    n = f"{varint_sql(x)}::INT"
+    return f"array_to_string(list_transform(range({n}), lambda i: lpad(printf('%X', ((({x})::BIGINT >> (7 * i)) & 127) + CASE WHEN i < {n} - 1 THEN 128 ELSE 0 END), 2, '0')), '')"
+
+
+@query("compressed_codec", f"""WITH {DICT}, k AS (SELECT kv.*, key_id FROM kv JOIN dict USING (key))
+ SELECT seq, {le_sql(f"xor({CRC_SQL.format('props')}, 4294967295::BIGINT)", 4)} || {uvarint_sql('ts')} || CASE WHEN tombstone THEN '01' || {uvarint_sql('key_id')}
+ ELSE '00' || {uvarint_sql('strlen(props)')} || {uvarint_sql('key_id')} || hex(encode(props)) END AS record FROM k""")
+def compressed_codec(spark, d):
+    k = kv(spark, d).join(tables.key_dictionary(kv(spark, d)), "key")
+    return k.select("seq", codec.compressed_hex(F.crc32("props"), F.col("ts"), F.col("tombstone"), F.col("key_id"), F.col("props")).alias("record"))
+
+
 SEG = 10000
 SEGS = f"""{KV}, s0 AS (SELECT seq, 29 + strlen(key) + strlen(props) AS size FROM kv),
  s1 AS (SELECT seq, size, coalesce(sum(size) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM s0),
@@ -504,6 +580,14 @@ def wal_replay(spark, d):
     return access.newest_versions(wal.replay(log)).select("key", "seq")
 
 
+@query("wal_binary", f"WITH {KV} SELECT ts, key, tombstone, props AS value, xor({CRC_SQL.format('props')}, 4294967295::BIGINT) AS crc FROM kv")
+def wal_binary(spark, d):
+    """The log as binary segment files, read back with its checksums verified."""
+    folder = scratch_dir(spark, "wal-binary")
+    wal.write_binary_segments(wal_log(spark, d), folder, SEG)
+    return wal.replay(wal.read_segments(spark, folder)).select("ts", "key", "tombstone", F.col("value").cast("string").alias("value"), "crc")
+
+
 # Request control
 
 TB_SIZE, TB_SECONDS = 3, 3 * 86400
@@ -519,6 +603,18 @@ def token_bucket(spark, d):
     return control.token_bucket(requests(table(spark, d, "events")), TB_SIZE, TB_SECONDS)
 
 
+@query("token_bucket_billable", f"""WITH RECURSIVE o AS (SELECT event_id AS seq, user_id, epoch(ts) AS ts, event_type <> 'error' AS paid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+ b AS (SELECT user_id, rn, seq, CASE WHEN paid THEN {TB_SIZE - 1} ELSE {TB_SIZE} END AS left_, ts AS refreshed, true AS accepted FROM o WHERE rn = 1 UNION ALL
+ SELECT o.user_id, o.rn, o.seq, CASE WHEN NOT paid THEN left_ WHEN left_ > 0 THEN left_ - 1 WHEN o.ts - refreshed >= {TB_SECONDS} THEN {TB_SIZE - 1} ELSE 0 END,
+ CASE WHEN paid AND left_ <= 0 AND o.ts - refreshed >= {TB_SECONDS} THEN o.ts ELSE refreshed END, NOT paid OR left_ > 0 OR o.ts - refreshed >= {TB_SECONDS}
+ FROM b JOIN o ON o.user_id = b.user_id AND o.rn = b.rn + 1)
+ SELECT seq, 'user_' || lpad(user_id::VARCHAR, 6, '0') AS key, accepted FROM b""")
+def token_bucket_billable(spark, d):
+    """Errors stand for the engine's own calls, which cost no token."""
+    events = table(spark, d, "events")
+    return control.token_bucket(requests(events).join(events.select(F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("billable")), "seq"), TB_SIZE, TB_SECONDS)
+
+
 def requests(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_id").alias("seq"), F.concat(F.lit("user_"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("key"), F.col("ts").cast("timestamp").cast("double").alias("ts"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from siltbed.functions.codec import HEADER, decode_records
+from siltbed.functions.codec import HEADER, decode_records, record_hex
 
 RECORD = "crc long, ts long, tombstone boolean, key string, value binary, segment_set string"
 
@@ -71,3 +71,37 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 def write_segments(records: DataFrame, path: str) -> None:
     """Append sink: the log as Parquet; Spark's commit protocol is what makes it durable."""
     records.write.mode("append").parquet(path)
+
+
+def write_binary_segments(log: DataFrame, path: str, segment_bytes: int) -> int:
+    """Binary sink: the log as ``segment<N>.log`` files of ``segment_bytes`` in a shared folder; gives their number.
+
+    Each segment is put together by one task from the parts of the records that fall into it. A file gets its name only when it
+    is complete and always holds the same bytes, so tasks may be repeated."""
+    record = record_hex(F.crc32(F.coalesce(F.col("value").cast("binary"), F.lit(b""))), F.col("ts"), F.col("tombstone"), F.col("key"), F.col("value"))
+    placed = (segments(log, segment_bytes).withColumn("record", record)
+              .withColumn("n", F.explode(F.sequence("segment", "last_segment"))))
+    low, high = F.col("n") * segment_bytes, (F.col("n") + 1) * segment_bytes
+    begin, end = F.greatest(F.col("start"), low), F.least(F.col("start") + F.col("size"), high)
+    part = F.substring(F.col("record"), ((begin - F.col("start")) * 2 + 1).cast("int"), ((end - begin) * 2).cast("int"))
+    parts = placed.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("start", part.alias("part")))).alias("parts"))
+    whole = parts.select("n", F.unhex(F.array_join(F.transform("parts", lambda x: x["part"]), "")).alias("content"))
+    folder = "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
+
+    def write(batches):
+        import uuid
+
+        import pandas as pd
+        from pyarrow import fs
+
+        where, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        where.create_dir(base, recursive=True)
+        for pdf in batches:
+            for n, content in zip(pdf["n"], pdf["content"]):
+                unfinished = f"{base}/.{uuid.uuid4().hex}"
+                with where.open_output_stream(unfinished, compression=None) as out:
+                    out.write(content)
+                where.move(unfinished, f"{base}/segment{n}.log")
+            yield pd.DataFrame({"n": pdf["n"]})
+
+    return whole.mapInPandas(write, "n long").count()
