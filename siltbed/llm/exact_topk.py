@@ -2,7 +2,7 @@
 
 Vectors are sparse rows of integer weights floor(256 x). Candidates are dealt into blocks, queries into groups, and each (block,
 group) is one bounded task unit: the block's postings are built by term, each query term scatters its weighted postings into
-dense score arrays, a partition selection keeps the k best of the block, and the blocks' winners are merged by a
+dense score arrays (``AT_ONCE`` queries at a time), a partition selection keeps the k best of the block, and the blocks' winners are merged by a
 combinable top-k. Every query meets every row but itself; no score is bounded or skipped.
 
 Vectors that are null, or hold null or non-finite components, take no part. Shorter vectors lack the further terms, so those
@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from siltbed.llm import common as C
 
-BLOCK = 1024  # candidates of a block
-GROUP = 4096  # queries of a group
+BLOCK = 4096  # candidates of a block
+GROUP = 8192  # queries of a group
+AT_ONCE = 512  # queries whose dense scores a task holds together
 DENSE = 0.5  # share of a block's rows from which a posting list is added as a whole column
 
 
@@ -31,44 +33,51 @@ def weights(vectors: DataFrame) -> DataFrame:
     return vectors.filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * 256).cast("long")).alias("w"))
 
 
-def padded(lists: list, width: int) -> np.ndarray:
-    out = np.zeros((len(lists), width), np.int64)
-    for i, w in enumerate(lists):
-        out[i, :len(w)] = w
+def padded(lists: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows of weights as a matrix; missing terms are 0."""
+    some = lists.combine_chunks()
+    sizes = some.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(sizes), width), np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = some.flatten().to_numpy()
     return out
 
 
 def best_of_block(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query_id, vec_id, score) of each query's k best candidates in the block."""
-    scores = np.zeros((len(queries), len(block)), np.int64)
-    for term in range(block.shape[1]):
-        rows, wanting = np.flatnonzero(block[:, term]), np.flatnonzero(queries[:, term])
-        if not len(rows) or not len(wanting):
-            continue
-        if len(rows) >= DENSE * len(block) and len(wanting) >= DENSE * len(queries):
-            scores += queries[:, term, None] * block[None, :, term]
-        else:
-            scores[np.ix_(wanting, rows)] += queries[wanting, term, None] * block[None, rows, term]
     order = np.argsort(ids, kind="stable")
-    ids, scores = ids[order], scores[:, order]
-    out = []
-    for q, row in zip(query_ids, scores):
-        others = ids != q
-        row, names = (row, ids) if others.all() else (row[others], ids[others])
-        if len(row) > k:
-            least = np.partition(row, len(row) - k)[len(row) - k]
-            at = np.flatnonzero(row > least)
-            at = np.concatenate([at, np.flatnonzero(row == least)[:k - len(at)]])  # ids ascend, so ties go to the smaller
-        else:
-            at = np.arange(len(row))
-        out.append((np.full(len(at), q), names[at], row[at]))
-    return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ((), (), ())))
+    ids, block = ids[order], block[order]  # ids ascend, so ties go to the smaller
+    postings = [np.flatnonzero(block[:, term]) for term in range(block.shape[1])]
+    weights_of = [np.ascontiguousarray(block[:, term]) for term in range(block.shape[1])]
+    out = [(np.zeros(0, np.int64),) * 3]
+    for start in range(0, len(queries), AT_ONCE):
+        some = queries[start:start + AT_ONCE]
+        scores = np.zeros((len(some), len(block)), np.int64)
+        for term, (rows, weight) in enumerate(zip(postings, weights_of)):
+            wanting = np.flatnonzero(some[:, term])
+            if not len(rows) or not len(wanting):
+                continue
+            if len(rows) >= DENSE * len(block) and len(wanting) >= DENSE * len(some):
+                scores += some[:, term, None] * weight[None, :]
+            else:
+                scores[np.ix_(wanting, rows)] += some[wanting, term, None] * weight[None, rows]
+        for q, row in zip(query_ids[start:start + AT_ONCE], scores):
+            first, last = np.searchsorted(ids, q, side="left"), np.searchsorted(ids, q, side="right")
+            row, names = (row, ids) if first == last else (np.delete(row, slice(first, last)), np.delete(ids, slice(first, last)))
+            if len(row) > k:
+                least = np.partition(row, len(row) - k)[len(row) - k]
+                at = np.flatnonzero(row > least)
+                at = np.concatenate([at, np.flatnonzero(row == least)[:k - len(at)]])
+            else:
+                at = np.arange(len(row))
+            out.append((np.full(len(at), q), names[at], row[at]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def score_units(k: int):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        lists = [left.column("w").to_pylist(), right.column("w").to_pylist()]
-        width = max((len(w) for some in lists for w in some), default=0)
+        lists = left.column("w"), right.column("w")
+        width = max((int(pc.max(pc.list_value_length(some)).as_py() or 0) for some in lists), default=0)
         ids, qs = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
         q, v, s = best_of_block(ids, padded(lists[0], width), qs, padded(lists[1], width), k)
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.int64())})
