@@ -1,8 +1,8 @@
 """SHA-1 Merkle trees over ordered records, their comparison and verification.
 
 A tree is rows (table_id, level, pos, hash). Leaves hash a record, a parent hashes the SHA-1 of its
-children's hashes, and an odd level is padded with the hash of nothing. Each level halves the rows, so
-building costs one shuffle per level over geometrically shrinking data.
+children's hashes, and an odd level is padded with the hash of nothing. Building costs one shuffle for every
+``SPAN`` levels, over data that shrink by 2^SPAN each time.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siltbed.session import materialize
 
+SPAN = 10  # levels that one task builds from a block of nodes
 EMPTY_SHA1 = "da39a3ee5e6b4b0d3255bfef95601890afd80709"  # fixed value: SHA-1 of no bytes
 
 
@@ -29,27 +30,35 @@ def parent_hash(left: Column, right: Column) -> Column:
     return F.sha1(F.concat(F.unhex(F.sha1(F.unhex(left))), F.unhex(F.sha1(F.unhex(right)))))
 
 
-def next_level(nodes: DataFrame) -> DataFrame:
-    """The level above; tables that have come down to one node are finished and give nothing."""
-    many = Window.partitionBy("table_id")
-    wide = nodes.withColumn("n", F.count("*").over(many)).filter("n > 1")
-    pair = wide.groupBy("table_id", "level", F.floor(F.col("pos") / 2).alias("up")).agg(
-        F.max(F.when(F.col("pos") % 2 == 0, F.col("hash"))).alias("l"),
-        F.max(F.when(F.col("pos") % 2 == 1, F.col("hash"))).alias("r"))
-    return pair.select("table_id", (F.col("level") + 1).alias("level"), F.col("up").alias("pos"),
-                       parent_hash(F.col("l"), F.coalesce("r", F.lit(EMPTY_SHA1))).alias("hash"))
+def levels_above(nodes: DataFrame, base: int) -> DataFrame:
+    """Up to ``SPAN`` levels above level ``base``, from its nodes with ``n``, the number of them in the table.
+
+    Aligned blocks of 2^SPAN nodes are subtrees of their own: all but a table's last block are full, so a level of the last block is
+    odd exactly where the table's level is, and one node is padded as well as long as the table has more of that level."""
+    def halve(hashes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / 2).cast("int")), lambda i: parent_hash(
+            F.get(hashes, i * 2), F.coalesce(F.get(hashes, i * 2 + 1), F.lit(EMPTY_SHA1))))
+
+    block = F.shiftright("pos", SPAN).alias("block")
+    blocks = nodes.filter("n > 1").groupBy("table_id", "n", block).agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("h"))
+    depth = F.least(F.lit(SPAN), F.length(F.bin(F.col("n") - 1)))
+    grown = blocks.select("table_id", "n", "block", F.aggregate(
+        F.sequence(F.lit(1), depth), F.array(F.transform("h", lambda x: x["hash"])),
+        lambda done, _: F.concat(done, F.array(halve(F.element_at(done, -1))))).alias("levels"))
+    each = grown.select("table_id", "n", "block", F.posexplode("levels").alias("up", "h")).filter("up > 0")
+    each = each.select("table_id", "n", "block", "up", F.posexplode("h").alias("i", "hash"))
+    first = F.call_function("shiftleft", F.col("block"), F.lit(SPAN) - F.col("up"))
+    return each.select("table_id", "n", (F.col("up") + base).alias("level"), (first + F.col("i")).alias("pos"), "hash")
 
 
 def merkle_tree(leaves: DataFrame, max_rows: int) -> DataFrame:
     """All levels. ``max_rows`` bounds the leaves of one table and so the number of levels."""
-    levels = max(0, (max_rows - 1).bit_length())
-    at = materialize(leaves, "merkle")
-    out = at
-    for k in range(levels):
-        at = next_level(at)
-        if k % 6 == 5:
-            at = materialize(at, "merkle")
-        out = out.unionByName(at)
+    out = materialize(leaves, "merkle")
+    nodes = out.join(out.groupBy("table_id").agg(F.count("*").alias("n")), "table_id")
+    for base in range(0, max(0, (max_rows - 1).bit_length()), SPAN):
+        above = materialize(levels_above(nodes, base), "merkle")
+        out = out.unionByName(above.drop("n"))
+        nodes = above.filter(F.col("level") == base + SPAN).withColumn("n", F.ceil(F.col("n") / (1 << SPAN)))
     return out
 
 

@@ -1,5 +1,6 @@
 """Known inputs and results of the single operators."""
 
+import hashlib
 import zlib
 
 import pytest
@@ -97,3 +98,17 @@ def test_codecs():
     assert codec.bucket_from_bytes(codec.bucket_bytes(1, 2, 3, 4)) == (1, 2, 3, 4)
     levels = [[b"a"] * 6, [b"b"] * 4, [b"c"] * 2, [b"d"]]
     assert codec.merkle_from_bytes(codec.merkle_bytes(levels)) == levels
+
+
+def test_merkle_blocks_agree_with_one_pass(spark, monkeypatch):
+    rows = [(t, f"{k:04d}", str(k * t)) for t, n in ((1, 1), (2, 2), (3, 5), (4, 8), (5, 9), (6, 33), (7, 67)) for k in range(n)]
+    leaves = merkle.merkle_leaves(spark.createDataFrame(rows, "table_id int, key string, data string"), "key", "data")
+    whole = {tuple(r) for r in merkle.merkle_tree(leaves, 67).collect()}
+    monkeypatch.setattr(merkle, "SPAN", 2)
+    assert {tuple(r) for r in merkle.merkle_tree(leaves, 67).collect()} == whole
+    tree = {(r[0], r[1], r[2]): r[3] for r in whole}
+    for (t, level, pos), h in tree.items():
+        if level:
+            pair = [bytes.fromhex(tree.get((t, level - 1, 2 * pos + k), merkle.EMPTY_SHA1)) for k in (0, 1)]
+            assert h == hashlib.sha1(b"".join(hashlib.sha1(x).digest() for x in pair)).hexdigest()
+    assert [max(k[1] for k in tree if k[0] == t) for t in range(1, 8)] == [0, 1, 3, 3, 4, 6, 7]
