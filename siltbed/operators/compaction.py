@@ -88,18 +88,21 @@ def plan_leveled(tables: list[TableInfo], cfg: EngineConfig) -> list[dict]:
 
     While a level holds more than its limit, its oldest table goes down and takes the overlapping
     tables of the next level along. Each step names what is merged and what it becomes."""
-    live = sorted(tables, key=lambda x: (x.level, x.num))
-    nums = [t.num for t in live]
-    next_num, steps = max(nums, default=-1) + 1, []
+    levels: dict[int, list[TableInfo]] = {}
+    for t in sorted(tables, key=lambda x: x.num):
+        levels.setdefault(t.level, []).append(t)
+    next_num, steps = max((t.num for t in tables), default=-1) + 1, []
     for level in range(1, cfg.level_count):
-        while len(here := [t for t in live if t.level == level]) > cfg.level_limit(level):
-            pushed = min(here, key=lambda x: x.num)
-            hit = [t for t in live if t.level == level + 1 and t.first_key <= pushed.last_key and pushed.first_key <= t.last_key]
+        here, below = levels.get(level, []), levels.get(level + 1, [])
+        for pushed in here[:max(0, len(here) - cfg.level_limit(level))]:
+            hit = [t for t in below if t.first_key <= pushed.last_key and pushed.first_key <= t.last_key]
             merged = [pushed, *hit]
             out = TableInfo(level + 1, next_num, min(t.first_key for t in merged), max(t.last_key for t in merged))
             steps.append({"level": level, "inputs": [t.num for t in merged], "output": next_num})
-            live = [t for t in live if t not in merged] + [out]
+            gone = {t.num for t in hit}
+            below = [t for t in below if t.num not in gone] + [out]  # the output has the greatest number
             next_num += 1
+        levels[level + 1] = below
     return steps
 
 
@@ -110,13 +113,15 @@ def leveled(tables: DataFrame, cfg: EngineConfig) -> DataFrame:
     aggregation merges all of them: the data is shuffled once, however many steps the plan has."""
     catalog = [TableInfo(r["level"], r["run_id"], r["first_key"], r["last_key"])
                for r in table_ranges(tables, ["run_id", "level"]).toLocalIterator()]
-    where = {t.num: (t.num, t.level) for t in catalog}
+    place, into = {t.num: (t.num, t.level) for t in catalog}, {}
     for step in plan_leveled(catalog, cfg):
-        for run, (num, _) in list(where.items()):
-            if num in step["inputs"]:
-                where[run] = (step["output"], step["level"] + 1)
+        into |= dict.fromkeys(step["inputs"], step["output"])
+        place[step["output"]] = (step["output"], step["level"] + 1)
+    final: dict[int, int] = {}
+    for num in sorted(place, reverse=True):  # an output has a greater number than what goes into it
+        final[num] = final[into[num]] if num in into else num
     spark = tables.sparkSession
-    moves = spark.createDataFrame([(r, n, v) for r, (n, v) in where.items()], "run_id int, table_num int, to_level int")
+    moves = spark.createDataFrame([(t.num, *place[final[t.num]]) for t in catalog], "run_id int, table_num int, to_level int")
     placed = tables.join(moves, "run_id").drop("level", "run_id").withColumnRenamed("to_level", "level")
     return kway_merge(placed, ["level", "table_num"])
 
