@@ -57,7 +57,20 @@ QUERIES = {f.__name__: f for f in (
 QUERIES["pipeline"] = corpus_pipeline.run
 
 WORDS = r"regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+')"
+BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+ (1 + ((('0x' || substr(sha1(payload), 1 + 5 * (i // 4), 5))::BIGINT >> (5 * (3 - i % 4))) & 31))::INT, 1)), '')"""
+PLAIN_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 ORACLES = {
+    "op1_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), t AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS top FROM p)
+ SELECT page_id, strlen(payload) AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < top THEN top END AS refers_to FROM t""",
+    "op10_ngram_jaccard": f"""WITH RECURSIVE d AS (SELECT doc_id, {PLAIN_WORDS} AS w FROM documents),
+ sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+ links AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+ low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM low LEFT JOIN n USING (doc_id)""",
     "op5_decontamination": f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), b AS (SELECT item_id, {WORDS} AS w FROM benchmark),
  ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
  bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
