@@ -64,6 +64,16 @@ ORACLES = {
     "op1_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), t AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS top FROM p)
  SELECT page_id, strlen(payload) AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id < top THEN top END AS refers_to FROM t""",
+    "op9_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ w AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, strlen(h) // 2 - 199)) AS p FROM d WHERE strlen(h) >= 400)),
+ hit AS (SELECT doc_id, p FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+ cut AS (SELECT *, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200, true) AS fresh FROM hit),
+ numbered AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM cut),
+ runs AS (SELECT doc_id, min(p) AS s, max(p) + 200 AS e FROM numbered GROUP BY doc_id, run),
+ ends AS (SELECT doc_id, s, e FROM runs UNION ALL SELECT doc_id, strlen(h) // 2, NULL FROM d),
+ parts AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s, e), 0) AS b FROM ends)
+ SELECT doc_id, any_value(strlen(h) // 2) AS n_bytes, coalesce(sum(e - s), 0)::BIGINT AS n_removed, count(e) AS n_spans,
+  sha256(unhex(string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' ORDER BY s, e))) AS kept_sha256 FROM parts JOIN d USING (doc_id) GROUP BY doc_id""",
     "op10_ngram_jaccard": f"""WITH RECURSIVE d AS (SELECT doc_id, {PLAIN_WORDS} AS w FROM documents),
  sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
  n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
