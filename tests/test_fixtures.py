@@ -1,6 +1,7 @@
 """Known inputs and results of the single operators."""
 
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -112,3 +113,30 @@ def test_merkle_blocks_agree_with_one_pass(spark, monkeypatch):
             pair = [bytes.fromhex(tree.get((t, level - 1, 2 * pos + k), merkle.EMPTY_SHA1)) for k in (0, 1)]
             assert h == hashlib.sha1(b"".join(hashlib.sha1(x).digest() for x in pair)).hexdigest()
     assert [max(k[1] for k in tree if k[0] == t) for t in range(1, 8)] == [0, 1, 3, 3, 4, 6, 7]
+
+
+def test_leveled_tables_equal_a_step_by_step_model(spark):
+    rng = random.Random(4)
+    cfg = EngineConfig(level_count=4, level_num=2, t=2)
+    tables, rows, seq = {1: {}, 2: {}, 3: {}, 4: {}}, [], 0
+    for run in range(23):
+        low = rng.randrange(60)
+        keys = rng.sample(range(low, low + 12), 6)
+        tables[1][run] = {}
+        for k in keys:
+            rows.append((run, 1, f"k{k:03d}", seq, seq, "v", False))
+            tables[1][run][f"k{k:03d}"] = seq
+            seq += 1
+    number = 23
+    for level in (1, 2, 3):
+        while len(tables[level]) > cfg.level_limit(level):
+            oldest = tables[level].pop(min(tables[level]))
+            inside = [n for n, t in tables[level + 1].items() if min(t) <= max(oldest) and min(oldest) <= max(t)]
+            merged = dict(oldest)
+            for t in [tables[level + 1].pop(n) for n in inside]:
+                merged = {k: max(merged.get(k, -1), t.get(k, -1)) for k in {*merged, *t}}
+            tables[level + 1][number] = merged
+            number += 1
+    df = spark.createDataFrame(rows, "run_id int, level int, key string, seq long, ts long, value string, tombstone boolean")
+    got = compaction.leveled(df, cfg).select("level", "table_num", "key", "seq").collect()
+    assert sorted(map(tuple, got)) == sorted((lv, n, k, s) for lv, some in tables.items() for n, t in some.items() for k, s in t.items())
