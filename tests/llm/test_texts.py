@@ -157,6 +157,28 @@ def test_samples_follow_the_lattice(tokenizer):
     assert kappa == -np.inf and abs(sum(np.exp(x[1]) for x in every) - 1) < 1e-6  # all segmentations, each once
 
 
+@pytest.mark.parametrize("text", ["getz", "belich", "  to be\nor  a日b", "né\U0001F600t"])
+def test_lattice_holds_every_segmentation(tokenizer, text):
+    sp, auto = tokenizer
+    whole = sp.normalize(text)
+    normal = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+
+    def splits(rest):
+        if not rest:
+            yield ()
+        for k in range(1, len(rest) + 1):
+            if rest[:k] in normal:
+                yield from ((normal[rest[:k]], *x) for x in splits(rest[k:]))
+        if rest and rest[0] not in normal:
+            yield from ((*(sp.piece_to_id(f"<0x{b:02X}>") for b in rest[0].encode()), *x) for x in splits(rest[1:]))
+
+    weight = {x: sum(max(sp.get_score(i), -1e5) / piece_sampling.SCALE - piece_sampling.COST for i in x) for x in splits(whole)}
+    total = np.logaddexp.reduce(list(weight.values()))
+    got, kappa = piece_sampling.top_k(auto, np.array(sp.encode(text)), 10**5, piece_sampling.generator(1, 1, ""))
+    assert kappa == -np.inf and len(got) == len(weight) and all(sp.decode(p.tolist()) == text for _, _, p in got)
+    assert all(abs(logp - (weight[tuple(p.tolist())] - total)) < 1e-9 for _, logp, p in got)
+
+
 @pytest.mark.parametrize("html,text", [
     (None, ""), ("", ""), ("plain", "plain"),
     ("<p>a<p>b", "a\n\nb"), ("<div>a</div><div>b <b>c</b></div>", "a\nb c"),
