@@ -338,10 +338,10 @@ def set_rows(width: int, separator: np.ndarray):
 
 
 def similar_groups(docs: DataFrame, width: int = 5, threshold: int = 80, separator: np.ndarray = C.ASCII_SPACE) -> DataFrame:
-    """(k2, doc_id, n_shingles, class_id, component_id): one row per document.
+    """(k2, doc_id, n_shingles, class_id, component_id, root): one row per document.
 
     Sets link when 100 * intersection >= ``threshold`` * union; k2 is the key of the row's content and class_id the
-    smallest id among documents with an equal set."""
+    smallest id among documents with an equal set. root is the component itself, a content key: ids may be null or equal in several."""
     spark = C.prepared(docs)
     keyed = docs.select(C.text_key(F.col("doc_id"), F.col("text")).alias("k2"), "doc_id", "text")
     heavy = spark.sparkContext.broadcast(heavy_shingles(docs, width, separator))
@@ -366,11 +366,11 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: int = 80, separat
     comps = C.connected_components(links, "jaccard-cc")
     placed = classes.join(comps, "node", "left").withColumn("root", F.coalesce("component", "node"))
     smallest = placed.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    placed = C.materialize(placed.join(smallest, "root").select("s1", "s2", "class_id", "component_id"), "jaccard-placed")
+    placed = C.materialize(placed.join(smallest, "root").select("s1", "s2", "class_id", "component_id", "root"), "jaccard-placed")
     own = F.col("n") == 0
     return members.join(placed, ["s1", "s2"], "left").select(
         "k2", "doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(own, F.col("k2")).otherwise(F.col("root")).alias("root"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
@@ -379,6 +379,6 @@ def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     groups = similar_groups(docs, width, threshold)
     ranked = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "k2")
     linked = groups.filter("n_shingles > 0")
-    kept = linked.groupBy("component_id").agg(F.min(ranked).alias("r")).select(F.col("r.k2").alias("k2"))
+    kept = linked.groupBy("root").agg(F.min(ranked).alias("r")).select(F.col("r.k2").alias("k2"))
     kept = kept.unionByName(groups.filter("n_shingles = 0").select("k2")).distinct().withColumnRenamed("k2", C.KEY)
     return C.keyed(docs).join(C.materialize(kept, "jaccard-kept"), C.KEY, "left_semi").dropDuplicates([C.KEY]).select(*docs.columns)

@@ -26,6 +26,12 @@ def test_one_of_each_group_stays(spark):
     assert kept == sorted({c if n else i for i, n, c in components(ROWS, 5, 80)})
 
 
+def test_components_without_an_id_of_their_own_stay(spark):
+    texts = ["a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x", "a b c d e f"]
+    rows = [(i, t, "en", "s") for i, t in zip([None, None, 7, 7, None], texts)]
+    assert sorted(r.text for r in ngram_jaccard.keep_one(frame(spark, rows)).collect()) == sorted(set(texts))
+
+
 def test_halved_bitmaps_cover_the_members():
     rng = np.random.default_rng(1)
     u = np.unique(rng.integers(0, 2**63, 500).astype(np.uint64))
