@@ -3,8 +3,8 @@
 A tokenizer and a tree builder with implied tags make a tree (html, head and body aren't needed; p, li, dt, dd, options, rows and
 cells are closed by what follows; void elements have no children). A renderer walks it once: invisible elements (head, script,
 style, template, hidden ones and those styled away) give nothing, blocks are set apart by line breaks, paragraphs and headings by a
-blank line, list items have bullets or numbers and are indented by depth, tables are rows of cells aligned in columns, pre keeps
-its white space. All visible text comes out, boilerplate included.
+blank line, list items have bullets or numbers and are indented by depth, tables are rows of cells aligned in columns, pre and xmp keep
+their white space. svg and math give the text that they draw; aria-hidden hides nothing from the screen. All visible text comes out, boilerplate included.
 
 Null and empty html gives empty text; broken markup gives what can be read; repeated rows are rendered each; other columns are
 ignored. The walk keeps its own stack, so deep nesting is no limit.
@@ -25,7 +25,9 @@ from siltbed.llm import common as C
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-INVISIBLE = frozenset("head script style template noscript title datalist iframe object audio video canvas svg math area param rp noembed noframes".split())
+INVISIBLE = frozenset("head script style template noscript title datalist iframe object audio video canvas area param rp noembed noframes".split())
+#: Elements that are not drawn where they stand inside svg or math.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask marker pattern annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup "
                   "html legend li main menu nav ol optgroup option search section summary ul table thead tbody tfoot tr caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote table ul ol dl hr figure".split())
@@ -107,10 +109,16 @@ def build(source: str) -> Node:
             pop_to(len(stack) - 1)
         extra = m[3] or ""
         given = attributes(extra) if extra.strip("/ \t\r\n") else {}
-        hidden = name in INVISIBLE or "hidden" in given or given.get("aria-hidden") == "true" or bool(AWAY.search(given.get("style", ""))) or name == "input"
+        hidden = name in INVISIBLE or "hidden" in given or bool(AWAY.search(given.get("style", ""))) or name == "input"
+        foreign = open_.get("svg") or open_.get("math")
+        hidden = hidden or bool(foreign and name in UNDRAWN)
         start = int(given["start"]) if given.get("start", "").lstrip("-").isdigit() and len(given["start"]) < 9 else 1
-        node = Node(name, hidden, start)
+        node = Node("pre" if name == "xmp" else name, hidden, start)
+        if foreign and name in ("text", "mtd"):
+            stack[-1].children.append(" ")  # labels and cells are apart on the screen
         stack[-1].children.append(node)
+        if (foreign or name in ("svg", "math")) and extra.rstrip().endswith("/"):
+            continue
         if name in VOID:
             if name == "img" and not hidden and given.get("alt"):
                 node.children.append(given["alt"])
@@ -120,6 +128,8 @@ def build(source: str) -> Node:
             stop = end.start() if end else n
             if name == "textarea":
                 node.children.append(entities.unescape(source[at:stop]))
+            elif name == "xmp":
+                node.children.append(source[at:stop])
             at = end.end() if end else n
             continue
         stack.append(node)

@@ -193,6 +193,15 @@ def test_rendering(html, text):
     assert html_text.extract(html) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("a <span aria-hidden=true>x</span> b", "a x b"), ("<xmp><b>&amp;\n c</xmp>d", "<b>&amp;\n c\n\nd"),
+    ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=tex>x=2</annotation></math> y", "x=2 y"),
+    ("<svg><title>t</title><defs><text>no</text></defs><path d='M0'/><desc/><text>Jan</text><text>Feb</text></svg> z", "Jan Feb z"),
+])
+def test_drawn_text_is_visible(html, text):
+    assert html_text.extract(html) == text
+
+
 def test_deep_and_long_html(spark):
     assert html_text.extract("<div>" * 20000 + "x") == "x"
     assert html_text.extract("<ul><li>" * 300 + "x").endswith("x")
