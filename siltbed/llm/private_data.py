@@ -1,7 +1,8 @@
 """Personal data: exact base recognisers and bootstrapped contextual extraction.
 
 One pass over the texts finds the base spans (email, ip, card, phone) and the other identifier-like tokens, each with its
-lexical context: the word before it. Base entities are the seeds. A bipartite graph of patterns (contexts) and instances
+lexical context: the word before it. Digit groups apart by spaces, parentheses, dots or
+hyphens are one token, beside the unbroken tokens in them. Base entities are the seeds. A bipartite graph of patterns (contexts) and instances
 (token values) is scored in rounds: a pattern's confidence is the mean score of its instances, with ``DOUBT`` added to the
 count; an unseen instance's score is one minus the product of its patterns' doubts. Instances that reach ``ACCEPT`` by
 patterns that ``SUPPORT`` distinct seeds induced are found; their spans have the kind ``id`` and follow the base kinds.
@@ -31,6 +32,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
 TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9_./+@-]{4,}[A-Za-z0-9]")
+GROUPED = re.compile(r"(?<![A-Za-z0-9_./+@-])\(?[A-Za-z]{0,4}[0-9]++(?:(?:[\x20.-]|\)[\x20.-]?|\x20\()(?:[0-9]{2,}+|[A-Z]{4}(?=\x20[0-9])))++(?![A-Za-z0-9_/+@]|[.-][A-Za-z0-9])")
 WORD = re.compile(r"([^\W\d_]+)\W*$")
 SPANS = "__private_spans__"
 LEAST_DIGITS = 4  # digits of an identifier-like token
@@ -91,14 +93,16 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
     if DIGIT.search(text):
         taken = sorted((a, b) for _, a, b in base)
         k = 0
-        for m in TOKEN.finditer(text):
-            if sum("0" <= ch <= "9" for ch in m[0]) < LEAST_DIGITS:
+        groups = [m.span() for m in GROUPED.finditer(text) if m.end() - m.start() >= 6 and any(ch in " ()" for ch in m[0])]
+        for start, end in sorted([*groups, *(m.span() for m in TOKEN.finditer(text))]):
+            value = text[start:end]
+            if sum("0" <= ch <= "9" for ch in value) < LEAST_DIGITS:
                 continue
-            while k < len(taken) and taken[k][1] <= m.start():
+            while k < len(taken) and taken[k][1] <= start:
                 k += 1
-            if k < len(taken) and taken[k][0] < m.end():
+            if k < len(taken) and taken[k][0] < end:
                 continue
-            out.append({"pattern": left_word(text, m.start()), "value": m[0].lower(), "seed": False, "s": m.start(), "e": m.end()})
+            out.append({"pattern": left_word(text, start), "value": value.lower(), "seed": False, "s": start, "e": end})
     return [x for x in out if x["pattern"]]
 
 

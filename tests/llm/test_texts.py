@@ -117,6 +117,16 @@ def test_text_outweighs_a_wrong_declaration(spark):
     assert language_id.identify(language_id.document_rows(frame(spark, rows).limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("text,span", [
+    ("dial 555 010 7777 now", "555 010 7777"), ("dial (555) 010-7777.", "(555) 010-7777"), ("account 1234 5678 9012", "1234 5678 9012"),
+    ("iban DE89 3704 0044 0532 0130 00 ok", "DE89 3704 0044 0532 0130 00"), ("iban GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 32"),
+    ("dial 555-010-7777", "555-010-7777"), ("in 2020. 1500 went", None),
+])
+def test_grouped_digits_are_one_candidate(text, span):
+    found = private_data.candidates(text, [])
+    assert [(x["pattern"], text[x["s"]:x["e"]]) for x in found] == ([(text.split()[0], span)] if span else [])
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     import sentencepiece
