@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,14 +95,29 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+LONG = 64  # bytes from which a word is hashed by itself
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, from a prefix sum over its lower-cased (A-Z) bytes."""
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[LOWER[data]] * powers(BASE, len(data)), out=sums[1:])
-        back = powers(BASE_INVERSE, len(data))
-        raw = (sums[ends] - sums[starts]) * back[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * MIX_B)
+    """A 64-bit hash of each word in lower case (A-Z): its length, then eight bytes at a time, go through a finaliser, so
+    that words differ by chance alone. Long words are digested whole."""
+    low = np.concatenate([LOWER[data], np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), np.dtype("<u8"), low.data, strides=(1,))
+    size = ends - starts
+    out = mix(size.astype(np.uint64))
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(low[starts[i]:ends[i]].data, digest_size=8).digest(), "little")
+    at = np.flatnonzero(size <= LONG)
+    done = 0
+    while len(at):
+        left = size[at] - done
+        part = eights[starts[at] + done]
+        short = left < 8
+        part[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[at] = mix(out[at] ^ part)
+        done += 8
+        at = at[left > 8]
+    return out
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +155,14 @@ KEY = "__content_key__"  # the key's name beside columns of the caller's
 
 
 def text_key(doc_id: Column, text: Column) -> Column:
-    """A key of a row by what it holds: equal rows get equal keys on every read of a table, whatever the order."""
-    return F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text)
+    """A key of a row by what it holds, 128 bits: equal rows get equal keys on every read of a table, whatever the order."""
+    plain = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.when(doc_id.isNull(), "-").otherwise(":"), F.when(text.isNull(), "-").otherwise(":"), F.coalesce(text, F.lit("")))
+    return F.unhex(F.md5(plain))
+
+
+def key_pair(doc_id: Column, text: Column) -> list[Column]:
+    """The same as two longs ``ka`` and ``kb``, for packed entries."""
+    return [F.xxhash64(F.lit(seed), doc_id.isNull(), doc_id, text.isNull(), text).alias(name) for seed, name in ((0x5EED, "ka"), (0x0DD, "kb"))]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -178,13 +200,14 @@ def connected_components(edges: DataFrame, label: str) -> DataFrame:
     return materialize(nodes.unionByName(roots).groupBy("node").agg(F.min("component").alias("component")), label)
 
 
-BATCH_ROWS = 256  # rows of an Arrow batch, so that a batch of long texts fits a worker
+BATCH_ROWS, BATCH_BYTES = 256, 64 << 20  # of an Arrow batch, so that a batch of long texts fits a worker
 
 
 def prepared(df: DataFrame) -> SparkSession:
-    """The session, set to small Arrow batches."""
+    """The session, set to small Arrow batches. The setting is read when a plan runs, so it stays; it changes no result."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

@@ -121,7 +121,7 @@ def identify(rows: DataFrame, suffix_languages: dict[str, str] | None = None) ->
     rows = rows.withColumn("declared", clean_label(F.col("declared"))).withColumn("text", F.coalesce("text", F.lit("")))
     langs, table = fit(rows.select("k2", "text", F.col("declared").alias("lang")))
     cols = rows.select("k2", "doc_id", "host", "suffix", "declared", "text")
-    schema = "k2 long, doc_id long, host string, suffix string, declared string, n_grams long, ll array<double>"
+    schema = "k2 binary, doc_id long, host string, suffix string, declared string, n_grams long, ll array<double>"
     scored = C.materialize(cols.mapInArrow(likelihood_rows(spark.sparkContext.broadcast(table)), schema), "language-text")
     base = ["k2", "doc_id", "declared"]
     enough = F.col("n_grams") >= LEAST_GRAMS

@@ -4,13 +4,18 @@
 2. Two sets within the threshold share one of the first n - ceil(t n) + 1 shingles of each under any one order
    of all shingles. The order puts very frequent shingles last, so they seldom choose candidates; the list of
    frequent ones has a fixed size and only steers speed. Prefix entries travel as packed blocks.
-3. Classes that meet at a prefix shingle join the group of the smallest class there. Each group runs a dual
-   traversal of a signature tree: nodes hold OR-combined token bitmaps and size ranges, and a pair of nodes is
-   pruned by its largest possible overlap, its sizes, or because all its members are joined already. The first
-   traversal has signatures only and leaves groups of classes that may link; the second has the whole sets of those
-   and compares them at its leaves. A group beyond ``GROUP`` members is dealt as pairs of blocks, so that no task holds it.
-4. Links (a spanning set of each group) give components.
-
+3. Classes that meet at a prefix shingle join the group of the smallest class there, its leader. A shingle that one task finds
+   ``HOT`` times sends one entry on and keeps its classes with the task until the leader is known, so no task meets all of them.
+4. Every member is compared with its leader: by signatures first, then on whole sets; members are dealt among tasks that have the
+   leader each. In a group of many near copies that joins nearly all of them in time linear in their number.
+5. The rest of a group, members that don't link with the leader, meet all other members. Members are cut into blocks of about ``GROUP``
+   classes and ``SHINGLES`` shingles, a pair of blocks with such a rest is a unit, and each unit runs a dual traversal of a signature
+   tree: nodes hold OR-combined token bitmaps and size ranges, and a pair of nodes is pruned by its largest possible overlap, its sizes,
+   or because all its members are joined already. The first traversal has signatures only and leaves groups of classes that may link;
+   the second has the whole sets of those and compares them at its leaves.
+6. Links (a spanning set of each unit) give components.
+
+Shingles are 64-bit hashes, sets and rows are known by 128 bits.
 Nulls and empty texts have no shingles and link with nothing; a text with fewer words than the width has its whole
 sequence as its shingle; repeated rows and equal ids stay rows of their own; other columns are ignored. A null
 doc_id stays null, and its component is the smallest id in it, or null.
@@ -29,7 +34,8 @@ from siltbed.llm import common as C
 HEAVY = 100_000  # entries of the list of frequent shingles: a bounded broadcast
 HEAVY_DF = 64  # documents that make a shingle frequent
 ENTRIES = 100_000  # prefix entries of one packed part
-GROUP = 1024  # members that one block of a group holds
+HOT = 64  # entries of a prefix shingle in one task's part that make it frequent there
+GROUP, SHINGLES = 256, 500_000  # classes of a block, and the shingles that it may hold beside its last class
 LEAST_BITS, MOST_BITS = 1 << 10, 1 << 17  # a signature has four bits a shingle within these, rounded up to a power of two
 FAN = 8  # members of a leaf and children of a node
 
@@ -88,7 +94,8 @@ def least_overlap(n, threshold: int):
 
 
 def member_rows(width: int, threshold: int, separator: np.ndarray, heavy, parts: int):
-    """A function for mapInArrow: a row per document (part null), and packed prefix entries (h, s1) by part."""
+    """A function for mapInArrow: a row per document (mark null), packed prefix entries (h, s1) by part, and the classes of a
+    shingle that is frequent in this part of the task (hot); of these one entry, marked, goes to the part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = heavy.value
@@ -98,13 +105,29 @@ def member_rows(width: int, threshold: int, separator: np.ndarray, heavy, parts:
         def flush() -> pa.RecordBatch:
             h = np.concatenate(prefixes)
             s = np.repeat(np.array(owners, np.int64), [len(p) for p in prefixes])
-            part = (h % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            packed = np.stack([h.view(np.int64), s], axis=1)[order]
-            names, at = np.unique(part[order], return_index=True)
-            blobs = [packed[a:b].tobytes() for a, b in zip(at, [*at[1:], len(order)])]
-            nulls = pa.nulls(len(names), pa.int64())
-            return pa.RecordBatch.from_arrays([nulls, nulls, nulls, nulls, nulls, pa.nulls(len(names), pa.binary()), pa.array(names), pa.array(blobs, pa.binary())], names=NAMES)
+            order = np.lexsort((s, h))
+            h, s = h[order], s[order]
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(h))
+            often = np.diff(cuts) >= HOT
+            marked = np.repeat(often, np.diff(cuts))
+            first = np.zeros(len(h), bool)
+            first[cuts[:-1][often]] = True
+            names, hots, marks, blobs = [], [], [], []
+            for tag, rows in ((False, ~marked), (True, first)):
+                part = (h[rows] % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                packed = np.stack([h[rows].view(np.int64), s[rows]], axis=1)[order]
+                ids, at = np.unique(part[order], return_index=True)
+                names += ids.tolist()
+                blobs += [packed[a:b].tobytes() for a, b in zip(at, [*at[1:], len(order)])]
+                marks += [tag] * len(ids)
+            hots += [None] * len(names)
+            for a, b in zip(cuts[:-1][often], cuts[1:][often]):
+                names.append(None)
+                hots.append(int(h[a].astype(np.int64)))
+                marks.append(True)
+                blobs.append(s[a:b].tobytes())
+            return entry_batch(names, hots, marks, blobs)
 
         for batch in batches:
             for part, data, offsets in C.slices(batch):
@@ -134,22 +157,30 @@ def member_rows(width: int, threshold: int, separator: np.ndarray, heavy, parts:
                 yield pa.RecordBatch.from_arrays([
                     part.column(part.schema.get_field_index("k2")), part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()),
                     pa.array(n_of, pa.int64()), pa.array(s1_of, pa.int64()), pa.array(s2_of, pa.int64()), pa.array(bits_of, pa.binary()),
-                    pa.nulls(part.num_rows, pa.int64()), pa.nulls(part.num_rows, pa.binary())], names=NAMES)
+                    pa.nulls(part.num_rows, pa.int64()), pa.nulls(part.num_rows, pa.int64()), pa.nulls(part.num_rows, pa.bool_()), pa.nulls(part.num_rows, pa.binary())], names=NAMES)
         if prefixes:
             yield flush()
 
     return run
 
 
-NAMES = ["k2", "doc_id", "n", "s1", "s2", "bits", "part", "entries"]
-MEMBERS = "k2 long, doc_id long, n long, s1 long, s2 long, bits binary, part long, entries binary"
+NAMES = ["k2", "doc_id", "n", "s1", "s2", "bits", "part", "hot", "mark", "entries"]
+MEMBERS = "k2 binary, doc_id long, n long, s1 long, s2 long, bits binary, part long, hot long, mark boolean, entries binary"
+
+
+def entry_batch(parts: list, hots: list, marks: list[bool], blobs: list[bytes]) -> pa.RecordBatch:
+    n, longs = len(blobs), pa.nulls(len(blobs), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.binary()), longs, longs, longs, longs, pa.nulls(n, pa.binary()), pa.array(parts, pa.int64()),
+                                       pa.array(hots, pa.int64()), pa.array(marks, pa.bool_()), pa.array(blobs, pa.binary())], names=NAMES)
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts in order: (leader, member) for every prefix shingle that several classes have; the leader is the smallest."""
+    """Parts in order: (leader, member, null) for every prefix shingle that several classes have, and (leader, null, shingle) for those
+    with marked entries; the leader is the smallest class."""
 
-    def close(blobs: list[bytes]) -> pa.RecordBatch:
-        e = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
+    def close(blobs: list[bytes], marked: list[bytes]) -> pa.RecordBatch:
+        m = np.frombuffer(b"".join(marked), np.int64).reshape(-1, 2)
+        e = np.concatenate([np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2), m])
         e = e[np.lexsort((e[:, 1], e[:, 0]))]
         first = np.concatenate([[True], e[1:, 0] != e[:-1, 0]])
         leader = e[np.maximum.accumulate(np.where(first, np.arange(len(e)), 0)), 1]
@@ -157,18 +188,33 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(pairs):
             pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
             pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])]
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["leader", "member"])
-
-    now, blobs = None, []
+        known = first & np.isin(e[:, 0], m[:, 0])
+        n, k = len(pairs), int(known.sum())
+        none = lambda count: pa.nulls(count, pa.int64())
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([pairs[:, 0], e[known, 1]])), pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), none(k)]),
+            pa.concat_arrays([none(n), pa.array(e[known, 0], pa.int64())])], names=["leader", "member", "hot"])
+
+    now, blobs, marked = None, [], []
     for batch in batches:
-        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if part != now and blobs:
-                yield close(blobs)
-                blobs = []
+        for part, tag, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if part != now and (blobs or marked):
+                yield close(blobs, marked)
+                blobs, marked = [], []
             now = part
-            blobs.append(blob.as_py())
-    if blobs:
-        yield close(blobs)
+            (marked if tag else blobs).append(blob.as_py())
+    if blobs or marked:
+        yield close(blobs, marked)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(leader, classes of a frequent shingle in one part of a task) to (leader, member)."""
+    for batch in batches:
+        some = [np.unique(np.frombuffer(b.as_py(), np.int64)) for b in batch.column(1)]
+        leader = np.repeat(batch.column(0).to_numpy(), [len(x) for x in some])
+        member = np.concatenate([*some, np.zeros(0, np.int64)])
+        other = leader != member
+        yield pa.RecordBatch.from_arrays([pa.array(leader[other], pa.int64()), pa.array(member[other], pa.int64())], names=["leader", "member"])
 
 
 class SignatureTree:
@@ -194,8 +240,27 @@ class SignatureTree:
         return ok
 
 
-def links_of(bits: list[np.ndarray], sizes: list[int], blocks: list[int], threshold: int, sets: list[np.ndarray] | None) -> list[tuple[int, int]]:
-    """Spanning links among members; without ``sets``, of pairs that their signatures let pass.
+def may_link(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, threshold: int) -> bool:
+    """Whether two sets of these bitmaps and sizes may be within the threshold."""
+    while len(a) > len(b):
+        a = halved(a)
+    while len(b) > len(a):
+        b = halved(b)
+    most = int(np.bitwise_count(a & b).sum()) + min(n_a - int(np.bitwise_count(a).sum()), n_b - int(np.bitwise_count(b).sum()))
+    return (100 + threshold) * min(most, n_a, n_b) >= threshold * (n_a + n_b)
+
+
+def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets are within the threshold."""
+    if 100 * min(len(a), len(b)) < threshold * max(len(a), len(b)):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= threshold * (len(a) + len(b) - both)
+
+
+def links_of(bits: list[np.ndarray], sizes: list[int], blocks: list[int], hubs: list[int | None], threshold: int, sets: list[np.ndarray] | None) -> list[tuple[int, int]]:
+    """Spanning links among members; without ``sets``, of pairs that their signatures let pass. Members with the same hub are joined
+    with each other through it, so they aren't compared.
 
     Sizes of a pair differ by less than two times, so their bitmaps are of equal length or one step apart: there is a tree for each
     length, which also holds the members of the next length with halved bitmaps. Where the members are of two blocks, only pairs
@@ -232,94 +297,151 @@ def links_of(bits: list[np.ndarray], sizes: list[int], blocks: list[int], thresh
             if i == j or not (shorter[i] or shorter[j]):
                 continue
             p, q = at[i], at[j]
-            if cross and blocks[p] == blocks[q] or find(p) == find(q):
+            if cross and blocks[p] == blocks[q] or find(p) == find(q) or hubs[p] is not None and hubs[p] == hubs[q]:
+                continue
+            if sets is not None and not linked(sets[p], sets[q], threshold):
                 continue
-            if sets is not None:
-                a, b = sets[p], sets[q]
-                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                if 100 * both < threshold * (len(a) + len(b) - both):
-                    continue
             parent[find(p)] = find(q)
             found.append((p, q))
     return found
 
 
-def signature_groups(rows: list[tuple], threshold: int) -> tuple[list[int], list[int]]:
-    """(leader, member) of the classes of a group that may link; rows are (block, s1, (n, bits))."""
-    bits = [np.frombuffer(r[2][1], np.uint8) for r in rows]
-    found = links_of(bits, [r[2][0] for r in rows], [r[0] for r in rows], threshold, None)
+def signature_groups(rows: list[tuple], threshold: int) -> list[tuple]:
+    """(leader, member, hub) of the classes of a unit that may link; rows are (block, class, hub, (n, bits))."""
+    bits = [np.frombuffer(r[3][1], np.uint8) for r in rows]
+    found = links_of(bits, [r[3][0] for r in rows], [r[0] for r in rows], [r[2] for r in rows], threshold, None)
     near: dict[int, list[int]] = {}
     for i, j in found:
         near.setdefault(i, []).append(j)
         near.setdefault(j, []).append(i)
-    leaders, members, seen = [], [], set()
+    out, seen = [], set()
     for i in near:
         if i not in seen:
             seen.add(i)
             some, stack = [], [i]
             while stack:
                 x = stack.pop()
-                some.append(rows[x][1])
+                some.append(rows[x])
                 for y in near[x]:
                     if y not in seen:
                         seen.add(y)
                         stack.append(y)
-            leaders += [min(some)] * len(some)
-            members += some
-    return leaders, members
+            leader = min(r[1] for r in some)
+            out += [(leader, r[1], r[2]) for r in some]
+    return out
+
+
+def set_links(rows: list[tuple], threshold: int) -> list[tuple]:
+    """Links of a unit; rows are (block, class, hub, (node, whole set))."""
+    sets = [np.frombuffer(r[3][1], np.uint64) for r in rows]
+    found = links_of([token_bits(s) for s in sets], [len(s) for s in sets], [r[0] for r in rows], [r[2] for r in rows], threshold, sets)
+    return [(rows[i][3][0], rows[j][3][0]) for i, j in found]
+
 
+def typed(rows: list[tuple], types: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, types)], names=[n for n, _ in types])
 
-def set_links(rows: list[tuple], threshold: int) -> tuple[list[int], list[int]]:
-    """Links of a group; rows are (block, node, (whole set,))."""
-    sets = [np.frombuffer(r[2][0], np.uint64) for r in rows]
-    found = links_of([token_bits(s) for s in sets], [len(s) for s in sets], [r[0] for r in rows], threshold, sets)
-    return [rows[i][1] for i, _ in found], [rows[j][1] for _, j in found]
 
+NEAR = [("leader", pa.int64()), ("member", pa.int64()), ("hub", pa.int64())]
+LINKS = [("a", pa.binary()), ("b", pa.binary())]
+STARS = [("leader", pa.int64()), ("member", pa.int64()), ("a", pa.binary()), ("b", pa.binary())]
 
-def by_group(work, threshold: int):
-    """A function for mapInArrow over rows (leader, bi, bj, block, member, payload ...) in order of group."""
+
+def by_unit(work, threshold: int, types: list[tuple[str, pa.DataType]]):
+    """A function for mapInArrow over rows (leader, bi, bj, block, member, hub, payload ...) in order of unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            leader, bi, bj, block, member = (batch.column(k).to_pylist() for k in range(5))
-            payload = list(zip(*(batch.column(k).to_pylist() for k in range(5, batch.num_columns))))
-            a, b = [], []
+            leader, bi, bj, block, member, hub = (batch.column(k).to_pylist() for k in range(6))
+            payload = list(zip(*(batch.column(k).to_pylist() for k in range(6, batch.num_columns))))
+            out = []
             for k in range(batch.num_rows):
                 key = (leader[k], bi[k], bj[k])
                 if key != now and rows:
-                    if len(rows) > 1:
-                        x, y = work(rows, threshold)
-                        a += x
-                        b += y
+                    out += work(rows, threshold) if len(rows) > 1 else []
                     rows = []
                 now = key
-                rows.append((block[k], member[k], payload[k]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        if len(rows) > 1:
-            a, b = work(rows, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                rows.append((block[k], member[k], hub[k], payload[k]))
+            yield typed(out, types)
+        yield typed(work(rows, threshold) if len(rows) > 1 else [], types)
+
+    return run
+
+
+def star(test, types: list[tuple[str, pa.DataType]]):
+    """A function for mapInArrow over rows (leader, salt, member, payload ...) in order of (leader, salt), leaders first: the pairs of
+    a leader and a member that pass a test of their payloads. Nothing but the leader is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hubs = None, []
+        for batch in batches:
+            leader, salt, member = (batch.column(k).to_pylist() for k in range(3))
+            payload = list(zip(*(batch.column(k).to_pylist() for k in range(3, batch.num_columns))))
+            out = []
+            for k in range(batch.num_rows):
+                if (leader[k], salt[k]) != now:
+                    now, hubs = (leader[k], salt[k]), []
+                if member[k] == leader[k]:
+                    hubs.append(payload[k])
+                else:
+                    out += [(leader[k], member[k], *found) for hub in hubs if (found := test(hub, payload[k])) is not None]
+            yield typed(out, types)
 
     return run
 
 
-def dealt_groups(groups: DataFrame, label: str) -> DataFrame:
-    """(leader, bi, bj, block, s1) of (leader, member) pairs, the leader being a member too.
+def may_pass(threshold: int):
+    def test(hub: tuple, one: tuple) -> tuple | None:
+        (n, bits), (m, more) = hub, one
+        fits = 100 * min(n, m) >= threshold * max(n, m)
+        return () if fits and may_link(np.frombuffer(bits, np.uint8), np.frombuffer(more, np.uint8), n, m, threshold) else None
+
+    return test
+
+
+def is_linked(threshold: int):
+    def test(hub: tuple, one: tuple) -> tuple | None:
+        return (hub[0], one[0]) if linked(np.frombuffer(hub[1], np.uint64), np.frombuffer(one[1], np.uint64), threshold) else None
+
+    return test
+
+
+def group_sizes(groups: DataFrame, label: str) -> DataFrame:
+    """(leader, g): the number of blocks of each group of (leader, member, n)."""
+    return C.materialize(groups.groupBy("leader").agg((F.floor(F.greatest(F.count("*") / GROUP, F.sum("n") / SHINGLES)) + 1).alias("g")), label)
+
 
-    A large group is cut into blocks, and each pair of blocks is a group of its own."""
-    sizes = groups.groupBy("leader").agg((F.floor(F.count("*") / GROUP) + 1).alias("g"))
-    return (groups.join(C.materialize(sizes, label), "leader")
-            .withColumn("block", F.pmod(F.hash("member"), F.col("g")))
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-            .select("leader", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", F.col("member").alias("s1")))
+def in_star(groups: DataFrame, payload: DataFrame, label: str) -> DataFrame:
+    """(leader, salt, member, payload ...) of (leader, member, n) for ``star``: members dealt by salt, the leader with each of them.
+    ``payload`` is joined by ``s1``."""
+    sizes = group_sizes(groups, label)
+    salt = F.pmod(F.hash("member"), F.col("g")).cast("long").alias("salt")
+    members = groups.join(sizes, "leader").select("leader", salt, "member")
+    hubs = sizes.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("salt"), F.col("leader").alias("member"))
+    rows = members.unionByName(hubs).join(payload.withColumnRenamed("s1", "member"), "member")
+    more = [c for c in payload.columns if c != "s1"]
+    return (rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("member") != F.col("leader"))
+            .select("leader", "salt", "member", *more))
 
 
-def in_order(rows: DataFrame) -> DataFrame:
-    return rows.repartition("leader", "bi", "bj").sortWithinPartitions("leader", "bi", "bj")
+def in_units(groups: DataFrame, payload: DataFrame, label: str) -> DataFrame:
+    """(leader, bi, bj, block, member, hub, payload ...) of (leader, member, hub, n) for ``by_unit``: a group is cut into blocks, and each pair
+    of blocks of which one at least has members without a hub is a unit."""
+    cut = groups.join(group_sizes(groups, label), "leader").withColumn("block", F.pmod(F.hash("member"), F.col("g")).cast("long"))
+    open_ = C.materialize(cut.filter("hub is null").groupBy("leader").agg(F.collect_set("block").alias("open")), f"{label}-open")  # g blocks at most
+    others = F.when(F.array_contains("open", F.col("block")), F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).otherwise(F.col("open"))
+    dealt = cut.join(open_, "leader").withColumn("other", F.explode(others))
+    dealt = dealt.select("leader", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "member", "hub")
+    rows = dealt.join(payload.withColumnRenamed("s1", "member"), "member")
+    more = [c for c in payload.columns if c != "s1"]
+    return (rows.repartition("leader", "bi", "bj").sortWithinPartitions("leader", "bi", "bj")
+            .select("leader", "bi", "bj", "block", "member", "hub", *more))
 
 
 def set_rows(width: int, separator: np.ndarray):
-    """A function for mapInArrow: the whole sets of the rows whose signature is the one expected."""
+    """A function for mapInArrow over (s1, s2, node, text): the whole sets of the rows whose signature is the one expected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,7 +454,7 @@ def set_rows(width: int, separator: np.ndarray):
                     if set_signature(u) == (s1, s2):
                         out.append((s1, node, u.tobytes()))
                 s1, node, sets = zip(*out) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(s1, pa.int64()), pa.array(node, pa.int64()), pa.array(sets, pa.binary())], names=["s1", "node", "entries"])
+                yield pa.RecordBatch.from_arrays([pa.array(s1, pa.int64()), pa.array(node, pa.binary()), pa.array(sets, pa.binary())], names=["s1", "node", "entries"])
 
     return run
 
@@ -347,22 +469,38 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: int = 80, separat
     heavy = spark.sparkContext.broadcast(heavy_shingles(docs, width, separator))
     parts = C.pieces(spark, C.total_bytes(docs) * (100 - threshold) // 600, ENTRIES)
     stage = C.materialize(keyed.mapInArrow(member_rows(width, threshold, separator, heavy, parts), MEMBERS), "jaccard-members")
-    members = stage.filter("part is null").select("k2", "doc_id", "n", "s1", "s2", "bits")
-    packed = stage.filter("part is not null").select("part", "entries")
-    edges = packed.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "leader long, member long").distinct()
-    edges = C.materialize(edges, "jaccard-meet")
+    members = stage.filter("mark is null").select("k2", "doc_id", "n", "s1", "s2", "bits")
+    packed = stage.filter("part is not null").select("part", "mark", "entries")
+    met = packed.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "leader long, member long, hot long")
+    met = C.materialize(met, "jaccard-meet")
+    kept = stage.filter("hot is not null").select("hot", "entries").join(met.filter("hot is not null").select("hot", "leader"), "hot")
+    kept = kept.select("leader", "entries").mapInArrow(unpacked, "leader long, member long")
     one = [F.min("doc_id").alias("class_id"), F.min("k2").alias("node"), F.max("n").alias("n"), F.max("bits").alias("bits")]
     classes = C.materialize(members.filter("n > 0").groupBy("s1", "s2").agg(*one), "jaccard-classes")
-    shared = edges.unionByName(edges.select("leader", F.col("leader").alias("member")).distinct())
-    dealt = dealt_groups(C.materialize(shared, "jaccard-shared"), "jaccard-sizes")
-    signed = in_order(dealt.join(classes.select("s1", "n", "bits"), "s1").select("leader", "bi", "bj", "block", "s1", "n", "bits"))
-    near = signed.mapInArrow(by_group(signature_groups, threshold), "leader long, member long").distinct()
-    near = C.materialize(near, "jaccard-near")
-    wanted = C.materialize(classes.join(near.select(F.col("member").alias("s1")), "s1", "left_semi").select("node", "s1", "s2"), "jaccard-wanted")
-    texts = keyed.select("k2", "text").join(wanted.hint("merge"), F.col("k2") == F.col("node")).select("s1", "s2", "node", "text")  # the same way at every size
-    sets = C.materialize(texts.mapInArrow(set_rows(width, separator), "s1 long, node long, entries binary").dropDuplicates(["node"]), "jaccard-sets")
-    whole = in_order(dealt_groups(near, "jaccard-near-sizes").join(sets, "s1").select("leader", "bi", "bj", "block", "node", "entries"))
-    links = C.materialize(whole.mapInArrow(by_group(set_links, threshold), "a long, b long"), "jaccard-links")
+    sizes = classes.groupBy(F.col("s1").alias("member")).agg(F.max("n").alias("n"))
+    groups = met.filter("member is not null").select("leader", "member").unionByName(kept).distinct().join(sizes, "member").select("leader", "member", "n")
+    groups = C.materialize(groups, "jaccard-groups")
+
+    def whole_sets(wanted: DataFrame, label: str) -> DataFrame:
+        wanted = C.materialize(wanted.select("node", "s1", "s2"), f"{label}-wanted")
+        texts = keyed.select("k2", "text").join(wanted.hint("merge"), F.col("k2") == F.col("node")).select("s1", "s2", "node", "text")  # the same way at every size
+        return C.materialize(texts.mapInArrow(set_rows(width, separator), "s1 long, node binary, entries binary").dropDuplicates(["node"]), label)
+
+    signed = classes.select("s1", "n", "bits")
+    passed = in_star(groups, signed, "jaccard-stars").mapInArrow(star(may_pass(threshold), STARS[:2]), "leader long, member long")
+    passed = C.materialize(passed.distinct().join(sizes, "member").select("leader", "member", "n"), "jaccard-passed")
+    asked = passed.select(F.col("member").alias("s1")).unionByName(passed.select(F.col("leader").alias("s1"))).distinct()
+    sets = whole_sets(classes.join(asked, "s1", "left_semi"), "jaccard-sets")
+    stars = in_star(passed, sets, "jaccard-set-stars").mapInArrow(star(is_linked(threshold), STARS), "leader long, member long, a binary, b binary")
+    stars = C.materialize(stars, "jaccard-star-links")
+    joined = stars.select("leader", "member", F.col("leader").alias("hub")).distinct()
+    rest = C.materialize(groups.join(joined, ["leader", "member"], "left").select("leader", "member", "hub", "n"), "jaccard-rest")
+    near = in_units(rest, signed, "jaccard-units").mapInArrow(by_unit(signature_groups, threshold, NEAR), "leader long, member long, hub long")
+    near = C.materialize(near.distinct().join(sizes, "member").select("leader", "member", "hub", "n"), "jaccard-near")
+    more = classes.join(near.select(F.col("member").alias("s1")), "s1", "left_semi").join(sets.select("node"), "node", "left_anti")
+    sets = sets.unionByName(whole_sets(more, "jaccard-more-sets"))
+    pairs = in_units(near, sets, "jaccard-set-units").mapInArrow(by_unit(set_links, threshold, LINKS), "a binary, b binary")
+    links = C.materialize(stars.select("a", "b").unionByName(pairs), "jaccard-links")
     comps = C.connected_components(links, "jaccard-cc")
     placed = classes.join(comps, "node", "left").withColumn("root", F.coalesce("component", "node"))
     smallest = placed.groupBy("root").agg(F.min("class_id").alias("component_id"))

@@ -122,7 +122,7 @@ def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([pdf[["k2", "doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=cols)], axis=1)
 
 
-SCANNED = ("k2 long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
+SCANNED = ("k2 binary, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
            "found array<struct<pattern:string,value:string,seed:boolean,s:int,e:int>>")
 
 

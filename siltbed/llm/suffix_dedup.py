@@ -31,7 +31,7 @@ WINDOW, GRAM = 200, 100
 ENTRIES = 500_000  # anchors of one packed part
 MERGED = 10_000  # classes of one merge part
 HOT = 2_000  # classes of a gram that are merged in one task
-ENTRY = np.dtype([("h", "<i8"), ("c", "<i8"), ("k2", "<i8"), ("pos", "<i4"), ("dlo", "<i2"), ("dhi", "<i2")])
+ENTRY = np.dtype([("h", "<i8"), ("c", "<i8"), ("ka", "<i8"), ("kb", "<i8"), ("pos", "<i4"), ("dlo", "<i2"), ("dhi", "<i2")])
 BASE_2 = np.uint64(0xD6E8FEB86659FD93)
 INVERSE_2 = np.uint64(pow(int(BASE_2), -1, 1 << 64))
 VALUES_2 = C.mix(C.BYTE_VALUES ^ C.MIX_B)
@@ -72,7 +72,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(entries without k2, index of each one's text) of all windows that lie within a text."""
+    """(entries without key, index of each one's text) of all windows that lie within a text."""
     none = np.zeros(0, ENTRY), np.zeros(0, np.int64)
     if len(data) < WINDOW:
         return none
@@ -121,7 +121,7 @@ def anchor_parts(parts: int):
             marks["pos"] = -1
             owned = np.concatenate([e[~twice], marks])
             blobs, names, known = [], [], []
-            for rows, key, tag in ((owned, owned["h"], False), (e[twice], e[twice]["c"] ^ e[twice]["k2"], True)):
+            for rows, key, tag in ((owned, owned["h"], False), (e[twice], e[twice]["c"] ^ e[twice]["ka"], True)):
                 part = (key.view(np.uint64) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 ids, cuts = np.unique(part[order], return_index=True)
@@ -135,7 +135,8 @@ def anchor_parts(parts: int):
         for batch in batches:
             for part, data, offsets in C.slices(batch):
                 e, text = anchors(data, offsets)
-                e["k2"] = np.asarray(part.column(part.schema.get_field_index("k2")))[text]
+                for k in ("ka", "kb"):
+                    e[k] = np.asarray(part.column(part.schema.get_field_index(k)))[text]
                 held.append(e)
                 n += len(e)
                 if n >= ENTRIES:
@@ -174,7 +175,7 @@ def repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield from close(blobs, known)
 
 
-OCCURRENCE = "h long, c long, k2 long, pos int, dlo short, dhi short"
+OCCURRENCE = "h long, c long, ka long, kb long, pos int, dlo short, dhi short"
 ELEMENT = "part long, run binary, h long, c long, d int, w long"
 
 
@@ -355,9 +356,12 @@ def element_rows(parts: int):
             nulls = pa.nulls(len(names), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(runs, pa.binary()), nulls, nulls, pa.nulls(len(names), pa.int32()), nulls], names=FIELDS)
 
+        last = None
         for batch in batches:
-            texts, marks = batch.column(0), batch.column(1)
+            texts, marks, ka, kb = (batch.column(k) for k in range(4))
             for i in range(batch.num_rows):
+                if last == (last := (ka[i].as_py(), kb[i].as_py())):  # a repeated row: the join puts them side by side
+                    continue
                 text = texts[i].as_py().encode()
                 hasher = None
                 for m in marks[i].as_py():
@@ -411,19 +415,20 @@ def removal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans): one row per document; spans are byte offsets start, end, ..."""
     spark = C.prepared(docs)
-    keyed = docs.select(C.text_key(F.col("doc_id"), F.col("text")).alias("k2"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    key = ["ka", "kb"]
+    keyed = docs.select(*C.key_pair(F.col("doc_id"), F.col("text")), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = C.pieces(spark, C.total_bytes(docs) // (GRAM // 2), ENTRIES // 5)
-    packed = keyed.select("k2", "text").mapInArrow(anchor_parts(parts), "part long, known boolean, entries binary")
+    packed = keyed.select(*key, "text").mapInArrow(anchor_parts(parts), "part long, known boolean, entries binary")
     occ = packed.repartition("part").sortWithinPartitions("part").mapInArrow(repeated_anchors, OCCURRENCE)
     occ = C.materialize(occ, "suffix-occurrences")
-    one = F.min(F.struct("k2", "pos", "dlo", "dhi")).alias("one")
+    one = F.min(F.struct(*key, "pos", "dlo", "dhi")).alias("one")
     classes = C.materialize(occ.groupBy("h", "c").agg(F.count("*").alias("n"), one).select("h", "c", "n", "one.*"), "suffix-classes")
     grams = C.materialize(classes.groupBy("h").agg(F.count("*").alias("n_classes")).filter("n_classes > 1"), "suffix-grams")
     open_ = classes.join(grams, "h").withColumn("mark", F.struct(
         "pos", F.col("dlo").cast("int").alias("dlo"), F.col("dhi").cast("int").alias("dhi"), "h", "c", (F.col("n") > 1).cast("int").alias("many"), (F.col("n_classes") > HOT).alias("hot")))
-    marks = open_.groupBy("k2").agg(F.collect_list("mark").alias("marks"))
+    marks = open_.groupBy(*key).agg(F.collect_list("mark").alias("marks"))
     n_parts = C.pieces(spark, classes.count(), MERGED)
-    elements = keyed.select("k2", "text").join(C.materialize(marks, "suffix-marks"), "k2").select("text", "marks")
+    elements = keyed.select(*key, "text").join(C.materialize(marks, "suffix-marks").hint("merge"), key).select("text", "marks", *key)
     elements = C.materialize(elements.mapInArrow(element_rows(n_parts), ELEMENT), "suffix-runs")
     runs = elements.filter("part is not null").select("part", "run").repartition("part").sortWithinPartitions("part")
     found = runs.mapInArrow(merged, "h long, c long, spans array<int>")
@@ -434,7 +439,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     answers = C.materialize(found.unionByName(by_window).unionByName(whole), "suffix-answers")
     pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.struct(
         (F.col("pos") - F.element_at("spans", i + 2)).alias("s"), (F.col("pos") - F.element_at("spans", i + 1) + WINDOW).alias("e")))
-    cover = occ.join(answers, ["h", "c"]).select("k2", F.explode(pairs).alias("p"))
-    cover = C.materialize(cover.groupBy("k2").agg(F.collect_set("p").alias("p")), "suffix-cover")
-    return (keyed.join(cover, "k2", "left").select("doc_id", "text", "p")
+    cover = occ.join(answers, ["h", "c"]).select(*key, F.explode(pairs).alias("p"))
+    cover = C.materialize(cover.groupBy(*key).agg(F.collect_set("p").alias("p")), "suffix-cover")
+    return (keyed.join(cover, key, "left").select("doc_id", "text", "p")
             .mapInArrow(removal_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<bigint>"))

@@ -7,8 +7,9 @@ from siltbed.llm import common, ngram_jaccard, suffix_dedup
 ROWS = corpus()
 
 
-@pytest.mark.parametrize("width,threshold,group", [(4, 85, 1024), (5, 80, 2)])
-def test_components_equal_brute_force(spark, monkeypatch, width, threshold, group):
+@pytest.mark.parametrize("width,threshold,group,hot", [(4, 85, 256, 64), (5, 80, 2, 2), (5, 80, 2, 64), (3, 60, 3, 3)])
+def test_components_equal_brute_force(spark, monkeypatch, width, threshold, group, hot):
+    monkeypatch.setattr(ngram_jaccard, "HOT", hot)
     monkeypatch.setattr(ngram_jaccard, "GROUP", group)
     got = ngram_jaccard.similar_groups(frame(spark, ROWS), width, threshold).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(components(ROWS, width, threshold), key=repr)
