@@ -1,9 +1,14 @@
 """WARC archives: a writer of one gzip member per record, and a splittable reader.
 
-The reader deals byte ranges of the archives to tasks. A task looks for gzip magic in its range, validates a candidate member by
-decoding its WARC header and by what follows it (another member, or the end of the file), and owns the records that start
-inside its range; it reads on past the end of the range to finish the last one. Neither an index nor a common
-driver list of records is needed.
+The reader deals byte ranges of the archives to tasks. A task looks for gzip magic in its range and validates a candidate member by
+decoding it: it begins with a WARC header, its checksum holds, and its block has the length that the header says and ends with it. The
+task owns the records that start inside its range; it reads on past the end of the range to finish the last one, and goes on where a
+record ends. Where a member is damaged the search goes on behind its magic, so a damaged record costs no other one. A member that is
+stored inside another one's payload is no record: where a record reaches into later ranges, what starts there before its end is left
+out again. So the records don't depend on how the archives are cut. Neither an index nor a common driver list of records is needed.
+
+Nothing is lost in silence: bytes that belong to no record are counted (``damage``), and where a manifest says how many records an
+archive has, reading fewer or more is an error, unless ``strict`` is off.
 
 The writer marks records of equal payloads: that with the largest page_id is the response, the others revisit it, if the payload
 has ``LEAST`` bytes at least. Null html is an empty payload; a null page_id is always a response that nothing refers to; of
@@ -21,11 +26,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from siltbed.llm import common as C
 
 MAGIC = b"\x1f\x8b\x08"
+START = b"WARC/1."
 ARCHIVE_BYTES = 64 << 20  # size at which a task begins another archive
 SPLIT_BYTES = 4 << 20  # bytes that one reading task unit covers
 CHUNK = 1 << 16
@@ -149,61 +155,53 @@ def header(data: bytes) -> dict[str, str] | None:
     return fields if "warc-type" in fields and fields.get("content-length", "").isdigit() else None
 
 
-def opens_record(source: Source, at: int) -> bool:
-    """Whether a gzip member at ``at`` begins with a WARC header."""
-    if source.at(at, 3) != MAGIC:
-        return False
-    unpack, seen = zlib.decompressobj(31), b""
-    try:
-        while len(seen) < 1 << 16 and b"\r\n\r\n" not in seen and at < source.size and not unpack.eof:
-            chunk = source.at(at, 4096)
-            seen += unpack.decompress(chunk)
-            at += len(chunk)
-    except zlib.error:
-        return False
-    return header(seen) is not None
-
-
 def member(source: Source, at: int) -> tuple[bytes, int] | None:
-    """(content, end) of the whole gzip member at ``at``; its checksum is verified."""
-    unpack, parts = zlib.decompressobj(31), []
+    """(content, end) of the whole gzip member at ``at`` if it begins like a WARC record; its checksum is verified."""
+    if source.at(at, 3) != MAGIC:
+        return None
+    unpack, parts, size = zlib.decompressobj(31), [], 0
+    step = 1024  # most candidates that aren't records show it at once
     try:
         while not unpack.eof:
-            chunk = source.at(at, CHUNK)
+            chunk = source.at(at, step)
             if not chunk:
                 return None
             parts.append(unpack.decompress(chunk))
             at += len(chunk)
+            if size < len(START) and not (start := b"".join(parts)[:len(START)]).startswith(START[:len(start)]):
+                return None
+            size, step = size + len(parts[-1]), CHUNK
     except zlib.error:
         return None
     return b"".join(parts), at - len(unpack.unused_data)
 
 
-def records(handle, size: int, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, fields, block) of the records that start in [start, end).
+def record(content: bytes) -> tuple[dict[str, str], bytes] | None:
+    """(fields, block) of a record that is whole: header, as many bytes as it says, and the two line ends or nothing."""
+    fields = header(content)
+    if fields is None:
+        return None
+    body = content.index(b"\r\n\r\n") + 4
+    end = body + int(fields["content-length"])
+    return (fields, content[body:end]) if end <= len(content) and content[end:] in (b"\r\n\r\n", b"") else None
+
 
-    A range's first member must be followed by another record's member or by the end of the file, so that a member stored inside
-    another's payload isn't taken for one; after it each member starts where the last one ends. Where a member is damaged, the
-    search goes on behind it."""
-    source, at, chained = Source(handle, size), start, start == 0
+def records(handle, size: int, start: int, end: int) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset, end, fields, block) of the records that start in [start, end), as far as the range alone can tell: the first ones may be
+    stored inside a record that starts before the range."""
+    source, at = Source(handle, size), start
     while at < end:
         found = source.at(at, CHUNK).find(MAGIC)
-        if not chained and found != 0:
+        if found != 0:
             at += found if found > 0 else max(1, min(CHUNK, size - at) - 2)
             continue
-        content = member(source, at) if opens_record(source, at) else None
-        if content is None:
-            chained = False
+        content = member(source, at)
+        whole = record(content[0]) if content else None
+        if whole is None:
             at += 1
             continue
-        data, nxt = content
-        if not chained and nxt < size and not opens_record(source, nxt):
-            at += 1
-            continue
-        fields = header(data)
-        body = data.index(b"\r\n\r\n") + 4
-        yield at, fields, data[body:body + int(fields["content-length"])]
-        at, chained = nxt, True
+        yield at, content[1], *whole
+        at = content[1]
 
 
 def urn_number(text: str | None) -> int | None:
@@ -212,40 +210,73 @@ def urn_number(text: str | None) -> int | None:
 
 
 def split_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, size, start, end) to records; a response's digest is taken from its payload and must agree with its header."""
+    """(path, size, start, end) to records; a response's digest is taken from its payload, and a record whose header says another
+    one is damaged."""
     for batch in batches:
         for path, size, start, end in zip(*(batch.column(k).to_pylist() for k in range(4))):
             where, name = file_system(path)
             out = []
 
             def table() -> pa.RecordBatch:
-                cols = list(zip(*out)) if out else [()] * 7
-                types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=NAMES)
+                cols = list(zip(*out)) if out else [()] * len(TYPES)
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, TYPES)], names=NAMES)
 
+            held = 0
             with where.open_input_file(name) as handle:
-                for _, fields, block in records(handle, size, start, end):
+                for at, stop, fields, block in records(handle, size, start, end):
                     kind, said = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:")
                     head, _, payload = block.partition(b"\r\n\r\n")
-                    if kind == "response" and digest(payload) != said:
-                        raise ValueError(f"{path}: the payload of {fields.get('warc-record-id')} doesn't match its digest")
+                    sound = kind != "response" or not said or digest(payload) == said
                     length = next((int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
-                    out.append((urn_number(fields.get("warc-record-id")), fields.get("warc-target-uri"), length, said, kind,
+                    out.append((path, start, at, stop, sound, urn_number(fields.get("warc-record-id")), fields.get("warc-target-uri"), length, said, kind,
                                 urn_number(fields.get("warc-refers-to")), payload.decode("utf-8", "replace") if kind == "response" else None))
-                    if len(out) >= C.BATCH_ROWS:
+                    held += len(block)
+                    if len(out) >= C.BATCH_ROWS or held >= C.BATCH_BYTES:
                         yield table()
-                        out = []
+                        out, held = [], 0
             yield table()
 
 
-NAMES = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
+PLACE = ["path", "range", "at", "stop", "sound"]
+NAMES = [*PLACE, "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+RECORDS = ("path string, range long, at long, stop long, sound boolean, page_id long, url string, payload_bytes long, payload_digest string, "
+           "record_type string, refers_to long, payload string")
+
 
+def placed_records(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """All records of the archives in a manifest (path, size) with their places, read by byte ranges and written once.
 
-def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Records of the archives in a manifest (path, size), read by byte ranges."""
+    A record that reaches over its range's end hides what starts before its own end in the ranges behind. Ranges are few (one for
+    ``split_bytes`` of an archive) and their reach is a running maximum by archive; only ranges that do hide something meet the records again."""
     spark = C.prepared(manifest)
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     ranges = manifest.filter("size > 0").withColumn("start", starts).select("path", "size", "start", F.least(F.col("start") + split_bytes, F.col("size")).alias("end"))
     n = C.pieces(spark, int(manifest.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]), split_bytes)
-    return ranges.repartition(n, "path", "start").mapInArrow(split_rows, RECORDS)
+    found = C.materialize(ranges.repartition(n, "path", "start").mapInArrow(split_rows, RECORDS), "warc-records")
+    before = Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    reach = found.groupBy("path", "range").agg(F.max("stop").alias("reach"), F.min("at").alias("first")).withColumn("hidden", F.max("reach").over(before))
+    hiding = C.materialize(reach.filter("first < hidden").select("path", "range", "hidden"), "warc-hidden")
+    if hiding.isEmpty():
+        return found
+    return found.join(hiding, ["path", "range"], "left").filter("hidden is null or at >= hidden").drop("hidden")
+
+
+def damage(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(path, size, n_records, n_unsound, lost_bytes): what reading each archive of a manifest finds. Unsound records differ from their
+    digest; lost bytes belong to no record."""
+    found = placed_records(manifest, split_bytes).groupBy("path").agg(
+        F.count("*").alias("n"), F.sum((~F.col("sound")).cast("long")).alias("n_unsound"), F.sum(F.col("stop") - F.col("at")).alias("held"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return manifest.select("path", "size").join(found, "path", "left").select(
+        "path", "size", zero("n").alias("n_records"), zero("n_unsound").alias("n_unsound"), (F.col("size") - zero("held")).alias("lost_bytes"))
+
+
+def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, strict: bool = True) -> DataFrame:
+    """Sound records of the archives in a manifest (path, size and, if known, records)."""
+    found = placed_records(manifest, split_bytes).filter("sound")
+    if strict and "records" in manifest.columns:
+        said = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+        if (read := found.count()) != said:
+            raise ValueError(f"{read} sound records were read, the manifest says {said}")
+    return found.drop(*PLACE)

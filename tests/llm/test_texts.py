@@ -36,15 +36,57 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def number_of(data, split):
+    """Record ids by range, each range alone, with what a record hides in later ranges left out as the reader does."""
+    out, reach = [], 0
+    for s in range(0, len(data), split):
+        ends = []
+        for at, stop, fields, _ in warc.records(io.BytesIO(data), len(data), s, min(len(data), s + split)):
+            ends.append(stop)
+            if at >= reach:
+                out.append(warc.urn_number(fields["warc-record-id"]))
+        reach = max([reach, *ends])
+    return out
+
+
 def test_warc_ranges_own_each_record_once():
     stored = gzip.compress(warc.record_bytes(99, "u", b"x", None, warc.digest(b"x")), 0)
-    parts = [warc.record_bytes(k, "u", stored if k % 3 == 0 else bytes([k]) * 500, None, warc.digest(b"")) for k in range(40)]
+    parts = [warc.record_bytes(k, "u", stored * (k % 5) if k % 3 == 0 else bytes([k]) * 500, None, warc.digest(b"")) for k in range(40)]
+    parts[9] = gzip.compress(gzip.decompress(parts[9]), 0)  # its payload is stored, so members lie in it as they are
     data = b"".join(parts)
-    for split in (64, 1000, 10**6):
-        found = [warc.urn_number(f["warc-record-id"]) for s in range(0, len(data), split) for _, f, _ in warc.records(io.BytesIO(data), len(data), s, min(len(data), s + split))]
-        assert found == list(range(40))
-    broken = parts[0] + b"\x1f\x8b\x08junk" + parts[1]
-    assert [warc.urn_number(f["warc-record-id"]) for _, f, _ in warc.records(io.BytesIO(broken), len(broken), 0, len(broken))] == [0, 1]
+    assert data.count(stored[:40]) >= 4
+    for split in (1, 2, 7, 64, 333, 1000, 10**6):
+        assert number_of(data, split) == list(range(40))
+
+
+def test_damage_costs_no_other_record(spark, tmp_path):
+    parts = [warc.record_bytes(k, "u", random.Random(k).randbytes(90).hex().encode(), None, warc.digest(random.Random(k).randbytes(90).hex().encode())) for k in range(5)]
+    cut = bytearray(parts[2])
+    cut[len(cut) // 2] ^= 0xFF
+    junk = b"\x1f\x8b\x08junk"
+    short = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 50\r\n\r\nabc\r\n\r\n")
+    data = parts[0] + junk + parts[1] + bytes(cut) + parts[3] + short + parts[4][:-5]
+    for split in range(1, len(data) + 1):
+        assert number_of(data, split) == [0, 1, 3]
+    wrong = parts[1] + warc.record_bytes(8, "u", b"x", None, warc.digest(b"y"))
+    paths = []
+    for name, some in (("a", data), ("b", wrong), ("c", b"none")):
+        (tmp_path / name).write_bytes(some)
+        paths.append((f"file://{tmp_path / name}", len(some), 5))
+    manifest = spark.createDataFrame(paths, "path string, size long, records long")
+    assert sorted(r.page_id for r in warc.read_archives(manifest.drop("records"), 100).collect()) == [0, 1, 1, 3]
+    with pytest.raises(ValueError, match="4 sound records"):
+        warc.read_archives(manifest, 100)
+    found = {r.path[-1]: tuple(r)[2:] for r in warc.damage(manifest, 64).collect()}
+    assert found == {"a": (3, 0, len(data) - sum(len(parts[k]) for k in (0, 1, 3))), "b": (2, 1, 0), "c": (0, 0, 4)}
+
+
+def test_long_addresses_are_read():
+    url = random.Random(1).randbytes(300_000).hex()
+    data = warc.record_bytes(1, "u", b"a", None, warc.digest(b"a")) + warc.record_bytes(2, url, b"b", None, warc.digest(b"b"))
+    for split in (1000, 10**7):
+        assert number_of(data, split) == [1, 2]
+    assert next(iter(warc.records(io.BytesIO(data), len(data), 10, len(data))))[2]["warc-target-uri"] == url
 
 
 def naive_spans(text):
