@@ -2,12 +2,18 @@
 
 The posterior of a language is the product of
 * the likelihood of the text: a letter-trigram model, fitted on a bounded sample of labelled rows
-  (``SAMPLE`` rows of each language), tempered to ``TEMPER`` independent trigrams;
+  (the ``SAMPLE`` distinct rows of each language with the smallest hashes), tempered to ``TEMPER`` independent trigrams. Where
+  the labels are the rows' own declarations, the rows are split into two folds, and a row's text is judged by the model
+  of the other fold, so that its declaration counts once;
 * the declared markup language, right with probability ``DECLARED``;
 * the address suffix, where one is mapped to a language, right with probability ``SUFFIX``;
 * the prior of the host: soft counts of text evidence over all rows of the host, smoothed towards its suffix, which is
   smoothed towards the whole corpus. These are grouped aggregations over all rows, combined before they move.
 
+Every language with ``LEAST`` labelled rows takes part. Tags are two or three letters, which bounds their number; the model takes
+128 KB a language. The given pages have suffixes (com, net, org) that name no language, so there the suffix is a level of the
+prior alone; ``documents`` have no address, so that level is the corpus itself.
+
 A row without letters is 'und' and rejected, and so is one whose best posterior is below ``ACCEPT``. Null texts are empty;
 null or unknown hosts, suffixes and declarations are no evidence; repeated rows count each; other columns are ignored.
 With no labelled rows at all every row is 'und' and none is rejected but those without letters.
@@ -19,16 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siltbed.llm import common as C
 
 BUCKETS = 1 << 14  # hashed trigrams of the text model
 SAMPLE = 4_000  # labelled rows of each language that the text model is fitted on
-LANGUAGES = 256  # languages at most, the most frequent ones
 LEAST = 5  # labelled rows that make a language
+OVER = 4  # times ``SAMPLE`` of the rows that are looked at for the sample
 TEMPER, DECLARED, SUFFIX, SMOOTH, ACCEPT, LEAST_GRAMS = 60.0, 0.9, 0.8, 20.0, 0.5, 3
 
+# Country suffixes whose sites are mostly in one language.
+SUFFIX_LANGUAGES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "cl": "es", "uk": "en", "us": "en", "au": "en", "nz": "en", "ie": "en",
+                    "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "cz": "cs", "se": "sv", "dk": "da", "no": "no", "fi": "fi", "hu": "hu", "ro": "ro",
+                    "gr": "el", "ru": "ru", "ua": "uk", "tr": "tr", "jp": "ja", "kr": "ko", "cn": "zh", "tw": "zh", "ir": "fa", "vn": "vi", "id": "id"}
+
 LETTER = np.zeros(256, bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -50,18 +61,19 @@ def trigram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 
 
 def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, bucket, n) of a task's sample."""
-    total: dict[str, np.ndarray] = {}
+    """(fold, lang, bucket, n) of a task's sample."""
+    total: dict[tuple[int, str], np.ndarray] = {}
     for batch in batches:
         for part, data, offsets in C.slices(batch):
             bucket, ok = trigram_buckets(data, offsets)
-            for i, lang in enumerate(part.column(part.schema.get_field_index("lang")).to_pylist()):
+            for i, key in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
                 a, b = offsets[i], min(offsets[i + 1], len(bucket))
                 counts = np.bincount(bucket[a:b][ok[a:b]], minlength=BUCKETS)
-                total[lang] = total.get(lang, 0) + counts
-    for lang, counts in total.items():
+                total[key] = total.get(key, 0) + counts
+    for (fold, lang), counts in total.items():
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([fold] * len(at), pa.int32()), pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())],
+                                         names=["fold", "lang", "bucket", "n"])
 
 
 def clean_label(label: Column) -> Column:
@@ -69,40 +81,60 @@ def clean_label(label: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(F.trim(label)), "^([a-z]{2,3})([-_].*)?$", 1), F.lit(""))
 
 
-def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities by bucket) from (key, text, lang)."""
-    sizes = (labelled.filter("lang is not null").groupBy("lang").count().filter(F.col("count") >= LEAST)
-             .orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
-    langs = sorted(r["lang"] for r in sizes)
+def fold_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(7), key), F.lit(2)).cast("int")
+
+
+def share(rows: int | Column) -> Column:
+    """The share of a language's rows that is looked at, however many there are."""
+    return F.least(F.lit(1.0), F.lit(float(OVER * SAMPLE)) / (F.lit(rows) if isinstance(rows, int) else rows))
+
+
+def sampled(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(text, lang, fold): of each language in ``sizes`` (lang, count) up to ``SAMPLE`` distinct rows, those with the smallest hashes
+    of their keys. Rows below a share of the hashes are looked at, so that a language of any size leaves a bounded number."""
+    rank = F.xxhash64(F.lit(17), "k2")
+    low = (rank / F.lit(2.0**64) + 0.5) < share(F.col("count"))
+    some = labelled.join(F.broadcast(sizes), "lang").filter(low).dropDuplicates(["lang", "k2"])  # sizes: a row a language
+    at = Window.partitionBy("lang").orderBy(rank, "k2")
+    return some.withColumn("at", F.row_number().over(at)).filter(F.col("at") <= SAMPLE).select("text", fold_of(F.col("k2")).alias("fold"), "lang")
+
+
+def fit(labelled: DataFrame, own: bool) -> tuple[list[str], np.ndarray]:
+    """(languages, log probabilities by fold, language and bucket) from (k2, text, lang). With ``own`` labels a fold's model is
+    fitted on the other one, else both are fitted on all."""
+    sizes = C.materialize(labelled.filter("lang is not null").groupBy("lang").count().filter(F.col("count") >= LEAST), "language-sizes")
+    langs = sorted(r["lang"] for r in sizes.select("lang").collect())  # two or three letters each
     if not langs:
-        return [], np.zeros((0, BUCKETS), np.float32)
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(min(1.0, SAMPLE / r["count"]) * 1_000_000)))])
-    sample = labelled.filter(F.col("lang").isin(langs)).filter(F.pmod(F.xxhash64(F.lit(17), "k2"), F.lit(1_000_000)) < share[F.col("lang")])
-    counts = np.full((len(langs), BUCKETS), 0.1)
-    rows = sample.select("text", "lang").mapInArrow(count_rows, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    for r in rows.collect():  # LANGUAGES * BUCKETS at most
-        counts[langs.index(r["lang"]), r["bucket"]] += r["n"]
-    return langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+        return [], np.zeros((2, 0, BUCKETS), np.float32)
+    counts = np.zeros((2, len(langs), BUCKETS))
+    rows = sampled(labelled, sizes).mapInArrow(count_rows, "fold int, lang string, bucket int, n long").groupBy("fold", "lang", "bucket").agg(F.sum("n").alias("n"))
+    for r in rows.groupBy("fold", "lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n")).toLocalIterator():
+        counts[r["fold"], langs.index(r["lang"]), r["at"]] = r["n"]
+    counts = (counts[::-1] if own else np.stack([counts.sum(axis=0)] * 2)) + 0.1
+    return langs, np.log(counts / counts.sum(axis=2, keepdims=True)).astype(np.float32)
 
 
 def likelihood_rows(model):
-    """A function for mapInArrow over (k2, doc_id, host, suffix, declared, text): the tempered log likelihoods."""
+    """A function for mapInArrow over (k2, doc_id, host, suffix, declared, fold, text): the tempered log likelihoods."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.value
+        tables = model.value
+        n_langs = tables.shape[1]
         for batch in batches:
             for part, data, offsets in C.slices(batch):
                 bucket, ok = trigram_buckets(data, offsets)
                 upto = np.concatenate([[0], np.cumsum(ok)])
                 cut = upto[np.minimum(offsets, len(ok))]
                 n = np.diff(cut)
-                used = bucket[ok]
-                out = np.zeros((part.num_rows, len(table)))
-                for k, row in enumerate(table):
-                    sums = np.concatenate([[0.0], np.cumsum(row[used], dtype=np.float64)])
+                fold = part.column(5).to_numpy(zero_copy_only=False)
+                used, its_fold = bucket[ok], np.repeat(fold, n)
+                out = np.zeros((part.num_rows, n_langs))
+                for k in range(n_langs):
+                    sums = np.concatenate([[0.0], np.cumsum(tables[its_fold, k, used], dtype=np.float64)])
                     out[:, k] = sums[cut[1:]] - sums[cut[:-1]]
                 out *= (np.minimum(n, TEMPER) / np.maximum(n, 1))[:, None]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * len(table), pa.int32()), pa.array(out.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * n_langs, pa.int32()), pa.array(out.ravel()))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(5)), pa.array(n, pa.int64()), lists],
                                                  names=["k2", "doc_id", "host", "suffix", "declared", "n_grams", "ll"])
 
@@ -115,12 +147,19 @@ def shares(scores: Column) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, v: a + v))
 
 
-def identify(rows: DataFrame, suffix_languages: dict[str, str] | None = None) -> DataFrame:
-    """(k2, doc_id, declared, language, posterior, n_grams, accepted) of rows (k2, doc_id, text, declared, host, suffix)."""
+def identify(rows: DataFrame, labelled: DataFrame | None = None, suffix_languages: dict[str, str] | None = None) -> DataFrame:
+    """(k2, doc_id, declared, language, posterior, n_grams, accepted) of rows (k2, doc_id, text, declared, host, suffix).
+
+    ``labelled`` (k2, text, lang) is what the text model is fitted on, the rows' own declarations where it isn't given;
+    ``suffix_languages`` maps address suffixes to languages, by default ``SUFFIX_LANGUAGES``."""
     spark = C.prepared(rows)
     rows = rows.withColumn("declared", clean_label(F.col("declared"))).withColumn("text", F.coalesce("text", F.lit("")))
-    langs, table = fit(rows.select("k2", "text", F.col("declared").alias("lang")))
-    cols = rows.select("k2", "doc_id", "host", "suffix", "declared", "text")
+    own = labelled is None
+    if own:
+        langs, table = fit(rows.select("k2", "text", F.col("declared").alias("lang")), True)
+    else:
+        langs, table = fit(labelled.select("k2", F.coalesce("text", F.lit("")).alias("text"), clean_label(F.col("lang")).alias("lang")), False)
+    cols = rows.select("k2", F.col("doc_id").cast("long").alias("doc_id"), "host", "suffix", "declared", fold_of(F.col("k2")).alias("fold"), "text")
     schema = "k2 binary, doc_id long, host string, suffix string, declared string, n_grams long, ll array<double>"
     scored = C.materialize(cols.mapInArrow(likelihood_rows(spark.sparkContext.broadcast(table)), schema), "language-text")
     base = ["k2", "doc_id", "declared"]
@@ -128,7 +167,6 @@ def identify(rows: DataFrame, suffix_languages: dict[str, str] | None = None) ->
     if not langs:
         return scored.select(*base, F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), "n_grams", enough.alias("accepted"))
     some = range(len(langs))
-    ll = [F.col("ll")[k] for k in some]
     soft = scored.filter(enough).select("host", "suffix", shares(F.col("ll")).alias("p"))
     sums = [F.sum(F.col("p")[k]).alias(f"s{k}") for k in some]
     by_host = C.materialize(soft.groupBy("host", "suffix").agg(F.count("*").alias("n"), *sums), "language-hosts")
@@ -144,21 +182,24 @@ def identify(rows: DataFrame, suffix_languages: dict[str, str] | None = None) ->
     priors = C.materialize(joined.select("host", "suffix", F.array(*[prior(k) for k in some]).alias("prior")), "language-priors")
     key = [F.coalesce(F.concat(F.lit("="), c), F.lit("")).alias(f"key_{c}") for c in ("host", "suffix")]
     rows2 = scored.select("*", *key).join(priors.select(*key, "prior"), ["key_host", "key_suffix"], "left")
-    wrong = float(np.log((1 - DECLARED) / max(1, len(langs) - 1)))
-    known = F.col("declared").isin(langs)
-    score = []
-    for k in some:
-        s = ll[k] + F.coalesce(F.col("prior")[k], F.lit(float(np.log(corpus[k]))))
-        s = s + F.when(known & (F.col("declared") == langs[k]), float(np.log(DECLARED))).when(known, wrong).otherwise(0.0)
-        for suffix, lang in (suffix_languages or {}).items():
-            if lang in langs:
-                p = SUFFIX if lang == langs[k] else (1 - SUFFIX) / max(1, len(langs) - 1)
-                s = s + F.when(F.col("suffix") == suffix, float(np.log(p))).otherwise(0.0)
-        score.append(s)
-    out = rows2.select(*base, "n_grams", F.array(*score).alias("s"))
+    names = F.array(*map(F.lit, langs))
+
+    def evidence(said: Column, right: float):
+        """A function of the index of a language: the log factor of a tag that is right with a probability."""
+        at = F.coalesce(F.array_position(names, said), F.lit(0))
+        wrong = float(np.log((1 - right) / max(1, len(langs) - 1)))
+        return lambda k: F.when(at == 0, 0.0).when(at == k + 1, float(np.log(right))).otherwise(wrong)
+
+    known = suffix_languages if suffix_languages is not None else SUFFIX_LANGUAGES
+    of_address = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[F.col("suffix")] if known else F.lit(None).cast("string")
+    declared, address = evidence(F.col("declared"), DECLARED), evidence(of_address, SUFFIX)
+    far = F.array(*[F.lit(float(np.log(c))) for c in corpus])  # hosts without text evidence
+    plain = F.zip_with("ll", F.coalesce("prior", far), lambda x, y: x + y)
+    score = F.transform(plain, lambda x, k: x + declared(k) + address(k))
+    out = rows2.select(*base, "n_grams", score.alias("s"))
     top = F.array_max("s")
     sure = 1 / F.aggregate(F.transform("s", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, v: a + v)
-    best = F.element_at(F.array(*map(F.lit, langs)), F.array_position("s", top).cast("int"))
+    best = F.element_at(names, F.array_position("s", top).cast("int"))
     out = out.select(*base, "n_grams", sure.alias("p"), best.alias("lang"))
     return out.select(*base, F.when(enough, F.col("lang")).otherwise("und").alias("language"),
                       F.when(enough, F.col("p")).otherwise(0.0).alias("posterior"), "n_grams", (enough & (F.col("p") >= ACCEPT)).alias("accepted"))
@@ -170,13 +211,18 @@ def document_rows(docs: DataFrame) -> DataFrame:
                        F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
 
 
+def document_labels(docs: DataFrame) -> DataFrame:
+    """(k2, text, lang) of the table ``documents``."""
+    return docs.select(C.text_key(F.col("doc_id"), F.col("text")).alias("k2"), "text", "lang")
+
+
 def page_rows(pages: DataFrame) -> DataFrame:
     """Evidence of the table ``pages``: the html element's language, the address's host and its last label."""
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1))
     bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&\w+;", " ")
     return pages.select(C.text_key(F.col("page_id"), F.col("html")).alias("k2"), F.col("page_id").alias("doc_id"), bare.alias("text"),
                         F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1).alias("declared"),
-                        host.alias("host"), F.regexp_extract(host, r"\.([a-z]+)$", 1).alias("suffix"))
+                        host.alias("host"), F.nullif(F.regexp_extract(host, r"\.([a-z]+)$", 1), F.lit("")).alias("suffix"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

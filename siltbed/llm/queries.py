@@ -35,6 +35,13 @@ def op6_language_id(spark, d):
     return language_id.identify(language_id.document_rows(table(spark, d, "documents"))).drop("k2")
 
 
+def language_of_pages(spark, d):
+    """The same operator on pages, with markup, address suffix and host; the labels are those of the documents."""
+    pages = language_id.page_rows(table(spark, d, "pages"))
+    found = language_id.identify(pages, language_id.document_labels(table(spark, d, "documents")))
+    return found.drop("k2").withColumnRenamed("doc_id", "page_id")
+
+
 def op7_html_extraction(spark, d):
     return html_text.extract_text(table(spark, d, "pages"))
 
@@ -52,7 +59,7 @@ def op10_ngram_jaccard(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_warc, op2_quality_classifier, op3_pii, op4_sentencepiece, op5_decontamination, op6_language_id, op7_html_extraction,
+    op1_warc, op2_quality_classifier, op3_pii, op4_sentencepiece, op5_decontamination, op6_language_id, language_of_pages, op7_html_extraction,
     op8_exact_topk, op9_suffix_dedup, op10_ngram_jaccard)}
 QUERIES["pipeline"] = corpus_pipeline.run
 

@@ -6,7 +6,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from helpers import frame
+from pyspark.sql import functions as F
 from test_texts import naive_spans
 
 from siltbed.llm import language_id, private_data
@@ -85,47 +87,83 @@ def plain_grams(text):
             yield ((g[0] << 16 | g[1] << 8 | g[2]) * 2654435761 & 0xFFFFFFFF) >> 18
 
 
-def test_languages_equal_brute_force(spark):
-    rng = random.Random(8)
-    vocabulary = {"en": ["the", "other", "thing", "with", "there"], "de": ["und", "nicht", "auch", "ein", "über"], "fr": ["les", "avec", "être", "nous", "où"]}
-    rows = []
-    for k in range(150):
-        lang = rng.choice(["en", "de", "fr"])
-        mixed = vocabulary[lang] + (vocabulary[rng.choice(["en", "de", "fr"])] if rng.random() < 0.3 else [])
-        said = rng.choice([lang, lang, lang.upper() + "-xx", None, rng.choice(["en", "de", "fr"]), "zz", "?"])
-        rows.append((k, " ".join(rng.choice(mixed) for _ in range(rng.choice([1, 2, 5, 30]))), said, rng.choice(["h1", "h2", "h3", None, ""])))
-    rows += [(900, None, "en", "h1"), (901, "12 3", "de", None), (902, "the", "zz", "new"), rows[3], rows[3]]
+def plain_languages(rows, labelled, folds, own, suffixes):
+    """(doc_id, declared, language, posterior, n_grams, accepted) of (doc_id, text, declared, host, suffix); labelled are (id, text, tag)
+    with a fold each."""
     clean = lambda s: (m := re.match("^([a-z]{2,3})([-_].*)?$", (s or "").strip().lower())) and m[1]
-    declared = [clean(r[2]) for r in rows]
-    langs = sorted(x for x, n in Counter(filter(None, declared)).items() if n >= 5)
+    declared, tags = [clean(r[2]) for r in rows], [clean(x[2]) for x in labelled]
+    langs = sorted(x for x, n in Counter(filter(None, tags)).items() if n >= 5)
+    distinct = {(i, t, tag, f) for (i, t, _), tag, f in zip(labelled, tags, folds["labelled"])}
     grams = [list(plain_grams(r[1] or "")) for r in rows]
-    logs = []
-    for lang in langs:
-        counts = Counter(g for said, some in zip(declared, grams) if said == lang for g in some)
-        total = sum(counts.values()) + 0.1 * (1 << 14)
-        logs.append({g: math.log((counts[g] + 0.1) / total) for some in grams for g in some})
-    texts = [[sum(t[g] for g in some) * min(len(some), 60) / max(1, len(some)) for t in logs] for some in grams]
-    hosts, whole, n_host, n_all = defaultdict(lambda: [0.0] * len(langs)), [0.0] * len(langs), Counter(), 0
+    logs = {}
+    for fold in (0, 1):
+        for lang in langs:
+            counts = Counter(g for _, t, tag, f in distinct if tag == lang and (not own or f != fold) for g in plain_grams(t or ""))
+            total = sum(counts.values()) + 0.1 * (1 << 14)
+            logs[fold, lang] = {g: math.log((counts[g] + 0.1) / total) for some in grams for g in some}
+    texts = [[sum(logs[f, k][g] for g in some) * min(len(some), 60) / max(1, len(some)) for k in langs] for some, f in zip(grams, folds["rows"])]
+    zero = lambda: [0.0] * len(langs)
+    hosts, ends, whole, n_host, n_end, n_all = defaultdict(zero), defaultdict(zero), zero(), Counter(), Counter(), 0
     for r, some, ll in zip(rows, grams, texts):
         if len(some) >= 3:
             p = [math.exp(x - max(ll)) for x in ll]
             p = [x / sum(p) for x in p]
-            n_host[r[3]] += 1
+            n_host[r[3:5]] += 1
+            n_end[r[4]] += 1
             n_all += 1
-            hosts[r[3]] = [a + b for a, b in zip(hosts[r[3]], p)]
+            hosts[r[3:5]] = [a + b for a, b in zip(hosts[r[3:5]], p)]
+            ends[r[4]] = [a + b for a, b in zip(ends[r[4]], p)]
             whole = [a + b for a, b in zip(whole, p)]
     corpus = [(x + 1) / (n_all + len(langs)) for x in whole]
-    above = [(x + 20 * c) / (n_all + 20) for x, c in zip(whole, corpus)]  # all documents share the empty suffix
     want = []
     for r, said, some, ll in zip(rows, declared, grams, texts):
-        if r[3] is None:
-            prior = above if n_host[None] else corpus
-        else:
-            prior = [(x + 20 * a) / (n_host[r[3]] + 20) for x, a in zip(hosts[r[3]], above)] if n_host[r[3]] else corpus
-        s = [x + math.log(p) + ((math.log(0.9) if said == k else math.log(0.1 / (len(langs) - 1))) if said in langs else 0) for x, p, k in zip(ll, prior, langs)]
+        above = [(x + 20 * c) / (n_end[r[4]] + 20) for x, c in zip(ends[r[4]], corpus)]
+        seen = n_host[r[3:5]]
+        prior = corpus if not seen else above if r[3] is None else [(x + 20 * a) / (seen + 20) for x, a in zip(hosts[r[3:5]], above)]
+        factor = lambda tag, right, k: 0 if tag not in langs else math.log(right) if tag == k else math.log((1 - right) / (len(langs) - 1))
+        s = [x + math.log(p) + factor(said, 0.9, k) + factor(suffixes.get(r[4]), 0.8, k) for x, p, k in zip(ll, prior, langs)]
         sure = 1 / sum(math.exp(x - max(s)) for x in s)
         fine = len(some) >= 3
-        want.append((r[0], said, langs[s.index(max(s))] if fine else "und", round(sure, 4) if fine else 0.0, len(some), fine and sure >= 0.5))
-    got = [(x.doc_id, x.declared, x.language, round(x.posterior, 4), x.n_grams, x.accepted) for x in language_id.identify(language_id.document_rows(frame(spark, rows))).collect()]
+        want.append((r[0], said, langs[s.index(max(s))] if fine else "und", sure if fine else 0.0, len(some), fine and sure >= 0.5))
+    return langs, want
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_languages_equal_brute_force(spark, own):
+    rng = random.Random(8)
+    vocabulary = {"en": ["the", "other", "thing", "with", "there"], "de": ["und", "nicht", "auch", "ein", "über"], "fr": ["les", "avec", "être", "nous", "où"]}
+
+    def make(n):
+        lang = rng.choice(["en", "de", "fr"])
+        mixed = vocabulary[lang] + (vocabulary[rng.choice(["en", "de", "fr"])] if rng.random() < 0.3 else [])
+        return lang, " ".join(rng.choice(mixed) for _ in range(n))
+
+    rows = []
+    for k in range(150):
+        lang, text = make(rng.choice([1, 2, 5, 30]))
+        said = rng.choice([lang, lang, lang.upper() + "-xx", None, rng.choice(["en", "de", "fr"]), "zz", "?"])
+        rows.append((k, text, said, rng.choice(["h1", "h2", "h3", None, ""]), rng.choice(["de", "fr", "com", None, "it"])))
+    rows += [(900, None, "en", "h1", "de"), (901, "12 3", "de", None, None), (902, "the", "zz", "new", "fr"), rows[3], rows[3]]
+    keyed = lambda some, names: spark.createDataFrame([(bytes(f"{x[0]}", "ascii"), *x) for x in some], names)
+    frame_ = keyed(rows, "k2 binary, doc_id int, text string, declared string, host string, suffix string")
+    labels = [(k, make(9)[1], rng.choice(["en", "de", "FR-x", None])) for k in range(60)]
+    labelled = keyed(labels, "k2 binary, id int, text string, lang string")
+    fold = lambda df: [r[0] for r in df.select(language_id.fold_of(F.col("k2"))).collect()]
+    folds = {"rows": fold(frame_), "labelled": fold(frame_ if own else labelled)}
+    langs, want = plain_languages(rows, [r[:3] for r in (rows if own else labels)], folds, own, language_id.SUFFIX_LANGUAGES)
+    got = [tuple(x) for x in language_id.identify(frame_, None if own else labelled).drop("k2").collect()]
     assert len(langs) >= 3 and sorted((g[:3] + g[4:] for g in got), key=repr) == sorted((w[:3] + w[4:] for w in want), key=repr)
     assert all(abs(g[3] - w[3]) < 1e-3 for g, w in zip(sorted(got, key=repr), sorted(want, key=repr)))
+
+
+def test_the_sample_of_a_language_is_bounded_and_never_empty(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 8)
+    docs = spark.range(3000).selectExpr("cast(cast(id % 1500 as string) as binary) k2", "cast(id as string) text", "if(id % 10 = 0, 'de', 'en') lang")
+    copies = spark.range(2000).selectExpr("cast('same' as binary) k2", "'same' text", "'fr' lang")
+    few = spark.range(6).selectExpr("cast(concat('f', id) as binary) k2", "'few' text", "'es' lang")
+    rows = docs.union(copies).union(few)
+    sizes = rows.groupBy("lang").count()
+    got = {r.lang: r["count"] for r in language_id.sampled(rows, sizes).groupBy("lang").count().collect()}
+    assert got["en"] == got["de"] == 8 and got["es"] == 6 and got.get("fr", 0) <= 1
+    huge = spark.range(1).select(language_id.share(5_000_000_000).alias("s")).first().s
+    assert 31 < huge * 5_000_000_000 < 33  # rows of five thousand million that are looked at
