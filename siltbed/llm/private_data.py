@@ -1,11 +1,12 @@
 """Personal data: exact base recognisers and bootstrapped contextual extraction.
 
 One pass over the texts finds the base spans (email, ip, card, phone) and the other identifier-like tokens, each with its
-lexical context: the word before it. Digit groups apart by spaces, parentheses, dots or
-hyphens are one token, beside the unbroken tokens in them. Base entities are the seeds. A bipartite graph of patterns (contexts) and instances
-(token values) is scored in rounds: a pattern's confidence is the mean score of its instances, with ``DOUBT`` added to the
-count; an unseen instance's score is one minus the product of its patterns' doubts. Instances that reach ``ACCEPT`` by
-patterns that ``SUPPORT`` distinct seeds induced are found; their spans have the kind ``id`` and follow the base kinds.
+lexical patterns: the word before it, the word behind it, and both. Digit groups apart by spaces, parentheses, dots or
+hyphens are one token, beside the unbroken tokens in them. Base entities are the seeds. A bipartite graph of patterns and instances
+(token values) is scored in rounds: a pattern's trust is the sum of its known instances' scores by the count of all its instances and
+``DOUBT``; patterns of ``SUPPORT`` known instances and a trust of ``ACCEPT`` are reliable; an unseen instance of reliable patterns becomes
+known, with a score of one minus the product of their doubts, and so lends support to its other patterns. Rounds end when
+nothing new is found. Spans of found values, wherever they stand, have the kind ``id`` and follow the base kinds.
 
 Offsets are code points. Null and empty texts hold nothing; base matches that overlap across kinds all stay, and tokens that
 overlap a base span are no candidates; repeated rows and equal ids are rows of their own; other columns are ignored.
@@ -33,10 +34,10 @@ DIGIT = re.compile(r"[0-9]")
 
 TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9_./+@-]{4,}[A-Za-z0-9]")
 GROUPED = re.compile(r"(?<![A-Za-z0-9_./+@-])\(?[A-Za-z]{0,4}[0-9]++(?:(?:[\x20.-]|\)[\x20.-]?|\x20\()(?:[0-9]{2,}+|[A-Z]{4}(?=\x20[0-9])))++(?![A-Za-z0-9_/+@]|[.-][A-Za-z0-9])")
-WORD = re.compile(r"([^\W\d_]+)\W*$")
+NEXT_WORD = re.compile(r"\W*+([^\W\d_]++)")
 SPANS = "__private_spans__"
 LEAST_DIGITS = 4  # digits of an identifier-like token
-ROUNDS, DOUBT, SUPPORT, ACCEPT = 3, 1.0, 5, 0.8
+DOUBT, SUPPORT, ACCEPT = 1.0, 5, 0.8
 
 
 def luhn(digits: str) -> bool:
@@ -83,13 +84,31 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def left_word(text: str, start: int) -> str:
-    m = WORD.search(text[max(0, start - 48):start])
+    """The letters before the last signs before ``start``, however far, or nothing if there is a digit or underscore between."""
+    end = start
+    while end and not (text[end - 1].isalnum() or text[end - 1] == "_"):
+        end -= 1
+    at = end
+    while at and text[at - 1].isalnum() and not text[at - 1].isdecimal():
+        at -= 1
+    return text[at:end].lower()
+
+
+def right_word(text: str, end: int) -> str:
+    m = NEXT_WORD.match(text, end)
     return m[1].lower() if m else ""
 
 
+def patterns(text: str, start: int, end: int) -> list[str]:
+    """The contexts of a span: ``word _``, ``_ word`` and ``word _ word``."""
+    left, right = left_word(text, start), right_word(text, end)
+    out = ([f"{left} _"] if left else []) + ([f"_ {right}"] if right else [])
+    return out + ([f"{left} _ {right}"] if len(out) == 2 else [])
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
     """Seeds and identifier-like tokens with their contexts."""
-    out = [{"pattern": left_word(text, a), "value": text[a:b].lower(), "seed": True, "s": a, "e": b} for _, a, b in base]
+    out = [{"patterns": patterns(text, a, b), "value": text[a:b].lower(), "seed": True, "s": a, "e": b} for _, a, b in base]
     if DIGIT.search(text):
         taken = sorted((a, b) for _, a, b in base)
         k = 0
@@ -102,8 +121,8 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
                 k += 1
             if k < len(taken) and taken[k][0] < end:
                 continue
-            out.append({"pattern": left_word(text, start), "value": value.lower(), "seed": False, "s": start, "e": end})
-    return [x for x in out if x["pattern"]]
+            out.append({"patterns": patterns(text, start, end), "value": value.lower(), "seed": False, "s": start, "e": end})
+    return out
 
 
 def spelled(spans: list[tuple[str, int, int]]) -> str:
@@ -123,23 +142,26 @@ def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 SCANNED = ("k2 binary, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
-           "found array<struct<pattern:string,value:string,seed:boolean,s:int,e:int>>")
+           "found array<struct<patterns:array<string>,value:string,seed:boolean,s:int,e:int>>")
 
 
 def score_instances(edges: DataFrame) -> DataFrame:
-    """(value): unseen instances that high-confidence patterns find, from edges (pattern, value, seed)."""
+    """(value): unseen instances that reliable patterns find, from edges (pattern, value, seed)."""
     edges = C.materialize(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "private-edges")
-    support = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("n_seed"), F.count("*").alias("n"))
-    usable = C.materialize(support.filter(F.col("n_seed") >= SUPPORT).select("pattern", "n"), "private-patterns")
-    graph = C.materialize(edges.join(usable, "pattern"), "private-graph")
-    scores = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    for _ in range(ROUNDS):
-        scored = graph.join(C.materialize(scores, "private-scores"), "value")
-        trust = C.materialize(scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + DOUBT)).alias("trust")), "private-trust")
-        held = graph.join(trust, "pattern")
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT)  # fewer never give support
+    graph = C.materialize(edges.join(sizes, "pattern"), "private-graph")
+    known = C.materialize(graph.filter("seed").select("value", F.lit(1.0).alias("score"), F.lit(True).alias("seed")).distinct(), "private-known")
+    while True:
+        held = graph.select("pattern", "value", "n").join(known, "value")
+        trust = held.groupBy("pattern", "n").agg(F.sum("score").alias("held"), F.count("*").alias("support"))
+        trust = trust.select("pattern", "support", (F.col("held") / (F.col("n") + DOUBT)).alias("trust"))
+        reliable = C.materialize(trust.filter((F.col("support") >= SUPPORT) & (F.col("trust") >= ACCEPT)), "private-trust")
+        fresh = graph.select("pattern", "value").join(reliable, "pattern").join(known.select("value"), "value", "left_anti")
         doubt = F.exp(F.sum(F.log(1 - F.least("trust", F.lit(0.999999)))))
-        scores = held.groupBy("value").agg(F.when(F.max("seed"), 1.0).otherwise(1 - doubt).alias("score"), F.max("seed").alias("seed"))
-    return C.materialize(scores.filter((~F.col("seed")) & (F.col("score") >= ACCEPT)).select("value"), "private-found")
+        fresh = C.materialize(fresh.groupBy("value").agg((1 - doubt).alias("score")).withColumn("seed", F.lit(False)), "private-fresh")
+        if fresh.isEmpty():
+            return known.filter(~F.col("seed")).select("value")
+        known = C.materialize(known.unionByName(fresh), "private-known")
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -148,7 +170,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     keyed = docs.select(C.text_key(F.col("doc_id"), F.col("text")).alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = C.materialize(keyed.mapInPandas(scan, SCANNED), "private-scan")
     tokens = scanned.filter(F.size("found") > 0).select("k2", F.explode("found").alias("t")).select("k2", "t.*")
-    values = score_instances(tokens)
+    values = score_instances(tokens.select(F.explode("patterns").alias("pattern"), "value", "seed"))
     hits = tokens.filter(~F.col("seed")).select("k2", "value", "s", "e").distinct().join(values, "value")
     more = C.materialize(hits.groupBy("k2").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("more")), "private-more")
     spelled_more = F.transform("more", lambda x: F.concat_ws(":", F.lit("id"), x["s"].cast("string"), x["e"].cast("string")))

@@ -15,40 +15,42 @@ from siltbed.llm import language_id, private_data
 
 
 def plain_contexts(text):
-    """(pattern, value, seed, start, end) of base spans and of the other tokens that look like identifiers."""
-    base, out = naive_spans(text), []
+    """(patterns, value, seed, start, end) of base spans and of the other tokens that look like identifiers."""
+    base, found = naive_spans(text), []
     for _, a, b in base:
-        out.append((text[:a], text[a:b].lower(), True, a, b))
+        found.append((text[a:b].lower(), True, a, b))
     for m in re.finditer(r"[A-Za-z0-9][A-Za-z0-9_./+@-]{4,}[A-Za-z0-9]", text):
         a, b = m.span()
         if len(re.findall("[0-9]", m[0])) >= 4 and not any(x < b and a < y for _, x, y in base):
-            out.append((text[:a], m[0].lower(), False, a, b))
-    for before, *rest in out:
-        word = re.search(r"([^\W\d_]+)\W*$", before[-48:])
-        if word:
-            yield (word[1].lower(), *rest)
+            found.append((m[0].lower(), False, a, b))
+    for value, seed, a, b in found:
+        left, right = re.search(r"([^\W\d_]+)\W*$", text[:a]), re.match(r"\W*([^\W\d_]+)", text[b:])
+        left, right = left and left[1].lower(), right and right[1].lower()
+        some = [(left, None)] * bool(left) + [(None, right)] * bool(right) + [(left, right)] * bool(left and right)
+        yield some, value, seed, a, b
 
 
 def plain_found(texts):
-    """Values that the bootstrapped patterns discover."""
-    seeds = defaultdict(bool)
+    """Values that the bootstrapped patterns discover, and the rounds it took."""
+    of, known = defaultdict(set), {}
     for t in texts:
-        for p, v, seed, _, _ in plain_contexts(t):
-            seeds[p, v] |= seed
-    support = Counter(p for (p, _), seed in seeds.items() if seed)
-    graph = {e: seed for e, seed in seeds.items() if support[e[0]] >= 5}
-    known = {v for (_, v), seed in graph.items() if seed}
-    score = {v: float(v in known) for _, v in graph}
-    for _ in range(3):
-        of = defaultdict(list)
-        for p, v in graph:
-            of[p].append(score[v])
-        trust = {p: sum(x) / (len(x) + 1) for p, x in of.items()}
+        for some, v, seed, _, _ in plain_contexts(t):
+            for p in some:
+                of[p].add(v)
+                if seed:
+                    known[v] = 1.0
+    seeds, rounds = set(known), 0
+    while True:
+        trust = {p: sum(known.get(v, 0) for v in vs) / (len(vs) + 1) for p, vs in of.items() if sum(v in known for v in vs) >= 5}
         doubt = defaultdict(lambda: 1.0)
-        for p, v in graph:
-            doubt[v] *= 1 - min(trust[p], 0.999999)
-        score = {v: 1.0 if v in known else 1 - doubt[v] for v in score}
-    return {v for v, s in score.items() if v not in known and s >= 0.8}
+        for p, x in trust.items():
+            if x >= 0.8:
+                for v in of[p] - set(known):
+                    doubt[v] *= 1 - x
+        if not doubt:
+            return set(known) - seeds, rounds
+        known |= {v: 1 - x for v, x in doubt.items()}
+        rounds += 1
 
 
 def test_private_spans_equal_brute_force(spark):
@@ -65,7 +67,7 @@ def test_private_spans_equal_brute_force(spark):
             parts += [lead, make[kind]()]
         rows.append((k, " ".join(parts), "en", "s"))
     rows += [rows[9], rows[9]]
-    found = plain_found([r[1] or "" for r in rows])
+    found, _ = plain_found([r[1] or "" for r in rows])
     want = []
     for i, t, *_ in rows:
         base = naive_spans(t or "")
@@ -78,6 +80,19 @@ def test_private_spans_equal_brute_force(spark):
     assert found and sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_found_identifiers_induce_patterns(spark):
+    """A badge number is known by its context of a second round only: the words around it never stand around a seed."""
+    rows = [(k, f"please dial +1 (555) 010-{k:04d} today", "en", "s") for k in range(1000, 1400)]
+    rows += [(k, f"please dial 555-01-{k:04d}, my number", "en", "s") for k in range(2000, 2030)]
+    rows += [(k, f"{'. ' * 40}{'w' * 70} 555-01-{k:04d}x {'! ' * 40}", "en", "s") for k in range(2000, 2030)]
+    rows += [(k, f"her number 555-01-{k:04d} at work", "en", "s") for k in range(2000, 2030)] + [(5000, "her number 77-88-9911 at home", "en", "s"), (5001, "room 77-88-1111 is free", "en", "s")]
+    found, rounds = plain_found([r[1] for r in rows])
+    assert rounds >= 2 and "77-88-9911" in found and "77-88-1111" not in found
+    got = {r.doc_id: r.spans for r in private_data.find_spans(frame(spark, rows)).collect()}
+    assert got[5000] == "id:11:21" and got[5001] == ""
+    assert private_data.left_word("x" * 90 + " " * 200, 290) == "x" * 90
+
+
 def plain_grams(text):
     data = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in text.encode())
     letter = lambda b: 0x61 <= b <= 0x7A or b >= 0x80
