@@ -6,10 +6,11 @@
    frequent ones has a fixed size and only steers speed. Prefix entries travel as packed blocks.
 3. Classes that meet at a prefix shingle join the group of the smallest class there, its leader. A shingle that one task finds
    ``HOT`` times sends one entry on and keeps its classes with the task until the leader is known, so no task meets all of them.
-4. Every member is compared with its leader: by signatures first, then on whole sets; members are dealt among tasks that have the
-   leader each. In a group of many near copies that joins nearly all of them in time linear in their number.
-5. The rest of a group, members that don't link with the leader, meet all other members. Members are cut into blocks of about ``GROUP``
-   classes and ``SHINGLES`` shingles, a pair of blocks with such a rest is a unit, and each unit runs a dual traversal of a signature
+4. In a group of more than ``ONE`` members each is compared with the leader: by signatures first, then on whole sets; members are dealt
+   among tasks that have the leader each. In a group of many near copies of it that joins them in time linear in their number.
+5. What doesn't link with the leader there, and all members of smaller groups, meet in units. A smaller group is one unit. Members of
+   a larger one are cut into blocks of like size, so that only blocks of the same and of neighbouring sizes can link, and of about
+   ``GROUP`` classes and ``SHINGLES`` shingles; a pair of such blocks is a unit. Each unit runs a dual traversal of a signature
    tree: nodes hold OR-combined token bitmaps and size ranges, and a pair of nodes is pruned by its largest possible overlap, its sizes,
    or because all its members are joined already. The first traversal has signatures only and leaves groups of classes that may link;
    the second has the whole sets of those and compares them at its leaves.
@@ -35,6 +36,7 @@ HEAVY = 100_000  # entries of the list of frequent shingles: a bounded broadcast
 HEAVY_DF = 64  # documents that make a shingle frequent
 ENTRIES = 100_000  # prefix entries of one packed part
 HOT = 64  # entries of a prefix shingle in one task's part that make it frequent there
+ONE = 512  # members of a group that is one unit
 GROUP, SHINGLES = 256, 500_000  # classes of a block, and the shingles that it may hold beside its last class
 LEAST_BITS, MOST_BITS = 1 << 10, 1 << 17  # a signature has four bits a shingle within these, rounded up to a power of two
 FAN = 8  # members of a leaf and children of a node
@@ -408,31 +410,48 @@ def is_linked(threshold: int):
     return test
 
 
-def group_sizes(groups: DataFrame, label: str) -> DataFrame:
-    """(leader, g): the number of blocks of each group of (leader, member, n)."""
-    return C.materialize(groups.groupBy("leader").agg((F.floor(F.greatest(F.count("*") / GROUP, F.sum("n") / SHINGLES)) + 1).alias("g")), label)
+def blocks_of(many, shingles):
+    return F.floor(F.greatest(many / GROUP, shingles / SHINGLES)) + 1
 
 
-def in_star(groups: DataFrame, payload: DataFrame, label: str) -> DataFrame:
-    """(leader, salt, member, payload ...) of (leader, member, n) for ``star``: members dealt by salt, the leader with each of them.
-    ``payload`` is joined by ``s1``."""
-    sizes = group_sizes(groups, label)
+def large_groups(groups: DataFrame, label: str) -> DataFrame:
+    """(leader, g): the groups of (leader, member, n) that are more than one unit, and how many blocks their classes fill."""
+    sizes = groups.groupBy("leader").agg(F.count("*").alias("many"), F.sum("n").alias("shingles"))
+    sizes = sizes.filter((F.col("many") > ONE) | (F.col("shingles") > 2 * SHINGLES))
+    return C.materialize(sizes.select("leader", blocks_of(F.col("many"), F.col("shingles")).alias("g")), label)
+
+
+def in_star(groups: DataFrame, large: DataFrame, payload: DataFrame) -> DataFrame:
+    """(leader, salt, member, payload ...) of the large groups of (leader, member, n) for ``star``: members dealt by salt, the leader with
+    each of them. ``payload`` is joined by ``s1``."""
     salt = F.pmod(F.hash("member"), F.col("g")).cast("long").alias("salt")
-    members = groups.join(sizes, "leader").select("leader", salt, "member")
-    hubs = sizes.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("salt"), F.col("leader").alias("member"))
+    members = groups.join(large, "leader").select("leader", salt, "member")
+    hubs = large.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("salt"), F.col("leader").alias("member"))
     rows = members.unionByName(hubs).join(payload.withColumnRenamed("s1", "member"), "member")
     more = [c for c in payload.columns if c != "s1"]
     return (rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("member") != F.col("leader"))
             .select("leader", "salt", "member", *more))
 
 
-def in_units(groups: DataFrame, payload: DataFrame, label: str) -> DataFrame:
-    """(leader, bi, bj, block, member, hub, payload ...) of (leader, member, hub, n) for ``by_unit``: a group is cut into blocks, and each pair
-    of blocks of which one at least has members without a hub is a unit."""
-    cut = groups.join(group_sizes(groups, label), "leader").withColumn("block", F.pmod(F.hash("member"), F.col("g")).cast("long"))
-    open_ = C.materialize(cut.filter("hub is null").groupBy("leader").agg(F.collect_set("block").alias("open")), f"{label}-open")  # g blocks at most
-    others = F.when(F.array_contains("open", F.col("block")), F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).otherwise(F.col("open"))
-    dealt = cut.join(open_, "leader").withColumn("other", F.explode(others))
+def in_units(groups: DataFrame, large: DataFrame, payload: DataFrame, threshold: int, label: str) -> DataFrame:
+    """(leader, bi, bj, block, member, hub, payload ...) of (leader, member, hub, n) for ``by_unit``: a pair of blocks is a unit if one of them
+    at least has members without a hub and their sizes let them link, which takes steps of size that differ by one at most."""
+    step = F.floor(F.log("n") / (float(np.log(100 / threshold)) * 1.000001) if threshold < 100 else F.col("n")).cast("long")
+    cut = groups.join(large.withColumnRenamed("g", "blocks"), "leader", "left")
+    cut = cut.withColumn("step", F.when(F.col("blocks").isNull(), 0).otherwise(step))
+    own = cut.groupBy("leader", "step").agg(F.count("*").alias("many"), F.sum("n").alias("shingles"), F.max("blocks").alias("blocks"))
+    g = F.when(F.col("blocks").isNull(), 1).otherwise(blocks_of(F.col("many"), F.col("shingles"))).alias("g")
+    own = C.materialize(own.select("leader", "step", g), f"{label}-steps")
+    cut = cut.join(own, ["leader", "step"]).withColumn("sub", F.pmod(F.hash("member"), F.col("g")).cast("long"))
+    open_ = cut.filter("hub is null").groupBy("leader", "step").agg(F.collect_set("sub").alias("open"))  # g blocks at most
+    blocks = C.materialize(own.join(open_, ["leader", "step"], "left").withColumn("open", F.coalesce("open", F.array().cast("array<bigint>"))), f"{label}-open")
+    mine = blocks.select("leader", "step", F.col("open").alias("mine"))
+    near = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    asks = cut.drop("g").join(mine, ["leader", "step"]).withColumn("away", F.explode(near)).withColumn("to", F.col("step") + F.col("away"))
+    meets = asks.join(blocks.withColumnRenamed("step", "to"), ["leader", "to"])
+    others = F.when(F.array_contains("mine", F.col("sub")), F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).otherwise(F.col("open"))
+    name = lambda step, sub: F.col(step) * F.lit(1 << 32) + F.col(sub)
+    dealt = meets.withColumn("its", F.explode(others)).withColumn("other", name("to", "its")).withColumn("block", name("step", "sub"))
     dealt = dealt.select("leader", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "member", "hub")
     rows = dealt.join(payload.withColumnRenamed("s1", "member"), "member")
     more = [c for c in payload.columns if c != "s1"]
@@ -487,19 +506,24 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: int = 80, separat
         return C.materialize(texts.mapInArrow(set_rows(width, separator), "s1 long, node binary, entries binary").dropDuplicates(["node"]), label)
 
     signed = classes.select("s1", "n", "bits")
-    passed = in_star(groups, signed, "jaccard-stars").mapInArrow(star(may_pass(threshold), STARS[:2]), "leader long, member long")
-    passed = C.materialize(passed.distinct().join(sizes, "member").select("leader", "member", "n"), "jaccard-passed")
+    large = large_groups(groups, "jaccard-large")
+    passed = in_star(groups, large, signed).mapInArrow(star(may_pass(threshold), STARS[:2]), "leader long, member long")
+    passed = C.materialize(passed.distinct(), "jaccard-passed")
     asked = passed.select(F.col("member").alias("s1")).unionByName(passed.select(F.col("leader").alias("s1"))).distinct()
     sets = whole_sets(classes.join(asked, "s1", "left_semi"), "jaccard-sets")
-    stars = in_star(passed, sets, "jaccard-set-stars").mapInArrow(star(is_linked(threshold), STARS), "leader long, member long, a binary, b binary")
+    stars = in_star(passed, large, sets).mapInArrow(star(is_linked(threshold), STARS), "leader long, member long, a binary, b binary")
     stars = C.materialize(stars, "jaccard-star-links")
     joined = stars.select("leader", "member", F.col("leader").alias("hub")).distinct()
-    rest = C.materialize(groups.join(joined, ["leader", "member"], "left").select("leader", "member", "hub", "n"), "jaccard-rest")
-    near = in_units(rest, signed, "jaccard-units").mapInArrow(by_unit(signature_groups, threshold, NEAR), "leader long, member long, hub long")
+    rest = groups.join(joined, ["leader", "member"], "left").select("leader", "member", "hub", "n")
+    leaders = groups.select("leader").distinct().join(large, "leader", "left_anti").select("leader", F.col("leader").alias("member"))
+    leaders = leaders.join(sizes, "member").select("leader", "member", F.lit(None).cast("long").alias("hub"), "n")  # of large groups they have met all
+    rest = C.materialize(rest.unionByName(leaders), "jaccard-rest")
+    near = in_units(rest, large, signed, threshold, "jaccard-units").mapInArrow(by_unit(signature_groups, threshold, NEAR), "leader long, member long, hub long")
     near = C.materialize(near.distinct().join(sizes, "member").select("leader", "member", "hub", "n"), "jaccard-near")
     more = classes.join(near.select(F.col("member").alias("s1")), "s1", "left_semi").join(sets.select("node"), "node", "left_anti")
     sets = sets.unionByName(whole_sets(more, "jaccard-more-sets"))
-    pairs = in_units(near, sets, "jaccard-set-units").mapInArrow(by_unit(set_links, threshold, LINKS), "a binary, b binary")
+    near_large = large_groups(near, "jaccard-near-large")
+    pairs = in_units(near, near_large, sets, threshold, "jaccard-set-units").mapInArrow(by_unit(set_links, threshold, LINKS), "a binary, b binary")
     links = C.materialize(stars.select("a", "b").unionByName(pairs), "jaccard-links")
     comps = C.connected_components(links, "jaccard-cc")
     placed = classes.join(comps, "node", "left").withColumn("root", F.coalesce("component", "node"))

@@ -11,6 +11,7 @@ ROWS = corpus()
 def test_components_equal_brute_force(spark, monkeypatch, width, threshold, group, hot):
     monkeypatch.setattr(ngram_jaccard, "HOT", hot)
     monkeypatch.setattr(ngram_jaccard, "GROUP", group)
+    monkeypatch.setattr(ngram_jaccard, "ONE", 2 * group if group > 3 else 3)
     got = ngram_jaccard.similar_groups(frame(spark, ROWS), width, threshold).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(components(ROWS, width, threshold), key=repr)
 
