@@ -87,11 +87,12 @@ def encode_record(ts: int, tombstone: bool, key: str, value: bytes) -> bytes:
 
 
 def decode_records(data: bytes, at: int = 0):
-    """Records of a plain log from ``at``; ends at a short or zeroed header. Yields (crc, ts, tombstone, key, value, next)."""
+    """Records of a plain log from ``at``; ends at a short header or one of zeros only (an empty key is a key). Yields
+    (crc, ts, tombstone, key, value, next)."""
     head = struct.Struct("<IQ?QQ")
     while at + HEADER <= len(data):
         crc, ts, tomb, nk, nv = head.unpack_from(data, at)
-        if not nk or at + HEADER + nk + nv > len(data):
+        if not any(data[at:at + HEADER]) or at + HEADER + nk + nv > len(data):
             return
         key = data[at + HEADER:at + HEADER + nk].decode()
         value = data[at + HEADER + nk:at + HEADER + nk + nv]
@@ -175,6 +176,20 @@ def cms_from_bytes(data: bytes) -> tuple[int, int, list[bytes], dict[tuple[int,
     return k, m, seeds, {(i // m, i % m): c for i, c in enumerate(flat) if c}
 
 
+def simhash_bytes(hi: int, lo: int) -> bytes:
+    """A fingerprint of two signed longs as its 16 bytes, first bit first."""
+    return struct.pack(">qq", hi, lo)
+
+
+def simhash_from_bytes(data: bytes) -> tuple[int, int]:
+    return struct.unpack(">qq", data)
+
+
+def simhash_hex(hi: Column, lo: Column) -> Column:
+    """The same as upper-case hex, inside the JVM."""
+    return F.concat(F.lpad(F.hex(hi), 16, "0"), F.lpad(F.hex(lo), 16, "0"))
+
+
 def bucket_bytes(size: int, left: int, refreshed: int, interval: int) -> bytes:
     return struct.pack("<QQQQ", size, left, refreshed, interval)
 

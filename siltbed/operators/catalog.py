@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from siltbed.operators.order import carried_forward, numbered_rows
 
 
 def table_catalog(tables: DataFrame) -> DataFrame:
@@ -23,9 +25,7 @@ def prune_range(catalog: DataFrame, first: str, last: str) -> DataFrame:
 
 def sparse_index(tables: DataFrame, every: int) -> DataFrame:
     """Every ``every``-th record of each table in key order with its position: the first is always in."""
-    at = Window.partitionBy("run_id").orderBy("key")
-    return (tables.withColumn("pos", F.row_number().over(at) - 1)
-            .filter(F.col("pos") % every == 0).select("run_id", "key", F.col("pos").cast("long").alias("pos")))
+    return numbered_rows(tables.select("run_id", "key"), ["run_id"], ["key"]).filter(F.col("pos") % every == 0)
 
 
 def summary(tables: DataFrame, every_index: int, every_summary: int) -> DataFrame:
@@ -40,6 +40,4 @@ def index_seek(index: DataFrame, probes: DataFrame) -> DataFrame:
     carried forward; no range join is needed. ``probes`` has run_id, key."""
     both = index.select("run_id", "key", "pos", F.lit(0).alias("probe")).unionByName(
         probes.select("run_id", "key", F.lit(None).cast("long").alias("pos"), F.lit(1).alias("probe")))
-    at = Window.partitionBy("run_id").orderBy("key", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    return (both.withColumn("seek_pos", F.last("pos", ignorenulls=True).over(at))
-            .filter("probe = 1").select("run_id", "key", "seek_pos"))
+    return carried_forward(both, ["run_id"], ["key", "probe"], "pos").filter("probe = 1").select("run_id", "key", F.col("last").alias("seek_pos"))

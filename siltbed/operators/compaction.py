@@ -7,16 +7,43 @@ catalog (one row per table) on the driver; only data moves through Spark.
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siltbed.config import EngineConfig
+from siltbed.session import materialize
 
 
 def assign_runs(log: DataFrame, capacity: int) -> DataFrame:
     """Memtable generation of each write, by operation count: no sequential state is needed."""
-    return log.withColumn("run_id", F.floor((F.col("seq")) / capacity).cast("int"))
+    return log.withColumn("run_id", F.call_function("div", F.col("seq"), F.lit(capacity)).cast("int"))
+
+
+def rotated_runs(log: DataFrame, capacity: int, first_run: int = 0) -> DataFrame:
+    """Memtable generation of each write where a memtable is full at ``capacity`` distinct keys: an update of a key that it holds takes no
+    room. Adds ``run_id`` and ``full``, whether the run got full. Where a run ends depends on all before it, so this is one ordered
+    pass that holds the keys of one run; for bulk loads ``assign_runs`` needs none."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema.fields)
+
+    def run(batches):
+        import numpy as np
+
+        keys, now = set(), first_run
+        for pdf in batches:
+            ids = np.empty(len(pdf), np.int64)
+            for i, key in enumerate(pdf["key"]):
+                ids[i] = now
+                keys.add(key)
+                if len(keys) == capacity:
+                    keys, now = set(), now + 1
+            yield pdf.assign(run_id=ids)
+
+    done = log.repartition(1).sortWithinPartitions("seq").mapInPandas(run, f"{schema}, run_id long")
+    done = materialize(done, "rotated")
+    full = done.groupBy("run_id").agg(F.countDistinct("key").alias("keys")).select("run_id", (F.col("keys") == capacity).alias("full"))
+    return done.join(full, "run_id")
 
 
 def flush_runs(runs: DataFrame) -> DataFrame:
@@ -59,14 +86,14 @@ def table_ranges(tables: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def overlapping(upper: DataFrame, lower: DataFrame) -> DataFrame:
-    """Pairs of tables whose key ranges meet, with the kind: contained or partial.
+    """Pairs of tables of a level and of the next one whose key ranges meet, with the kind: contained or partial.
 
     Both inputs are catalogs: one row per table, not per record."""
-    u = upper.select(F.col("run_id").alias("upper_id"), F.col("first_key").alias("u1"), F.col("last_key").alias("u2"))
-    w = lower.select(F.col("run_id").alias("lower_id"), F.col("first_key").alias("w1"), F.col("last_key").alias("w2"))
+    u = upper.select(F.col("run_id").alias("upper_id"), F.col("level").alias("u0"), F.col("first_key").alias("u1"), F.col("last_key").alias("u2"))
+    w = lower.select(F.col("run_id").alias("lower_id"), F.col("level").alias("w0"), F.col("first_key").alias("w1"), F.col("last_key").alias("w2"))
     inside = (F.col("w1") >= F.col("u1")) & (F.col("w2") <= F.col("u2"))
-    return u.join(w, (F.col("u1") <= F.col("w2")) & (F.col("w1") <= F.col("u2"))).select(
-        "upper_id", "lower_id", F.when(inside, "contained").otherwise("partial").alias("kind"))
+    meets = (F.col("w0") == F.col("u0") + 1) & (F.col("u1") <= F.col("w2")) & (F.col("w1") <= F.col("u2"))
+    return u.join(w, meets).select("upper_id", "lower_id", F.when(inside, "contained").otherwise("partial").alias("kind"))
 
 
 def split_at(rows: DataFrame, border: str, lower: bool) -> tuple[DataFrame, DataFrame]:
@@ -83,46 +110,141 @@ class TableInfo:
     last_key: str
 
 
-def plan_leveled(tables: list[TableInfo], cfg: EngineConfig) -> list[dict]:
-    """Steps of leveled compaction on the catalog alone.
+@dataclass
+class Piece:
+    """Keys of one source table in an interval, and the table that they are in now. Open ends leave their key out."""
+
+    source: int
+    low: str
+    high: str
+    low_open: bool = False
+    high_open: bool = False
+    table: int = -1
+
+    def meets(self, low: str, high: str) -> bool:
+        above = self.high > low or self.high == low and not self.high_open
+        return above and (self.low < high or self.low == high and not self.low_open)
+
+    def cut(self, low: str, high: str) -> tuple[Piece, list[Piece]]:
+        """(the part in [low, high], the parts outside)."""
+        left = self.low < low
+        right = self.high > high
+        inner = Piece(self.source, low if left else self.low, high if right else self.high, not left and self.low_open, not right and self.high_open, self.table)
+        rest = [Piece(self.source, self.low, low, self.low_open, True, self.table)] * left
+        return inner, rest + [Piece(self.source, high, self.high, True, self.high_open, self.table)] * right
 
-    While a level holds more than its limit, its oldest table goes down and takes the overlapping
-    tables of the next level along. Each step names what is merged and what it becomes."""
-    levels: dict[int, list[TableInfo]] = {}
+
+def plan_leveled(tables: list[TableInfo], cfg: EngineConfig) -> tuple[list[dict], list[Piece], dict[int, int]]:
+    """(steps, pieces, level of each table) of leveled compaction on the catalog alone.
+
+    While a level holds more than its limit, its oldest table goes down: what the tables of the next level hold of its key range is merged
+    with it, whole tables or, split at the borders, parts; the rest of those stays where it is. Outputs are numbered after all
+    other tables. A rest counts as a table of its level, even if it should hold no key."""
+    levels: dict[int, list[int]] = {}
+    spans = {t.num: (t.first_key, t.last_key) for t in tables}
+    held = {t.num: [Piece(t.num, t.first_key, t.last_key, table=t.num)] for t in tables}
     for t in sorted(tables, key=lambda x: x.num):
-        levels.setdefault(t.level, []).append(t)
-    next_num, steps = max((t.num for t in tables), default=-1) + 1, []
+        levels.setdefault(t.level, []).append(t.num)
+    next_num, steps = max(spans, default=-1) + 1, []
     for level in range(1, cfg.level_count):
-        here, below = levels.get(level, []), levels.get(level + 1, [])
-        for pushed in here[:max(0, len(here) - cfg.level_limit(level))]:
-            hit = [t for t in below if t.first_key <= pushed.last_key and pushed.first_key <= t.last_key]
-            merged = [pushed, *hit]
-            out = TableInfo(level + 1, next_num, min(t.first_key for t in merged), max(t.last_key for t in merged))
-            steps.append({"level": level, "inputs": [t.num for t in merged], "output": next_num})
-            gone = {t.num for t in hit}
-            below = [t for t in below if t.num not in gone] + [out]  # the output has the greatest number
+        here = levels.get(level, [])
+        below = KeyRanges({n: held[n] for n in levels.get(level + 1, [])})
+        over = max(0, len(here) - cfg.level_limit(level))
+        for pushed in here[:over]:
+            low, high = min(p.low for p in held[pushed]), max(p.high for p in held[pushed])
+            taken = below.take(low, high)
+            held[next_num] = held.pop(pushed) + [p for _, p in taken]
+            steps.append({"level": level, "inputs": [pushed, *dict.fromkeys(n for n, _ in taken)], "output": next_num})
+            below.add(next_num, held[next_num], low, high)
             next_num += 1
-        levels[level + 1] = below
-    return steps
+        levels[level] = here[over:]
+        held |= {n: below.pieces[n] for n in below.pieces}
+        held = {n: some for n, some in held.items() if some}
+        levels[level + 1] = sorted(n for n, some in below.pieces.items() if some)
+    level_of = {n: level for level, some in levels.items() for n in some}
+    for n, some in held.items():
+        for piece in some:
+            piece.table = n
+    return steps, [p for some in held.values() for p in some], level_of
+
+
+class KeyRanges:
+    """The key ranges of a level's tables in order, found by bisection as long as they are disjoint, and the pieces of each table."""
+
+    def __init__(self, pieces: dict[int, list[Piece]]):
+        self.pieces = pieces
+        self.ranges = sorted((Piece(n, p.low, p.high, p.low_open, p.high_open) for n, some in pieces.items() for p in some), key=lambda r: r.low)
+        self.disjoint = all(x.high < y.low for x, y in zip(self.ranges, self.ranges[1:]))
+
+    def take(self, low: str, high: str) -> list[tuple[int, Piece]]:
+        """(table, part in [low, high]) of all tables, oldest first; the rest stays."""
+        begin = max(0, bisect.bisect_left(self.ranges, low, key=lambda r: r.low) - 1) if self.disjoint else 0
+        end = bisect.bisect_right(self.ranges, high, key=lambda r: r.low)
+        out, kept = [], []
+        for r in self.ranges[begin:end]:
+            if not r.meets(low, high):
+                kept.append(r)
+                continue
+            kept += r.cut(low, high)[1]
+            left = []
+            for piece in self.pieces[r.source]:
+                if piece.meets(low, high):
+                    inner, rest = piece.cut(low, high)
+                    out.append((r.source, inner))
+                    left += rest
+                else:
+                    left.append(piece)
+            self.pieces[r.source] = left
+        self.ranges[begin:end] = sorted(kept, key=lambda r: r.low)
+        return sorted(out, key=lambda x: x[0])
+
+    def add(self, num: int, pieces: list[Piece], low: str, high: str) -> None:
+        """A new table, whose range the others have left."""
+        self.pieces[num] = pieces
+        bisect.insort(self.ranges, Piece(num, low, high), key=lambda r: r.low)
+
+
+def plan_tiered(tables: list[TableInfo], cfg: EngineConfig) -> tuple[list[dict], list[Piece], dict[int, int]]:
+    """The same for size-tiered compaction: a level with ``level_num`` tables or more becomes one table of the next, in groups of that many,
+    oldest first; in the last level tables pile up."""
+    levels: dict[int, list[int]] = {}
+    held = {t.num: [Piece(t.num, t.first_key, t.last_key, table=t.num)] for t in tables}
+    for t in sorted(tables, key=lambda x: x.num):
+        levels.setdefault(t.level, []).append(t.num)
+    next_num, steps = max(held, default=-1) + 1, []
+    for level in range(1, cfg.level_count):
+        here = levels.get(level, [])
+        while len(here) >= cfg.level_num:
+            group, here = here[:cfg.level_num], here[cfg.level_num:]
+            held[next_num] = [p for n in group for p in held.pop(n)]
+            levels.setdefault(level + 1, []).append(next_num)
+            steps.append({"level": level, "inputs": group, "output": next_num})
+            next_num += 1
+        levels[level] = here
+    for n, some in held.items():
+        for piece in some:
+            piece.table = n
+    return steps, [p for some in held.values() for p in some], {n: level for level, some in levels.items() for n in some}
+
+
+def in_piece() -> Column:
+    """Whether a row's key lies in the piece (low, high, low_open, high_open) beside it."""
+    key, low, high = F.col("key"), F.col("low"), F.col("high")
+    return ((key > low) | ((key == low) & ~F.col("low_open"))) & ((key < high) | ((key == high) & ~F.col("high_open")))
 
 
 def leveled(tables: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Leveled compaction of ``tables`` (run_id, level, key, seq, ts, ...).
 
-    The plan is made from the catalog, then every record gets its final table by a lookup and one
+    The plan is made from the catalog, then every record gets its final table by its source and key range and one
     aggregation merges all of them: the data is shuffled once, however many steps the plan has."""
     catalog = [TableInfo(r["level"], r["run_id"], r["first_key"], r["last_key"])
                for r in table_ranges(tables, ["run_id", "level"]).toLocalIterator()]
-    place, into = {t.num: (t.num, t.level) for t in catalog}, {}
-    for step in plan_leveled(catalog, cfg):
-        into |= dict.fromkeys(step["inputs"], step["output"])
-        place[step["output"]] = (step["output"], step["level"] + 1)
-    final: dict[int, int] = {}
-    for num in sorted(place, reverse=True):  # an output has a greater number than what goes into it
-        final[num] = final[into[num]] if num in into else num
-    spark = tables.sparkSession
-    moves = spark.createDataFrame([(t.num, *place[final[t.num]]) for t in catalog], "run_id int, table_num int, to_level int")
-    placed = tables.join(moves, "run_id").drop("level", "run_id").withColumnRenamed("to_level", "level")
+    _, pieces, level_of = plan_leveled(catalog, cfg)
+    moves = tables.sparkSession.createDataFrame(
+        [(p.source, p.low, p.high, p.low_open, p.high_open, p.table, level_of[p.table]) for p in pieces],
+        "run_id int, low string, high string, low_open boolean, high_open boolean, table_num int, to_level int")
+    placed = tables.drop("level").join(moves, "run_id").filter(in_piece()).drop("run_id", "low", "high", "low_open", "high_open").withColumnRenamed("to_level", "level")
     return kway_merge(placed, ["level", "table_num"])
 
 

@@ -7,8 +7,9 @@ children's hashes, and an odd level is padded with the hash of nothing. Building
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from siltbed.operators.order import numbered_rows
 from siltbed.session import materialize
 
 SPAN = 10  # levels that one task builds from a block of nodes
@@ -17,11 +18,9 @@ EMPTY_SHA1 = "da39a3ee5e6b4b0d3255bfef95601890afd80709"  # fixed value: SHA-1 of
 
 def merkle_leaves(records: DataFrame, order: str, data: str) -> DataFrame:
     """Leaf rows of each table_id; the leaves end before the first empty record."""
-    at = Window.partitionBy("table_id").orderBy(order)
-    numbered = records.withColumn("pos", (F.row_number().over(at) - 1).cast("long"))
-    upto = Window.partitionBy("table_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ended = F.max((F.octet_length(data) == 0).cast("int")).over(upto)
-    return (numbered.withColumn("ended", ended).filter("ended = 0")
+    numbered = numbered_rows(records, ["table_id"], [order])
+    ends = numbered.filter(F.octet_length(data) == 0).groupBy("table_id").agg(F.min("pos").alias("stop"))
+    return (numbered.join(ends, "table_id", "left").filter(F.col("stop").isNull() | (F.col("pos") < F.col("stop")))
             .select("table_id", F.lit(0).alias("level"), "pos", F.sha1(F.col(data).cast("binary")).alias("hash")))
 
 
@@ -34,13 +33,14 @@ def levels_above(nodes: DataFrame, base: int) -> DataFrame:
     """Up to ``SPAN`` levels above level ``base``, from its nodes with ``n``, the number of them in the table.
 
     Aligned blocks of 2^SPAN nodes are subtrees of their own: all but a table's last block are full, so a level of the last block is
-    odd exactly where the table's level is, and one node is padded as well as long as the table has more of that level."""
+    odd exactly where the table's level is, and one node is padded as well as long as the table has more of that level. A single
+    leaf is padded too, so a root is never a leaf."""
     def halve(hashes: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / 2).cast("int")), lambda i: parent_hash(
             F.get(hashes, i * 2), F.coalesce(F.get(hashes, i * 2 + 1), F.lit(EMPTY_SHA1))))
 
     block = F.shiftright("pos", SPAN).alias("block")
-    blocks = nodes.filter("n > 1").groupBy("table_id", "n", block).agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("h"))
+    blocks = nodes.filter(F.lit(base == 0) | (F.col("n") > 1)).groupBy("table_id", "n", block).agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("h"))
     depth = F.least(F.lit(SPAN), F.length(F.bin(F.col("n") - 1)))
     grown = blocks.select("table_id", "n", "block", F.aggregate(
         F.sequence(F.lit(1), depth), F.array(F.transform("h", lambda x: x["hash"])),
@@ -55,7 +55,7 @@ def merkle_tree(leaves: DataFrame, max_rows: int) -> DataFrame:
     """All levels. ``max_rows`` bounds the leaves of one table and so the number of levels."""
     out = materialize(leaves, "merkle")
     nodes = out.join(out.groupBy("table_id").agg(F.count("*").alias("n")), "table_id")
-    for base in range(0, max(0, (max_rows - 1).bit_length()), SPAN):
+    for base in range(0, max(1, (max_rows - 1).bit_length()), SPAN):
         above = materialize(levels_above(nodes, base), "merkle")
         out = out.unionByName(above.drop("n"))
         nodes = above.filter(F.col("level") == base + SPAN).withColumn("n", F.ceil(F.col("n") / (1 << SPAN)))

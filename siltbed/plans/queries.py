@@ -184,15 +184,26 @@ def ranged_runs(spark, d):
     return compaction.flush_runs(log.withColumn("run_id", (F.floor(F.col("seq") / RUN) * 3 + third).cast("int")))
 
 
+PLACE_SQL = "CASE WHEN run_id < (n // 16) * 16 THEN 3 WHEN run_id < (n // 4) * 4 THEN 2 ELSE 1 END"
+
+
+def tiered_level(cat):
+    n = cat.agg(F.max("run_id") + 1).scalar()
+    whole = lambda k: F.col("run_id") < F.call_function("div", n, F.lit(k)) * k
+    return F.when(whole(16), 3).when(whole(4), 2).otherwise(1)
+
+
 CAT = f"""{LEVELED}, cat AS (SELECT run_id, min(key) AS first_key, max(key) AS last_key, count(*) AS n_rows FROM runs GROUP BY run_id)"""
 
 
-@query("leveled_overlap", f"""WITH {CAT} SELECT u.run_id AS upper_id, w.run_id AS lower_id,
- CASE WHEN w.first_key >= u.first_key AND w.last_key <= u.last_key THEN 'contained' ELSE 'partial' END AS kind
- FROM cat u JOIN cat w ON u.first_key <= w.last_key AND w.first_key <= u.last_key WHERE u.run_id < 6 AND w.run_id >= 6""")
+@query("leveled_overlap", f"""WITH {CAT}, n AS (SELECT max(run_id) + 1 AS n FROM cat), placed AS (SELECT cat.*, {PLACE_SQL} AS level FROM cat, n)
+ SELECT u.run_id AS upper_id, w.run_id AS lower_id, CASE WHEN w.first_key >= u.first_key AND w.last_key <= u.last_key THEN 'contained' ELSE 'partial' END AS kind
+ FROM placed u JOIN placed w ON w.level = u.level + 1 AND u.first_key <= w.last_key AND w.first_key <= u.last_key""")
 def leveled_overlap(spark, d):
+    """All tables, at the levels that size-tiered compaction would give their runs; each level against the next."""
     cat = compaction.table_ranges(ranged_runs(spark, d), ["run_id"])
-    return compaction.overlapping(cat.filter("run_id < 6"), cat.filter("run_id >= 6"))
+    placed = cat.withColumn("level", tiered_level(cat))
+    return compaction.overlapping(placed, placed)
 
 
 @query("leveled_split", f"WITH {RUNS} SELECT run_id, key, seq, key >= 'user_000075' AS moves FROM runs")
@@ -216,10 +227,13 @@ def leveled_tables(spark, d):
     return compaction.leveled(tables_, EngineConfig(level_count=4, level_num=2, t=2)).groupBy("level", "table_num").agg(F.count("*").alias("n_rows"))
 
 
-@query("renumber_tables", f"WITH {RUNS} SELECT run_id, 1 + run_id % 2 AS level, (row_number() OVER (PARTITION BY run_id % 2 ORDER BY run_id))::INT AS num FROM (SELECT DISTINCT run_id FROM runs WHERE run_id % 3 <> 1)")
+@query("renumber_tables", f"""WITH {RUNS}, n AS (SELECT max(run_id) + 1 AS n FROM runs),
+ t AS (SELECT DISTINCT {PLACE_SQL} AS level, (CASE {PLACE_SQL} WHEN 3 THEN run_id // 16 WHEN 2 THEN run_id // 4 ELSE run_id END)::BIGINT AS run_id FROM runs, n)
+ SELECT run_id, level, (row_number() OVER (PARTITION BY level ORDER BY run_id))::INT AS num FROM t""")
 def renumber_tables(spark, d):
-    cat = runs(spark, d).filter("run_id % 3 <> 1").select("run_id").distinct().withColumn("level", 1 + F.col("run_id") % 2)
-    return compaction.renumber(cat).select("run_id", "level", "num")
+    """The tables that a compaction leaves, whose numbers have gaps."""
+    left = compaction.size_tiered(runs(spark, d), 4, 3).select("level", F.col("table_num").alias("run_id")).distinct()
+    return compaction.renumber(left).select("run_id", "level", "num")
 
 
 # Catalog and index
@@ -284,7 +298,7 @@ TREE = f"""WITH RECURSIVE {RUNS}, leaves AS (SELECT run_id AS table_id, 0 AS lev
  tree AS (SELECT table_id, level, pos, hash FROM leaves UNION ALL
   SELECT table_id, level + 1, up, sha1(unhex(sha1(unhex(l))) || unhex(sha1(unhex(coalesce(r, '{merkle.EMPTY_SHA1}'))))) FROM (
    SELECT table_id, level, pos // 2 AS up, max(CASE WHEN pos % 2 = 0 THEN hash END) AS l, max(CASE WHEN pos % 2 = 1 THEN hash END) AS r,
-    max(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY table_id) AS n FROM tree) GROUP BY table_id, level, pos // 2) WHERE n > 1)"""
+    max(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY table_id) AS n FROM tree) GROUP BY table_id, level, pos // 2) WHERE n > 1 OR level = 0)"""
 
 
 def run_leaves(spark, d, tag=None):
@@ -365,6 +379,11 @@ def simhash_lookup(spark, d):
     return prints.select("doc_id", simhash.hamming(F.col("hi"), F.col("lo"), q["hi"], q["lo"]).cast("int").alias("distance"))
 
 
+@query("simhash_bytes", f"WITH {BITS} SELECT doc_id, lpad(hex(hi), 16, '0') || lpad(hex(lo), 16, '0') AS bytes FROM prints")
+def simhash_bytes(spark, d):
+    return simhash_prints(spark, d).select("doc_id", codec.simhash_hex(F.col("hi"), F.col("lo")).alias("bytes"))
+
+
 @query("digest_bits", "SELECT doc_id, array_to_string(list_transform(range(1, 33, 2), lambda i: bin(('0x' || substr(md5(text), i, 2))::INT)), '') AS bits FROM documents")
 def digest_bits(spark, d):
     return table(spark, d, "documents").select("doc_id", simhash.bit_string(F.md5("text")).alias("bits"))
@@ -514,6 +533,16 @@ def dictionary_encode(spark, d):
     return tables.key_dictionary(kv(spark, d))
 
 
+@query("compressed_table", f"WITH {STATE} SELECT key, seq, value, tombstone FROM newest")
+def compressed_table(spark, d):
+    """A table written with a stored key dictionary, in two steps that share it, and read back."""
+    rows = access.newest_versions(kv(spark, d)).select("key", "seq", "value", "tombstone")
+    path, names = scratch_dir(spark, "compressed"), scratch_dir(spark, "dictionary")
+    tables.grown_dictionary(kv(spark, d).filter("tombstone"), names)
+    tables.write_compressed(rows, path, names)
+    return tables.read_compressed(spark, path, names)
+
+
 def varint_sql(x: str) -> str:
     return f"(ceil(length(bin({x})) / 7.0))"
 

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests, one machine)
-    a folder of our own is set instead.
+    ``spark.checkpoint.dir`` is read from the session; only where it is unset on one machine (local master, as in tests)
+    a folder of our own is set instead. On a cluster it must be set, as no machine sees another one's folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file:///tmp/checkpoints/siltbed"
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(base)

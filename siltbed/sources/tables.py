@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from siltbed.session import materialize
+
 
 def write_table(rows: DataFrame, path: str, one_file: bool = False, partitions: int | None = None) -> None:
     """A table sorted by key. Range partitions give files with tight key statistics, and a Parquet bloom filter on
@@ -37,6 +40,41 @@ def key_dictionary(log: DataFrame, block: int = 65536) -> DataFrame:
             .select((F.col("base") + F.row_number().over(at) - 1).cast("long").alias("key_id"), "key"))
 
 
+def save_dictionary(dictionary: DataFrame, path: str) -> None:
+    """Append-only: (key_id, key) of keys that the stored dictionary lacks; earlier ids never change."""
+    dictionary.select("key_id", "key").write.mode("append").parquet(path)
+
+
+def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """The stored dictionary, empty where there is none."""
+    try:
+        return spark.read.schema("key_id long, key string").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "key_id long, key string")
+
+
+def grown_dictionary(log: DataFrame, path: str) -> DataFrame:
+    """The stored dictionary with the new keys of ``log`` (seq, key), which get the next ids in the order of their appearance."""
+    held = load_dictionary(log.sparkSession, path)
+    base = held.agg(F.coalesce(F.max("key_id") + 1, F.lit(0))).first()[0]
+    fresh = key_dictionary(log.select("seq", "key").join(held.select("key"), "key", "left_anti")).withColumn("key_id", F.col("key_id") + base)
+    save_dictionary(materialize(fresh, "dictionary"), path)
+    return load_dictionary(log.sparkSession, path)
+
+
+def write_compressed(rows: DataFrame, path: str, dictionary_path: str) -> None:
+    """A table whose keys are numbers of the stored dictionary, in the order of the keys."""
+    ids = grown_dictionary(rows, dictionary_path)
+    coded = rows.join(ids, "key").repartitionByRange("key").sortWithinPartitions("key").drop("key")
+    coded.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def read_compressed(spark: SparkSession, path: str, dictionary_path: str) -> DataFrame:
+    return spark.read.parquet(path).join(load_dictionary(spark, dictionary_path), "key_id").drop("key_id")
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """Each file as one row: path and whole text."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))

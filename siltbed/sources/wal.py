@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from siltbed.functions.codec import HEADER, decode_records, record_hex
@@ -52,8 +53,9 @@ def replay(records: DataFrame) -> DataFrame:
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """Binary ``segment<N>.log`` files of a folder, in order, as records.
 
-    The segments of one log (one folder) form one byte stream, as records may cross their borders; logs
-    are read in parallel. A log is bounded by its retention."""
+    Where the folder has an index (for each segment the offset of the first record that begins in it, and the segment in which the last one
+    ends), a segment is a task: it gets its own bytes and those that its last record needs. Without an index the segments of one log
+    (one folder) are one byte stream, as a record's start is known only from the record before it; logs are read in parallel then."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "segment*.log").load(path)
              .select(F.regexp_replace("path", r"/[^/]*$", "").alias("segment_set"),
                      F.regexp_extract("path", r"segment(\d+)\.log$", 1).cast("long").alias("n"), "content"))
@@ -65,7 +67,29 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
         rows = [(crc, ts, tomb, k, v, key[0]) for crc, ts, tomb, k, v, _ in decode_records(data)]
         return pd.DataFrame(rows, columns=["crc", "ts", "tombstone", "key", "value", "segment_set"])
 
-    return files.groupBy("segment_set").applyInPandas(decode, RECORD)
+    def decode_one(key, pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("n")
+        at, own = int(pdf["first"].iloc[0]), len(pdf["content"].iloc[0])
+        rows = []
+        for crc, ts, tomb, k, v, after in decode_records(b"".join(bytes(c) for c in pdf["content"]), at):
+            rows.append((crc, ts, tomb, k, v, key[0]))
+            if after >= own:  # the next record begins in a later segment
+                break
+        return pd.DataFrame(rows, columns=["crc", "ts", "tombstone", "key", "value", "segment_set"])
+
+    try:
+        index = spark.read.schema(INDEX).parquet(f"{path}/{INDEX_FOLDER}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return files.groupBy("segment_set").applyInPandas(decode, RECORD)
+    asked = index.withColumn("n", F.explode(F.sequence("segment", "reach")))
+    return files.join(asked, "n").groupBy("segment_set", "segment").applyInPandas(decode_one, RECORD)
+
+
+INDEX, INDEX_FOLDER = "segment long, first long, reach long", "_index"
 
 
 def write_segments(records: DataFrame, path: str) -> None:
@@ -86,6 +110,8 @@ def write_binary_segments(log: DataFrame, path: str, segment_bytes: int) -> int:
     part = F.substring(F.col("record"), ((begin - F.col("start")) * 2 + 1).cast("int"), ((end - begin) * 2).cast("int"))
     parts = placed.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("start", part.alias("part")))).alias("parts"))
     whole = parts.select("n", F.unhex(F.array_join(F.transform("parts", lambda x: x["part"]), "")).alias("content"))
+    begins = segments(log, segment_bytes).groupBy("segment").agg((F.min("start") % segment_bytes).alias("first"), F.max("last_segment").alias("reach"))
+    begins.write.mode("overwrite").parquet(f"{path}/{INDEX_FOLDER}")
     folder = "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
 
     def write(batches):

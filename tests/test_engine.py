@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siltbed.config import EngineConfig
 from siltbed.engine import Engine, TooManyRequests
+from siltbed.operators import access, merkle
 from siltbed.sources import wal
 
 ROOMY = EngineConfig(token_bucket_maxsize=10_000, memtable_size=50)
@@ -31,7 +32,7 @@ def test_keys(spark, tmp_path):
     db.put_many(twice)
     assert {r.key: r.value for r in db.get_many(twice).collect()} == {"x": "new", "y": "1"}
     seqs = [r.seq for r in db.read("log").orderBy("seq").collect()]
-    assert seqs == list(range(len(seqs)))
+    assert seqs == list(range(seqs[0], seqs[0] + len(seqs))) and seqs[0] <= db.upto
     db.put_many(twice.limit(0))
     with pytest.raises(ValueError):
         db.put("bf_x", "1")
@@ -41,18 +42,54 @@ def test_keys(spark, tmp_path):
         db.range_scan("b", "a")
 
 
-def test_flush_and_verify(spark, tmp_path):
-    db = Engine(spark, f"file://{tmp_path}/db", ROOMY)
-    load = lambda n: db.put_many(spark.range(n).select(F.concat(F.lit("k"), (F.col("id") % 30).cast("string")).alias("key"), F.col("id").cast("string").alias("value")))
-    load(120)
-    db.flush()
-    load(40)
-    db.flush()
-    db.flush()
-    assert sorted(map(tuple, db.verify().collect())) == [(0, 30, 0), (1, 30, 0), (2, 30, 0)]
-    other = db.read("tables").filter("table_id = 1 and key = 'k3'").withColumn("table_id", F.lit(2)).withColumn("key", F.lit("zz"))
-    db._append("tables", other)
-    assert {r.table_id: r.n_diff for r in db.verify().collect()} == {0: 0, 1: 0, 2: 1}
+def numbers(spark, n, keys):
+    """Puts of key test{i % keys} and value i, for i from 1 to n."""
+    i = F.col("id")
+    return spark.range(1, n + 1).select(F.concat(F.lit("test"), (i % keys).cast("string")).alias("key"), i.cast("string").alias("value"), i.alias("order"))
+
+
+@pytest.mark.parametrize("sized,one_file,compression", [(True, False, False), (False, True, True)])
+def test_life_of_rows(spark, tmp_path, sized, one_file, compression):
+    config = dataclasses.replace(ROOMY, memtable_size=20, memtable_number=2, wal_size=64, level_count=3, level_num=2, t=2, sized_compaction=sized, one_file=one_file, compression=compression)
+    db = Engine(spark, f"file://{tmp_path}/db", config)
+    state = {}
+    for step in range(4):
+        db.put_many(numbers(spark, 90, 33 + 10 * step))
+        state |= {f"test{i % (33 + 10 * step)}": str(i) for i in range(1, 91)}
+        db.delete_many(spark.createDataFrame([(f"test{step}",)], "key string"))
+        state.pop(f"test{step}")
+    assert db.upto > 200 and db.rest().count() < 100 and db.tables
+    assert db.read("log").agg(F.min("seq")).first()[0] >= db.upto - db.upto % 64  # segments below the tables' mark are gone
+    got = {r.key: r.value for r in db.range_iter("a", "z")}
+    assert got == state
+    again = Engine(spark, f"file://{tmp_path}/db", config)
+    assert {r.key: r.value for r in again.get_many(spark.createDataFrame([(k,) for k in [*state, "none"]], "key string")).collect()} == state
+    assert again.get("test7") == state["test7"] and again.get("test7") == state["test7"] and again.hits == 1
+    assert again.delete("test7") == state["test7"] and again.get("test7") is None and again.put("test7", "x") and again.get("test7") == "x"
+    assert again.get("zzz") is None and again.prune_checked[0] == 0 < again.prune_checked[1]  # no table's range holds it
+    found = again.verify().collect()
+    assert len(found) == len(again.tables) and all(r.n_diff == 0 and r.n_leaves for r in found)
+    if not sized:
+        for level in {t["level"] for t in again.tables} - {1}:
+            held = again._contents([t for t in again.tables if t["level"] == level])
+            assert held.count() == held.select("key").distinct().count()  # below the first level a key is in one table
+    one = again.tables[0]["table_id"]
+    bad = again._contents([again.tables[0]]).withColumn("table_id", F.lit(one).cast("long")).withColumn("value", F.lit("changed"))
+    kept = spark.read.schema("table_id long, level int, pos long, hash string").parquet(f"file://{tmp_path}/db/trees/id={one}")
+    assert merkle.verify(kept, again._leaves(bad)).first().n_diff > 0
+
+
+def test_hot_and_wide_keys(spark, tmp_path):
+    """A hundred thousand puts of 100 keys fill no memtable; of 50,000 keys they fill many."""
+    db = Engine(spark, f"file://{tmp_path}/hot", EngineConfig())
+    db.put_many(numbers(spark, 100_000, 100))
+    got = {r.key: int(r.value) for r in db.range_iter("test", "testz")}
+    assert len(got) == 100 and (got["test0"], got["test1"], got["test99"], sum(got.values())) == (100_000, 99_901, 99_999, 9_995_050) and not db.tables
+    wide = Engine(spark, f"file://{tmp_path}/wide", dataclasses.replace(EngineConfig(), memtable_size=10_000))
+    wide.put_many(numbers(spark, 100_000, 50_000))
+    row = access.latest_state(wide.rows()).agg(F.count("*"), F.sum(F.col("value").cast("long"))).first()
+    assert tuple(row) == (50_000, 3_750_025_000) and wide.tables and wide.upto == 100_000
+    assert (wide.get("test0"), wide.get("test1"), wide.get("test49999")) == ("100000", "50001", "99999")
 
 
 def test_sketches(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import shutil
 import zlib
 
 import pytest
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from siltbed.config import EngineConfig, load_config, parse_duration
 from siltbed.functions import bloom, cms, codec, hll
 from siltbed.functions.hashing import seeded_position
-from siltbed.operators import access, compaction, control, merkle
+from siltbed.operators import access, compaction, control, merkle, order
+from siltbed.sources import wal
 
 LOG = "seq long, ts long, key string, value string, tombstone boolean"
 
@@ -112,31 +114,95 @@ def test_merkle_blocks_agree_with_one_pass(spark, monkeypatch):
         if level:
             pair = [bytes.fromhex(tree.get((t, level - 1, 2 * pos + k), merkle.EMPTY_SHA1)) for k in (0, 1)]
             assert h == hashlib.sha1(b"".join(hashlib.sha1(x).digest() for x in pair)).hexdigest()
-    assert [max(k[1] for k in tree if k[0] == t) for t in range(1, 8)] == [0, 1, 3, 3, 4, 6, 7]
+    assert [max(k[1] for k in tree if k[0] == t) for t in range(1, 8)] == [1, 1, 3, 3, 4, 6, 7]
 
 
 def test_leveled_tables_equal_a_step_by_step_model(spark):
+    """Overlapping parts of the next level join the merge, the rest of those tables stays. Tables hold every key of their range."""
     rng = random.Random(4)
     cfg = EngineConfig(level_count=4, level_num=2, t=2)
     tables, rows, seq = {1: {}, 2: {}, 3: {}, 4: {}}, [], 0
-    for run in range(23):
+    for run in range(33):
         low = rng.randrange(60)
-        keys = rng.sample(range(low, low + 12), 6)
         tables[1][run] = {}
-        for k in keys:
+        for k in rng.sample(range(low, low + (n := rng.randint(3, 30))), n):
             rows.append((run, 1, f"k{k:03d}", seq, seq, "v", False))
             tables[1][run][f"k{k:03d}"] = seq
             seq += 1
-    number = 23
+    number, partial = 33, 0
     for level in (1, 2, 3):
-        while len(tables[level]) > cfg.level_limit(level):
+        for _ in range(len(tables[level]) - cfg.level_limit(level)):
             oldest = tables[level].pop(min(tables[level]))
-            inside = [n for n, t in tables[level + 1].items() if min(t) <= max(oldest) and min(oldest) <= max(t)]
+            low, high = min(oldest), max(oldest)
             merged = dict(oldest)
-            for t in [tables[level + 1].pop(n) for n in inside]:
-                merged = {k: max(merged.get(k, -1), t.get(k, -1)) for k in {*merged, *t}}
+            for n, t in list(tables[level + 1].items()):
+                moved = {k: s for k, s in t.items() if low <= k <= high}
+                merged = {k: max(merged.get(k, -1), moved.get(k, -1)) for k in {*merged, *moved}}
+                left = {k: s for k, s in t.items() if k not in moved}
+                partial += bool(moved and left)
+                tables[level + 1][n] = left
+                if not left:
+                    del tables[level + 1][n]
             tables[level + 1][number] = merged
             number += 1
     df = spark.createDataFrame(rows, "run_id int, level int, key string, seq long, ts long, value string, tombstone boolean")
     got = compaction.leveled(df, cfg).select("level", "table_num", "key", "seq").collect()
-    assert sorted(map(tuple, got)) == sorted((lv, n, k, s) for lv, some in tables.items() for n, t in some.items() for k, s in t.items())
+    assert partial > 3 and sorted(map(tuple, got)) == sorted((lv, n, k, s) for lv, some in tables.items() for n, t in some.items() for k, s in t.items())
+
+
+def test_leveled_plans_in_order_of_the_merged_tables():
+    tables = [compaction.TableInfo(1, k, f"{k * 2:07d}", f"{k * 2 + 1:07d}") for k in range(20_000)]
+    steps, pieces, levels = compaction.plan_leveled(tables, EngineConfig(level_count=3, level_num=1, t=1))
+    assert len(steps) == 19_999 + 19_998 and len(pieces) == 20_000 and sorted(levels.values())[:2] == [1, 2]
+
+
+def test_a_single_record_has_a_parent(spark):
+    leaves = merkle.merkle_leaves(spark.createDataFrame([(1, "a", "x")], "table_id int, key string, data string"), "key", "data")
+    pair = hashlib.sha1(hashlib.sha1(b"x").digest()).digest() + hashlib.sha1(bytes.fromhex(merkle.EMPTY_SHA1)).digest()
+    tree = merkle.merkle_tree(leaves, 1)
+    assert merkle.merkle_root(tree).first().root == hashlib.sha1(pair).hexdigest() and tree.count() == 2
+
+
+def test_positions_where_a_group_spans_partitions(spark):
+    rows = spark.range(5000).select((F.col("id") % 3).alias("g"), F.lpad((F.col("id") * 7919 % 5000).cast("string"), 5, "0").alias("k"), F.when(F.col("id") % 4 == 0, F.col("id")).alias("v"))
+    got = order.carried_forward(order.numbered_rows(rows, ["g"], ["k"]), ["g"], ["k"], "v").collect()
+    for g in range(3):
+        mine = sorted((r for r in got if r.g == g), key=lambda r: r.k)
+        last = None
+        for i, r in enumerate(mine):
+            last = r.v if r.v is not None else last
+            assert r.pos == i and r.last == last
+
+
+def test_runs_by_distinct_keys(spark):
+    rng = random.Random(9)
+    ops = [(f"k{rng.randrange(40)}", "v") for _ in range(700)]
+    got = {r.seq: (r.run_id, r.full) for r in compaction.rotated_runs(log(spark, ops), 25, 4).collect()}
+    now, keys, of = 4, set(), {}
+    for seq, (key, _) in enumerate(ops):
+        of[seq] = now
+        keys.add(key)
+        if len(keys) == 25:
+            now, keys = now + 1, set()
+    assert got == {s: (n, n < now) for s, n in of.items()}
+
+
+def test_empty_keys_are_records(spark):
+    data = b"".join(codec.encode_record(5, False, k, b"v") for k in ("a", "", "c"))
+    assert [r[3] for r in codec.decode_records(data + bytes(40))] == ["a", "", "c"]
+    assert codec.simhash_from_bytes(codec.simhash_bytes(-5, 7)) == (-5, 7)
+    held = spark.createDataFrame([(-5, 7)], "hi long, lo long").select(codec.simhash_hex(F.col("hi"), F.col("lo"))).first()[0]
+    assert bytes.fromhex(held) == codec.simhash_bytes(-5, 7)
+
+
+def test_binary_log_by_segments(spark, tmp_path):
+    """Records that span segments, empty keys and deletes come back, with the index a segment to a task and without it as one stream."""
+    rows = [(k, k + 5, "" if k % 7 == 0 else f"k{k}", None if k % 5 == 0 else "v" * (k * 37 % 400), k % 5 == 0) for k in range(200)]
+    df = spark.createDataFrame(rows, LOG)
+    folder = f"file://{tmp_path}/wal"
+    wal.write_binary_segments(df, folder, 128)
+    want = sorted((r[1], r[2], r[4], (r[3] or "").encode()) for r in rows)
+    read = lambda: sorted((r.ts, r.key, r.tombstone, bytes(r.value)) for r in wal.replay(wal.read_segments(spark, folder)).collect())
+    assert read() == want
+    shutil.rmtree(tmp_path / "wal" / "_index")
+    assert read() == want
