@@ -95,9 +95,11 @@ def sampled(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
     of their keys. Rows below a share of the hashes are looked at, so that a language of any size leaves a bounded number."""
     rank = F.xxhash64(F.lit(17), "k2")
     low = (rank / F.lit(2.0**64) + 0.5) < share(F.col("count"))
-    some = labelled.join(F.broadcast(sizes), "lang").filter(low).dropDuplicates(["lang", "k2"])  # sizes: a row a language
+    some = labelled.select("lang", "k2").join(F.broadcast(sizes), "lang").filter(low).select("lang", "k2").distinct()
     at = Window.partitionBy("lang").orderBy(rank, "k2")
-    return some.withColumn("at", F.row_number().over(at)).filter(F.col("at") <= SAMPLE).select("text", fold_of(F.col("k2")).alias("fold"), "lang")
+    chosen = C.materialize(some.withColumn("at", F.row_number().over(at)).filter(F.col("at") <= SAMPLE).select("lang", "k2"), "language-sample")
+    rows = labelled.join(chosen, ["lang", "k2"], "left_semi").dropDuplicates(["lang", "k2"])
+    return rows.select("text", fold_of(F.col("k2")).alias("fold"), "lang")
 
 
 def fit(labelled: DataFrame, own: bool) -> tuple[list[str], np.ndarray]:

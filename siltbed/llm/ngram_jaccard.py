@@ -35,6 +35,7 @@ from siltbed.llm import common as C
 HEAVY = 100_000  # entries of the list of frequent shingles: a bounded broadcast
 HEAVY_DF = 64  # documents that make a shingle frequent
 ENTRIES = 100_000  # prefix entries of one packed part
+HELD = 500_000  # prefix entries that a task sorts together
 HOT = 64  # entries of a prefix shingle in one task's part that make it frequent there
 ONE = 512  # members of a group that is one unit
 GROUP, SHINGLES = 256, 500_000  # classes of a block, and the shingles that it may hold beside its last class
@@ -152,7 +153,7 @@ def member_rows(width: int, threshold: int, separator: np.ndarray, heavy, parts:
                         prefixes.append(u[:n - least_overlap(n, threshold) + 1])
                         owners.append(s1)
                         held += len(prefixes[-1])
-                        if held >= 20 * ENTRIES:
+                        if held >= HELD:
                             yield flush()
                             prefixes, owners, held = [], [], 0
                             seen.clear()
