@@ -231,6 +231,25 @@ def test_lattice_holds_every_segmentation(tokenizer, text):
     assert all(abs(logp - (weight[tuple(p.tolist())] - total)) < 1e-9 for _, logp, p in got)
 
 
+def test_units_give_the_tokenizers_encoding(tokenizer):
+    sp, auto = tokenizer
+    texts = [r[1] or "" for r in corpus()] + ["a\u2581b", "\u2581", "  x   y ", "\n\t z\n a", "\u65e5\u672c \U0001F600 ab\ue000c", "\x00a", "ab" * 3000, "<s> </s> <0x41>", "\ufb01 \uff21"]
+    assert [x.tolist() for x in auto.encode(sp, texts)[0]] == [sp.encode(t) for t in texts] and auto.apart
+
+
+def test_samples_do_not_depend_on_kept_units(tokenizer, monkeypatch):
+    sp, _ = tokenizer
+    texts, got = [r[1] for r in corpus() if r[1]], []
+    for choices, size in ((10**9, 1000), (300, 7), (2000, 1)):
+        monkeypatch.setattr(piece_sampling.Automaton, "CHOICES", choices)
+        auto, rows = piece_sampling.Automaton(sp), []
+        for at in range(0, len(texts), size):
+            keys = np.array([piece_sampling.generator(7, None, t) for t in texts[at:at + size]], np.uint64)
+            rows += piece_sampling.searches(auto, auto.encode(sp, texts[at:at + size])[1], keys, 3)
+        got.append([([(v, p, x.tolist()) for v, p, x in out], kappa) for out, kappa in rows])
+    assert got[0] == got[1] == got[2]
+
+
 @pytest.mark.parametrize("html,text", [
     (None, ""), ("", ""), ("plain", "plain"),
     ("<p>a<p>b", "a\n\nb"), ("<div>a</div><div>b <b>c</b></div>", "a\nb c"),
