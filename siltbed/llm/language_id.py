@@ -33,6 +33,7 @@ BUCKETS = 1 << 14  # hashed trigrams of the text model
 SAMPLE = 4_000  # labelled rows of each language that the text model is fitted on
 LEAST = 5  # labelled rows that make a language
 OVER = 4  # times ``SAMPLE`` of the rows that are looked at for the sample
+SENT = 400_000  # keys of the sample, some 20 bytes each, that are broadcast at most
 TEMPER, DECLARED, SUFFIX, SMOOTH, ACCEPT, LEAST_GRAMS = 60.0, 0.9, 0.8, 20.0, 0.5, 3
 
 # Country suffixes whose sites are mostly in one language.
@@ -95,10 +96,13 @@ def sampled(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
     of their keys. Rows below a share of the hashes are looked at, so that a language of any size leaves a bounded number."""
     rank = F.xxhash64(F.lit(17), "k2")
     low = (rank / F.lit(2.0**64) + 0.5) < share(F.col("count"))
-    some = labelled.select("lang", "k2").join(F.broadcast(sizes), "lang").filter(low).select("lang", "k2").distinct()
+    near = labelled.join(F.broadcast(sizes), "lang").filter(low)  # a language is two or three letters, so sizes has 18,252 rows at most
     at = Window.partitionBy("lang").orderBy(rank, "k2")
-    chosen = C.materialize(some.withColumn("at", F.row_number().over(at)).filter(F.col("at") <= SAMPLE).select("lang", "k2"), "language-sample")
-    rows = labelled.join(chosen, ["lang", "k2"], "left_semi").dropDuplicates(["lang", "k2"])
+    some = near.select("lang", "k2").distinct().withColumn("at", F.row_number().over(at))
+    chosen = C.materialize(some.filter(F.col("at") <= SAMPLE).select("lang", "k2"), "language-sample")
+    if chosen.count() <= SENT:  # beyond it the keys meet the texts in a shuffle
+        chosen = F.broadcast(chosen)
+    rows = near.join(chosen, ["lang", "k2"], "left_semi").dropDuplicates(["lang", "k2"])
     return rows.select("text", fold_of(F.col("k2")).alias("fold"), "lang")
 
 
