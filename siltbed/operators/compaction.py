@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siltbed.config import EngineConfig
+from siltbed.operators.order import carried_forward
 from siltbed.session import materialize
 
 
@@ -134,74 +135,172 @@ class Piece:
         return inner, rest + [Piece(self.source, high, self.high, True, self.high_open, self.table)] * right
 
 
-def plan_leveled(tables: list[TableInfo], cfg: EngineConfig) -> tuple[list[dict], list[Piece], dict[int, int]]:
-    """(steps, pieces, level of each table) of leveled compaction on the catalog alone.
+def start(p: Piece) -> tuple[str, bool]:
+    return p.low, p.low_open
+
+
+def common(a: Piece, b: Piece) -> Piece | None:
+    """The keys of ``a`` that ``b`` has too."""
+    low, low_open = max(start(a), start(b))
+    high, closed = min((a.high, not a.high_open), (b.high, not b.high_open))
+    return Piece(a.source, low, high, low_open, not closed, b.table) if low < high or low == high and closed and not low_open else None
 
-    While a level holds more than its limit, its oldest table goes down: what the tables of the next level hold of its key range is merged
-    with it, whole tables or, split at the borders, parts; the rest of those stays where it is. Outputs are numbered after all
-    other tables. A rest counts as a table of its level, even if it should hold no key."""
-    levels: dict[int, list[int]] = {}
-    spans = {t.num: (t.first_key, t.last_key) for t in tables}
-    held = {t.num: [Piece(t.num, t.first_key, t.last_key, table=t.num)] for t in tables}
-    for t in sorted(tables, key=lambda x: x.num):
-        levels.setdefault(t.level, []).append(t.num)
-    next_num, steps = max(spans, default=-1) + 1, []
-    for level in range(1, cfg.level_count):
-        here = levels.get(level, [])
-        below = KeyRanges({n: held[n] for n in levels.get(level + 1, [])})
-        over = max(0, len(here) - cfg.level_limit(level))
-        for pushed in here[:over]:
-            low, high = min(p.low for p in held[pushed]), max(p.high for p in held[pushed])
-            taken = below.take(low, high)
-            held[next_num] = held.pop(pushed) + [p for _, p in taken]
-            steps.append({"level": level, "inputs": [pushed, *dict.fromkeys(n for n, _ in taken)], "output": next_num})
-            below.add(next_num, held[next_num], low, high)
-            next_num += 1
-        levels[level] = here[over:]
-        held |= {n: below.pieces[n] for n in below.pieces}
-        held = {n: some for n, some in held.items() if some}
-        levels[level + 1] = sorted(n for n, some in below.pieces.items() if some)
-    level_of = {n: level for level, some in levels.items() for n in some}
-    for n, some in held.items():
-        for piece in some:
-            piece.table = n
-    return steps, [p for some in held.values() for p in some], level_of
+
+def joined(pieces: list[Piece], table: int) -> list[Piece]:
+    """What several pieces cover, in order and without overlap, as pieces of a table."""
+    out: list[Piece] = []
+    for p in sorted(pieces, key=start):
+        last = out[-1] if out else None
+        if last and (p.low < last.high or p.low == last.high and not (p.low_open and last.high_open)):
+            last.high, closed = max((last.high, not last.high_open), (p.high, not p.high_open))
+            last.high_open = not closed
+        else:
+            out.append(Piece(table, p.low, p.high, p.low_open, p.high_open, table))
+    return out
 
 
 class KeyRanges:
-    """The key ranges of a level's tables in order, found by bisection as long as they are disjoint, and the pieces of each table."""
+    """What the tables of a level cover, in order, found by bisection as long as it is disjoint."""
 
-    def __init__(self, pieces: dict[int, list[Piece]]):
-        self.pieces = pieces
-        self.ranges = sorted((Piece(n, p.low, p.high, p.low_open, p.high_open) for n, some in pieces.items() for p in some), key=lambda r: r.low)
+    def __init__(self, tables: list[TableInfo]):
+        self.ranges = sorted((Piece(t.num, t.first_key, t.last_key, table=t.num) for t in tables), key=start)
         self.disjoint = all(x.high < y.low for x, y in zip(self.ranges, self.ranges[1:]))
 
-    def take(self, low: str, high: str) -> list[tuple[int, Piece]]:
-        """(table, part in [low, high]) of all tables, oldest first; the rest stays."""
+    def take(self, low: str, high: str) -> list[Piece]:
+        """The parts in [low, high] of all tables, oldest first; the rest stays."""
         begin = max(0, bisect.bisect_left(self.ranges, low, key=lambda r: r.low) - 1) if self.disjoint else 0
         end = bisect.bisect_right(self.ranges, high, key=lambda r: r.low)
         out, kept = [], []
         for r in self.ranges[begin:end]:
-            if not r.meets(low, high):
+            if r.meets(low, high):
+                inner, rest = r.cut(low, high)
+                out.append(inner)
+                kept += rest
+            else:
                 kept.append(r)
-                continue
-            kept += r.cut(low, high)[1]
-            left = []
-            for piece in self.pieces[r.source]:
-                if piece.meets(low, high):
-                    inner, rest = piece.cut(low, high)
-                    out.append((r.source, inner))
-                    left += rest
-                else:
-                    left.append(piece)
-            self.pieces[r.source] = left
-        self.ranges[begin:end] = sorted(kept, key=lambda r: r.low)
-        return sorted(out, key=lambda x: x[0])
+        self.ranges[begin:end] = sorted(kept, key=start)
+        return sorted(out, key=lambda p: p.source)
 
-    def add(self, num: int, pieces: list[Piece], low: str, high: str) -> None:
+    def put(self, pieces: list[Piece]) -> None:
         """A new table, whose range the others have left."""
-        self.pieces[num] = pieces
-        bisect.insort(self.ranges, Piece(num, low, high), key=lambda r: r.low)
+        at = bisect.bisect_left(self.ranges, start(pieces[0]), key=start)
+        self.ranges[at:at] = pieces
+
+    def within(self, span: Piece) -> list[Piece]:
+        """The parts of ``span`` that tables cover, where these are disjoint, with the table of each."""
+        out = []
+        for r in self.ranges[max(0, bisect.bisect_left(self.ranges, span.low, key=lambda r: r.low) - 1):]:
+            if r.low > span.high:
+                break
+            if part := common(span, r):
+                out.append(part)
+        return out
+
+    def by_table(self) -> dict[int, list[Piece]]:
+        out: dict[int, list[Piece]] = {}
+        for r in self.ranges:
+            out.setdefault(r.source, []).append(r)
+        return out
+
+
+@dataclass
+class LeveledPlan:
+    """Where leveled compaction takes every key. A step takes a whole key range of the next level, so where a record that came to a
+    level ends depends on its key alone, whatever table it is from: ``routes[k]`` has the final tables of what came to level k + 1 by a
+    step. Its size grows with the steps, not with the tables that they merge."""
+
+    steps: list[dict]
+    routes: dict[int, KeyRanges]
+    level_of: dict[int, int]
+    pushed: dict[int, set[int]]
+
+    def pieces(self, tables: list[TableInfo]) -> list[Piece]:
+        """The final tables of each table's keys."""
+        out = []
+        for t in tables:
+            rest, found = [Piece(t.num, t.first_key, t.last_key, table=t.num)], []
+            for route in [self.routes.get(t.level - 1)] + [self.routes.get(t.level)] * (t.num in self.pushed.get(t.level, ())):
+                for r in rest if route else []:
+                    parts = route.within(r)
+                    found += parts
+                    rest = [x for x in rest if x is not r] + outside(r, parts)
+            last = None
+            for p in sorted(found + rest, key=start):
+                if last and last.table == p.table and last.high == p.low and last.high_open != p.low_open:
+                    last.high, last.high_open = p.high, p.high_open
+                else:
+                    out.append(last := p)
+        return out
+
+    def borders(self) -> list[tuple[str, int, list]]:
+        """(key, side, [(table, level) by route or None]): what holds from a border on, which lies before (0) or behind (2) its key."""
+        names = sorted(self.routes)
+        at: dict[tuple[str, int], dict[int, int | None]] = {}
+        for k, level in enumerate(names):
+            for r in self.routes[level].ranges:
+                at.setdefault((r.high, 0 if r.high_open else 2), {}).setdefault(k, None)
+                at.setdefault((r.low, 2 if r.low_open else 0), {})[k] = r.table
+        now, out = [None] * len(names), []
+        for (key, side), changes in sorted(at.items()):
+            then = [changes.get(k, table) for k, table in enumerate(now)]
+            if then != now:
+                out.append((key, side, [None if n is None else (n, self.level_of[n]) for n in then]))
+            now = then
+        return out
+
+
+def outside(span: Piece, parts: list[Piece]) -> list[Piece]:
+    """What of ``span`` lies between parts of it that are in order."""
+    out, low, low_open = [], span.low, span.low_open
+    for p in [*parts, Piece(span.source, span.high, span.high, not span.high_open)]:
+        if low < p.low or low == p.low and p.low_open and not low_open:
+            out.append(Piece(span.source, low, p.low, low_open, not p.low_open, span.table))
+        low, low_open = p.high, not p.high_open
+    return out
+
+
+def routed_leveled(tables: list[TableInfo], cfg: EngineConfig) -> LeveledPlan:
+    """Leveled compaction on the catalog alone.
+
+    While a level holds more than its limit, its oldest table goes down: what the tables of the next level hold of its key range is merged
+    with it, whole tables or, split at the borders, parts; the rest of those stays where it is. Outputs are numbered after all
+    other tables. A rest counts as a table of its level, even if it should hold no key."""
+    levels: dict[int, list[TableInfo]] = {}
+    for t in tables:
+        levels.setdefault(t.level, []).append(t)
+    next_num, steps, pushed, painted = max((t.num for t in tables), default=-1) + 1, [], {}, {}
+    level_of = {t.num: t.level for t in tables if not 1 <= t.level <= cfg.level_count}
+    now = KeyRanges(levels.get(1, []))
+    for level in range(1, cfg.level_count):
+        held, below = now.by_table(), KeyRanges(levels.get(level + 1, []))
+        here = sorted(held)
+        over = max(0, len(here) - cfg.level_limit(level))
+        pushed[level], painted[level] = set(here[:over]), KeyRanges([])
+        for num in here[:over]:
+            own = held.pop(num)
+            low, high = min(p.low for p in own), max(p.high for p in own)
+            taken = below.take(low, high)
+            steps.append({"level": level, "inputs": [num, *dict.fromkeys(p.source for p in taken)], "output": next_num})
+            below.put(joined(own + taken, next_num))
+            painted[level].take(low, high)
+            painted[level].put([Piece(next_num, low, high, table=next_num)])
+            next_num += 1
+        level_of |= dict.fromkeys(held, level)
+        now = below
+    level_of |= dict.fromkeys(now.by_table(), cfg.level_count)
+    routes: dict[int, KeyRanges] = {}
+    for level in sorted(painted, reverse=True):
+        routes[level] = KeyRanges([])
+        for r in painted[level].ranges:
+            routes[level].ranges += routes[level + 1].within(r) if r.source in pushed.get(level + 1, ()) else [r]
+        routes[level].ranges = [r for r in routes[level].ranges if r.table in level_of]  # others are gaps, where no table has keys
+    return LeveledPlan(steps, routes, level_of, pushed)
+
+
+def plan_leveled(tables: list[TableInfo], cfg: EngineConfig) -> tuple[list[dict], list[Piece], dict[int, int]]:
+    """(steps, pieces of each table, level of each table) of leveled compaction."""
+    plan = routed_leveled(tables, cfg)
+    return plan.steps, plan.pieces(tables), plan.level_of
 
 
 def plan_tiered(tables: list[TableInfo], cfg: EngineConfig) -> tuple[list[dict], list[Piece], dict[int, int]]:
@@ -236,16 +335,26 @@ def in_piece() -> Column:
 def leveled(tables: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Leveled compaction of ``tables`` (run_id, level, key, seq, ts, ...).
 
-    The plan is made from the catalog, then every record gets its final table by its source and key range and one
-    aggregation merges all of them: the data is shuffled once, however many steps the plan has."""
+    The plan is made from the catalog. Tables of a level that go down are merged first, as the plan takes equal keys of them to the same
+    place; a key finds its place among the plan's borders in one ordered pass over the distinct keys, and what meets there is merged."""
     catalog = [TableInfo(r["level"], r["run_id"], r["first_key"], r["last_key"])
                for r in table_ranges(tables, ["run_id", "level"]).toLocalIterator()]
-    _, pieces, level_of = plan_leveled(catalog, cfg)
-    moves = tables.sparkSession.createDataFrame(
-        [(p.source, p.low, p.high, p.low_open, p.high_open, p.table, level_of[p.table]) for p in pieces],
-        "run_id int, low string, high string, low_open boolean, high_open boolean, table_num int, to_level int")
-    placed = tables.drop("level").join(moves, "run_id").filter(in_piece()).drop("run_id", "low", "high", "low_open", "high_open").withColumnRenamed("to_level", "level")
-    return kway_merge(placed, ["level", "table_num"])
+    plan = routed_leveled(catalog, cfg)
+    initial = {(t.level, t.num) for t in catalog}
+    stays = F.col("run_id")
+    for level, some in plan.pushed.items():  # the oldest of a level
+        last = max((n for n in some if (level, n) in initial), default=None)
+        if last is not None:
+            stays = F.when((F.col("level") == level) & (F.col("run_id") <= last), None).otherwise(stays)
+    merged = materialize(kway_merge(tables.withColumn("stays", stays).drop("run_id"), ["level", "stays"]), "leveled")
+    borders = tables.sparkSession.createDataFrame(plan.borders(), "key string, side int, routes array<struct<table_num int, level int>>")
+    probes = merged.select("key").distinct().select("key", F.lit(1).alias("side"), F.lit(None).cast(borders.schema["routes"].dataType).alias("routes"))
+    found = carried_forward(borders.unionByName(probes), [], ["key", "side"], "routes").filter("side = 1").select("key", F.col("last").alias("routes"))
+    route = lambda level: F.when((level >= 1) & (level < cfg.level_count), F.get("routes", F.greatest(level, F.lit(1)) - 1))
+    stay = F.struct(F.col("stays").cast("int").alias("table_num"), F.col("level").cast("int").alias("level"))
+    to = F.coalesce(route(F.col("level") - 1), F.when(F.col("stays").isNull(), route(F.col("level"))), stay).alias("to")
+    placed = merged.join(found, "key").withColumn("to", to).drop("level", "stays", "routes").withColumns({"level": F.col("to.level"), "table_num": F.col("to.table_num")})
+    return kway_merge(placed.drop("to"), ["level", "table_num"])
 
 
 def renumber(catalog: DataFrame) -> DataFrame:

@@ -156,6 +156,43 @@ def test_leveled_plans_in_order_of_the_merged_tables():
     assert len(steps) == 19_999 + 19_998 and len(pieces) == 20_000 and sorted(levels.values())[:2] == [1, 2]
 
 
+def test_leveled_plans_meet_tables_that_touch():
+    """Against sets of (source, point), where odd points lie between keys."""
+    for seed in range(120):
+        rng = random.Random(seed)
+        cfg = EngineConfig(level_count=4, level_num=rng.randint(1, 3), t=rng.randint(1, 2))
+        ends = [sorted((rng.randrange(20), rng.randrange(20))) for _ in range(25)]
+        levels = {k: {} for k in range(1, 5)}
+        levels[1] = {n: {(n, p) for p in range(2 * a, 2 * b + 1)} for n, (a, b) in enumerate(ends)}
+        steps, number = [], len(ends)
+        for level in (1, 2, 3):
+            below = levels[level + 1]
+            for pushed in sorted(levels[level])[:max(0, len(levels[level]) - cfg.level_limit(level))]:
+                own = levels[level].pop(pushed)
+                low, high = min(p for _, p in own), max(p for _, p in own)
+                taken = {n: t for n in sorted(below) if (t := {x for x in below[n] if low - low % 2 <= x[1] <= high + high % 2})}
+                for n, t in taken.items():
+                    own, below[n] = own | t, below[n] - t
+                    if not below[n]:
+                        del below[n]
+                below[number] = own
+                steps.append({"level": level, "inputs": [pushed, *taken], "output": number})
+                number += 1
+        got, pieces, level_of = compaction.plan_leveled([compaction.TableInfo(1, n, f"{a:02d}", f"{b:02d}") for n, (a, b) in enumerate(ends)], cfg)
+        assert got == steps and level_of == {n: level for level, some in levels.items() for n in some}
+        spots = {(x, n) for some in levels.values() for n, t in some.items() for x in t if x[1] % 2 == 0}
+        inside = lambda p, k: (p.low < k or p.low == k and not p.low_open) and (k < p.high or k == p.high and not p.high_open)
+        assert {((p.source, 2 * k), p.table) for p in pieces for k in range(20) if inside(p, f"{k:02d}")} == spots
+
+
+def test_leveled_routes_grow_with_the_steps():
+    """Wide tables that begin and end almost alike, of which each step cuts all that went before."""
+    rng = random.Random(3)
+    tables = [compaction.TableInfo(1, n, f"{rng.randrange(500):05d}", f"{90_000 + rng.randrange(500):05d}") for n in range(3000)]
+    plan = compaction.routed_leveled(tables, EngineConfig(level_count=4, level_num=2, t=2))
+    assert len(plan.steps) >= 2998 and sum(len(r.ranges) for r in plan.routes.values()) <= 2 * len(plan.steps)
+
+
 def test_a_single_record_has_a_parent(spark):
     leaves = merkle.merkle_leaves(spark.createDataFrame([(1, "a", "x")], "table_id int, key string, data string"), "key", "data")
     pair = hashlib.sha1(hashlib.sha1(b"x").digest()).digest() + hashlib.sha1(bytes.fromhex(merkle.EMPTY_SHA1)).digest()
