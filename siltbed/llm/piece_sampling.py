@@ -67,7 +67,6 @@ class Automaton:
     CHOICES = 2_000_000
 
     def __init__(self, processor):
-        self.powers = C.powers(C.BASE, 1)
         n = processor.get_piece_size()
         self.bytes, self.unknown, normal, self.text_of = {}, processor.unk_id(), {}, []
         for i in range(n):
@@ -107,7 +106,6 @@ class Automaton:
         self.between = next(chr(c) for c in range(0xE000, 0xF900) if chr(c) not in letters)  # private use
         self.apart, self.coded = True, False
         self.size = np.array([len(b) for b in self.text_of], np.int64)
-        self.sums = np.array([int((C.BYTE_VALUES[np.frombuffer(b, np.uint8)] * C.powers(C.BASE, len(b))).sum(dtype=np.uint64)) for b in self.text_of], np.uint64)
         self.reset()
 
     def reset(self):
@@ -326,14 +324,6 @@ class Automaton:
             out[ends[at] - sizes[at] + r] = choice
         return np.repeat(np.arange(len(states)), sizes), out
 
-    def spelled(self, pieces: np.ndarray) -> int:
-        """A 64-bit hash of the string that pieces spell, however it is cut."""
-        ends = np.cumsum(self.size[pieces])
-        if len(ends) and ends[-1] >= len(self.powers):
-            self.powers = C.powers(C.BASE, 2 * int(ends[-1]))
-        with np.errstate(over="ignore"):
-            return int((self.sums[pieces] * self.powers[ends - self.size[pieces]]).sum(dtype=np.uint64))
-
 
 class Sample:
     """A segmentation: its choices with the unit each belongs to, and the region that it was the best of."""
@@ -480,8 +470,8 @@ def ids_digest(ids: np.ndarray) -> str:
     return hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest()
 
 
-def encoded_rows(shared, k: int, seed: int, keep_ids: bool):
-    """A function for mapInArrow over (doc_id, text): rank 0 is the tokenizer's encoding, 1 to k the samples."""
+def encoded_rows(shared, k: int, seed: int):
+    """A function for mapInArrow over (doc_id, text): rank 0 is the tokenizer's encoding, 1 to k the samples. Every sequence is decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, auto = loaded(shared.value)
@@ -500,25 +490,22 @@ def encoded_rows(shared, k: int, seed: int, keep_ids: bool):
                     keys = np.array([generator(seed, docs[group[i]], texts[group[i]]) for i in sampled], np.uint64)
                     found = dict(zip([group[i] for i in sampled], searches(auto, [firsts[i] for i in sampled], keys, k)))
                 for x, ids in zip(group, coded):
-                    fine = sp.decode(ids.tolist()) == texts[x]
-                    rows.append((docs[x], 0, len(ids), None, None, ids_digest(ids), fine))
+                    rows.append((docs[x], 0, len(ids), None, None, ids_digest(ids), sp.decode(ids.tolist()) == texts[x]))
                     ids_of.append(ids)
                     if x not in found:
                         continue
                     samples, kappa = found[x]
-                    whole = auto.spelled(ids)
                     for rank, (_, logp, pieces) in enumerate(samples, 1):
                         score = float(-np.expm1(-np.exp(min(700.0, logp - kappa)))) if kappa > -np.inf else 1.0
-                        rows.append((docs[x], rank, len(pieces), logp, score, ids_digest(pieces), fine and auto.spelled(pieces) == whole))
+                        rows.append((docs[x], rank, len(pieces), logp, score, ids_digest(pieces), sp.decode(pieces.tolist()) == texts[x]))
                         ids_of.append(pieces)
                 group, held = [], 0
             types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
             cols = list(zip(*rows)) if rows else [()] * 7
             arrays = [pa.array(c, t) for c, t in zip(cols, types)]
-            if keep_ids:
-                cuts = np.concatenate([[0], np.cumsum([len(x) for x in ids_of])])
-                arrays.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([*ids_of, np.zeros(0, np.int32)]), pa.int32())))
-            yield pa.RecordBatch.from_arrays(arrays, names=NAMES[:len(arrays)])
+            cuts = np.concatenate([[0], np.cumsum([len(x) for x in ids_of])])
+            arrays.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([*ids_of, np.zeros(0, np.int32)]), pa.int32())))
+            yield pa.RecordBatch.from_arrays(arrays, names=NAMES)
 
     return run
 
@@ -527,14 +514,13 @@ NAMES = ["doc_id", "rank", "n_pieces", "log_p", "inclusion", "ids_sha256", "deco
 ENCODED = "doc_id long, rank int, n_pieces long, log_p double, inclusion double, ids_sha256 string, decodes boolean, ids array<int>"
 
 
-def encode(docs: DataFrame, k: int = 2, seed: int = 7, model: str = MODEL, keep_ids: bool = True) -> DataFrame:
-    """One row per document and rank: 0 the tokenizer's own encoding, 1 to k distinct sampled segmentations in order of their
-    perturbed value; ``decodes`` tells whether decoding the ids gives the text back."""
+def encode(docs: DataFrame, k: int = 2, seed: int = 7, model: str = MODEL) -> DataFrame:
+    """One row per document and rank with its ids: 0 the tokenizer's own encoding, 1 to k distinct sampled segmentations in order of their
+    perturbed value; ``decodes`` tells whether decoding the ids of the row gives the text back."""
     spark = C.prepared(docs)
     with open(model, "rb") as f:  # a vocabulary file of the driver; its bytes go to the tasks
         shared = spark.sparkContext.broadcast(f.read())
-    schema = ENCODED if keep_ids else ENCODED.rpartition(",")[0]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encoded_rows(shared, k, seed, keep_ids), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encoded_rows(shared, k, seed), ENCODED)
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:

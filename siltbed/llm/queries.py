@@ -24,7 +24,7 @@ def op3_pii(spark, d):
 
 
 def op4_sentencepiece(spark, d):
-    return piece_sampling.encode(table(spark, d, "documents"), keep_ids=False)
+    return piece_sampling.encode(table(spark, d, "documents"))
 
 
 def op5_decontamination(spark, d):

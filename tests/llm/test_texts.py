@@ -193,6 +193,21 @@ def test_pieces_round_trip(spark):
     assert piece_sampling.encode(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_the_query_returns_and_decodes_every_sequence(spark):
+    """Ids of all ranks, the digest of these, and whether the tokenizer gives the text back from them."""
+    import sentencepiece
+
+    from siltbed.llm import queries
+
+    d, sp = "/root/testdata/sf0.001", sentencepiece.SentencePieceProcessor(model_file=piece_sampling.MODEL)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = queries.op4_sentencepiece(spark, d).collect()
+    assert {r["rank"] for r in got} == {0, 1, 2} and {r.doc_id for r in got} == set(texts)
+    for r in got:
+        assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest() and r.decodes == (sp.decode(r.ids) == texts[r.doc_id])
+        assert r["rank"] or r.ids == sp.encode(texts[r.doc_id])
+
+
 def test_samples_follow_the_lattice(tokenizer):
     sp, auto = tokenizer
     ids = np.array(sp.encode("better"))
