@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -211,6 +214,19 @@ def prepared(df: DataFrame) -> SparkSession:
     return spark
 
 
+KEPT: dict = {}  # what a Python worker keeps for later tasks of an operator
+
+
+def release() -> None:
+    """What an earlier operator's tasks left in this worker goes back to the system: workers outlive a stage, and the next one needs the room."""
+    if KEPT:
+        KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def total_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of text in a table, by one scan."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])

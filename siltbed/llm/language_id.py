@@ -125,6 +125,7 @@ def likelihood_rows(model):
     """A function for mapInArrow over (k2, doc_id, host, suffix, declared, fold, text): the tempered log likelihoods."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         tables = model.value
         n_langs = tables.shape[1]
         for batch in batches:

@@ -67,6 +67,7 @@ def heavy_shingles(docs: DataFrame, width: int, separator: np.ndarray) -> np.nda
     """The most frequent shingles by document count, over all documents (copies in one task count once); sorted, ``HEAVY`` at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         seen: set[int] = set()
         for batch in batches:
             for _, data, offsets in C.slices(batch):
@@ -101,6 +102,7 @@ def member_rows(width: int, threshold: int, separator: np.ndarray, heavy, parts:
     shingle that is frequent in this part of the task (hot); of these one entry, marked, goes to the part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         frequent = heavy.value
         seen: set[tuple[int, int]] = set()
         prefixes, owners, held = [], [], 0
@@ -180,6 +182,7 @@ def entry_batch(parts: list, hots: list, marks: list[bool], blobs: list[bytes])
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parts in order: (leader, member, null) for every prefix shingle that several classes have, and (leader, null, shingle) for those
     with marked entries; the leader is the smallest class."""
+    C.release()
 
     def close(blobs: list[bytes], marked: list[bytes]) -> pa.RecordBatch:
         m = np.frombuffer(b"".join(marked), np.int64).reshape(-1, 2)
@@ -355,6 +358,7 @@ def by_unit(work, threshold: int, types: list[tuple[str, pa.DataType]]):
     """A function for mapInArrow over rows (leader, bi, bj, block, member, hub, payload ...) in order of unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         now, rows = None, []
         for batch in batches:
             leader, bi, bj, block, member, hub = (batch.column(k).to_pylist() for k in range(6))
@@ -378,6 +382,7 @@ def star(test, types: list[tuple[str, pa.DataType]]):
     a leader and a member that pass a test of their payloads. Nothing but the leader is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         now, hubs = None, []
         for batch in batches:
             leader, salt, member = (batch.column(k).to_pylist() for k in range(3))
@@ -464,6 +469,7 @@ def set_rows(width: int, separator: np.ndarray):
     """A function for mapInArrow over (s1, s2, node, text): the whole sets of the rows whose signature is the one expected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         for batch in batches:
             for part, data, offsets in C.slices(batch):
                 h, bounds = C.batch_shingles(data, offsets, width, separator)

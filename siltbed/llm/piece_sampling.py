@@ -451,19 +451,16 @@ def generator(seed: int, doc_id: int | None, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}:{key}".encode(), digest_size=8).digest(), "little")
 
 
-_LOADED: dict = {}
-
-
 def loaded(model: bytes):
-    """The worker's tokenizer for a model and its automaton, loaded once."""
+    """The worker's tokenizer for a model and its automaton, loaded once and kept until another operator's task releases it."""
     import sentencepiece
 
     key = hashlib.sha1(model).digest()
-    if key not in _LOADED:
-        _LOADED.clear()
+    if key not in C.KEPT:
+        C.release()
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        _LOADED[key] = sp, Automaton(sp)
-    return _LOADED[key]
+        C.KEPT[key] = sp, Automaton(sp)
+    return C.KEPT[key]
 
 
 def ids_digest(ids: np.ndarray) -> str:

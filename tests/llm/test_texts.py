@@ -208,6 +208,16 @@ def test_the_query_returns_and_decodes_every_sequence(spark):
         assert r["rank"] or r.ids == sp.encode(texts[r.doc_id])
 
 
+def test_a_worker_gives_back_what_another_operator_kept():
+    """The tokenizer's automaton would stay beside the sets of a join in the same worker."""
+    from siltbed.llm import common, ngram_jaccard
+
+    with open(piece_sampling.MODEL, "rb") as f:
+        piece_sampling.loaded(f.read())
+    assert common.KEPT
+    assert list(ngram_jaccard.by_unit(ngram_jaccard.set_links, 80, ngram_jaccard.LINKS)(iter([])))[0].num_rows == 0 and not common.KEPT
+
+
 def test_samples_follow_the_lattice(tokenizer):
     sp, auto = tokenizer
     ids = np.array(sp.encode("better"))
