@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from siltbed.llm import common as C
 
-HEAVY = 100_000  # entries of the list of frequent shingles: a bounded broadcast
-HEAVY_DF = 64  # documents that make a shingle frequent
+HEAVY = 1_000_000  # entries of the list of frequent shingles: a bounded broadcast
+HEAVY_DF = 16  # documents that make a shingle frequent
+STRETCH = 1_000_000  # shingles that are counted together
 ENTRIES = 100_000  # prefix entries of one packed part
 HELD = 500_000  # prefix entries that a task sorts together
 HOT = 64  # entries of a prefix shingle in one task's part that make it frequent there
@@ -63,12 +64,20 @@ def halved(bits: np.ndarray) -> np.ndarray:
     return np.packbits(np.unpackbits(bits).reshape(-1, 2).any(axis=1))
 
 
-def heavy_shingles(docs: DataFrame, width: int, separator: np.ndarray) -> np.ndarray:
-    """The most frequent shingles by document count, over all documents (copies in one task count once); sorted, ``HEAVY`` at most."""
+def repeated_shingles(width: int, separator: np.ndarray):
+    """A function for mapInArrow: (h, n) of the shingles that several texts of a stretch of about ``STRETCH`` shingles have. A stretch is
+    long, so that a shingle of few texts a megabyte, which many texts of a large table have, is counted too."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         C.release()
         seen: set[int] = set()
+        parts, held = [], 0
+
+        def counted() -> pa.RecordBatch:
+            v, n = np.unique(np.concatenate(parts), return_counts=True)
+            keep = n >= 2
+            return pa.RecordBatch.from_arrays([pa.array(v[keep].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
+
         for batch in batches:
             for _, data, offsets in C.slices(batch):
                 h, bounds = C.batch_shingles(data, offsets, width, separator)
@@ -80,16 +89,33 @@ def heavy_shingles(docs: DataFrame, width: int, separator: np.ndarray) -> np.nda
                 owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 order = np.argsort(h, kind="stable")
                 h, owner = h[order], owner[order]
-                if len(h) < 2:
+                if not len(h):
                     continue
-                fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
-                v, n = np.unique(h[fresh], return_counts=True)
-                keep = n >= 3
-                yield pa.RecordBatch.from_arrays([pa.array(v[keep].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
-
-    rows = (docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= HEAVY_DF).orderBy(F.desc("n"), "h").limit(HEAVY).select("h").collect())
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+                parts.append(h[np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])])
+                held += len(parts[-1])
+                if held >= STRETCH:
+                    yield counted()
+                    parts, held = [], 0
+        if parts:
+            yield counted()
+
+    return count
+
+
+def heavy_shingles(docs: DataFrame, width: int, separator: np.ndarray) -> np.ndarray:
+    """The most frequent shingles by document count, over all documents (copies in one task count once); sorted, ``HEAVY`` at most."""
+    counts = docs.select("text").mapInArrow(repeated_shingles(width, separator), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = C.materialize(counts.filter(F.col("n") >= HEAVY_DF), "jaccard-heavy")
+    size = F.least(F.col("n"), F.lit(1 << 20))
+    least, total = None, 0
+    for n, some in sorted((tuple(r) for r in counts.groupBy(size).count().collect()), reverse=True):  # all of a count, as far as there is room
+        total += some
+        if total > HEAVY:
+            break
+        least = n
+    if least is None:
+        return np.zeros(0, np.uint64)
+    return np.sort(counts.filter(size >= least).select("h").toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def least_overlap(n, threshold: int):

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import components, corpus, frame, removals
 
@@ -16,6 +17,27 @@ def test_components_equal_brute_force(spark, monkeypatch, width, threshold, grou
     assert sorted(map(tuple, got), key=repr) == sorted(components(ROWS, width, threshold), key=repr)
 
 
+def test_frequent_shingles_are_counted_beyond_a_slice(monkeypatch):
+    """A shingle that two texts of a slice have at most, but many of the table, must not choose candidates."""
+    monkeypatch.setattr(common, "SLICE_BYTES", 400)
+    texts = [" ".join([*(f"w{i}x{k}" for k in range(40)), "one very common line", f"end{i}"]) for i in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    total = {}
+    for out in ngram_jaccard.repeated_shingles(4, common.ASCII_SPACE)(iter([batch])):
+        for h, n in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+            total[h] = total.get(h, 0) + n
+    data, offsets = common.utf8(pa.array(["one very common line"]))
+    line = int(common.batch_shingles(data, offsets, 4, common.ASCII_SPACE)[0].view(np.int64)[0])
+    assert total == {line: 100}
+
+
+@pytest.mark.parametrize("room,found", [(10, 3), (2, 1), (0, 0)])
+def test_the_list_of_frequent_shingles_has_room_for_the_most_frequent(spark, monkeypatch, room, found):
+    monkeypatch.setattr(ngram_jaccard, "HEAVY", room)
+    rows = [(i, f"a b c d x{i}" + " e f g h" * (i < 30) + f" z{i} i j k l" * (i < 30), "en", "s") for i in range(60)]
+    assert len(ngram_jaccard.heavy_shingles(frame(spark, rows), 4, common.ASCII_SPACE)) == found
+
+
 def test_null_ids_and_empty_table(spark):
     rows = [(None, "a b c d e f", "en", "s"), (3, "a b c d e f", "en", "s"), (None, "g h i j k l", "en", "s")]
     got = ngram_jaccard.similar_groups(frame(spark, rows), 4, 85).select("doc_id", "component_id").collect()
