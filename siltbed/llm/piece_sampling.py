@@ -22,7 +22,7 @@ import heapq
 import math
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +57,14 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
+class Numbers(dict):
+    """Numbers of units; one that is looked up for the first time gets the next."""
+
+    def __missing__(self, unit: str) -> int:
+        number = self[unit] = len(self)
+        return number
+
+
 class Automaton:
     """States are rests of units; a choice is a piece that begins the rest and leads to what remains. State 0 is the end.
 
@@ -109,11 +117,11 @@ class Automaton:
         self.reset()
 
     def reset(self):
-        self.units: dict[str, int] = {}  # numbers of units; ``first`` has their first states, ``code`` their encodings
+        self.units = Numbers()  # ``first`` has their first states, ``code`` their encodings
         self.n, self.n_states = 0, 1
         if not hasattr(self, "piece"):  # room is kept for the next units
-            self.piece, self.goes, self.state = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
-            self.logp, self.upto, self.leave, self.cuts = np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(2, np.int64)
+            self.piece, self.goes = np.zeros(0, np.int32), np.zeros(0, np.int32)
+            self.logp, self.upto, self.cuts = np.zeros(0), np.zeros(0), np.zeros(2, np.int64)
             self.first, self.code, self.code_cuts = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64)
             self.unit_of, self.used = np.full(1, -1, np.int32), np.zeros(0, bool)
 
@@ -129,9 +137,9 @@ class Automaton:
         states, number = np.flatnonzero(stays), np.cumsum(stays) - 1
         choices, ends = spans(self.cuts[states], self.cuts[states + 1]), np.cumsum(self.cuts[states + 1] - self.cuts[states])
         n, m = len(choices), len(kept)
-        for values in (self.piece, self.logp, self.upto, self.leave):
+        for values in (self.piece, self.logp, self.upto):
             values[:n] = values[choices]
-        self.goes[:n], self.state[:n] = number[self.goes[choices]], number[self.state[choices]]
+        self.goes[:n] = number[self.goes[choices]]
         self.cuts[1:len(states) + 1] = ends
         self.unit_of[:len(states)] = (np.cumsum(np.isin(np.arange(len(names)), kept)) - 1)[self.unit_of[states]]
         self.unit_of[0] = -1
@@ -140,7 +148,7 @@ class Automaton:
             ends = np.cumsum(self.code_cuts[kept + 1] - self.code_cuts[kept])
             self.code[:len(code)], self.code_cuts[1:m + 1] = code, ends
         self.first[:m] = number[self.first[kept]]
-        self.units = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.units = Numbers(zip(map(names.__getitem__, kept.tolist()), range(m)))
         self.used[:] = False
         self.n, self.n_states = n, len(states)
 
@@ -151,17 +159,16 @@ class Automaton:
             self.coded = processor is not None
         elif self.n > self.CHOICES:
             self.keep_used()
-        units, n = self.units, len(self.units)
-        fresh = [u for u in dict.fromkeys(chain.from_iterable(parts)) if u not in units]
+        n, number = len(self.units), self.units.__getitem__
+        found = [np.fromiter(map(number, p), np.int64, len(p)) for p in parts]
+        fresh = list(islice(self.units, n, None))
         if fresh:
             if self.coded:
                 code, sizes = self.codes(processor, fresh)
                 used = int(self.code_cuts[n])
                 self.code, self.code_cuts = grown(self.code, used, code), grown(self.code_cuts, n + 1, used + np.cumsum(sizes))
-            self.first = grown(self.first, n, np.array(self.build(fresh), np.int64))
+            self.first = grown(self.first, n, self.build(fresh, n))
             self.used = grown(self.used, n, np.zeros(len(fresh), bool))
-            units.update(zip(fresh, range(n, n + len(fresh))))
-        found = [np.fromiter(map(units.__getitem__, p), np.int64, len(p)) for p in parts]
         for x in found:
             self.used[x[x < n]] = True
         return found
@@ -189,14 +196,18 @@ class Automaton:
     def codes(self, processor, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The tokenizer's pieces of units, and how many each has: many are encoded at once, with a character that is in no
         piece between those that would not stand beside each other in a text. That pieces spell the text is seen where it is decoded."""
-        found, counts, gap = [], [], len(self.between.encode())
+        found, counts, gap, between = [], [], len(self.between.encode()), self.between
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(lengths)
+        size = np.add.reduceat(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), ends - lengths)  # in UTF-8
+        plain = points[ends - lengths] == ord(SPACE)  # beside each other as in a text
+        plain[1:] &= points[ends[:-1] - 1] != ord(SPACE)
+        plain[::256] = False
+        texts, behind = [u if p else between + u for u, p in zip(units, plain.tolist())], size + np.where(plain, 0, gap)
         for at in range(0, len(units), 256):
-            part = units[at:at + 256]
-            plain = [u[0] == SPACE and last[-1] != SPACE for last, u in zip(chain([SPACE], part), part)]  # beside each other as in a text
-            ids = np.array(processor.encode("".join([u if p else self.between + u for u, p in zip(part, plain)])), np.int32)
-            ends = np.cumsum(self.size[ids])
-            sizes = np.array([len(u.encode()) for u in part], np.int64)
-            upto = np.cumsum(sizes + np.where(plain, 0, gap))
+            ids = processor.encode("".join(texts[at:at + 256]), return_type="numpy")
+            ends, sizes, upto = np.cumsum(self.size[ids]), size[at:at + 256], np.cumsum(behind[at:at + 256])
             upto += ends[-1] - upto[-1]  # behind what the tokenizer puts before a text
             a, b = np.searchsorted(ends, upto - sizes), np.searchsorted(ends, upto)
             if (ends[a] != upto - sizes).any() or (ends[b] != upto).any():
@@ -205,9 +216,9 @@ class Automaton:
             counts.append(b - a)
         return np.concatenate(found), np.concatenate(counts)
 
-    def build(self, units: list[str]) -> list[int]:
-        """The states of new units. States are numbered by what remains, so each round of the backward pass is a range of them."""
-        sizes = np.array([len(u) for u in units], np.int64)
+    def build(self, units: list[str], number: int) -> np.ndarray:
+        """The first states of new units, numbered from ``number``. States are numbered by what remains, so each round of the backward pass is a range of them."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
         ends = np.cumsum(sizes)
         points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
         letters = self.letter[points]
@@ -274,9 +285,8 @@ class Automaton:
         upto[cuts[1:] - 1] = 2.0
         base = self.n_states
         goes = np.where(goes == n, 0, goes + base)
-        state = np.repeat(np.arange(n), count)
         unit_of = np.empty(n, np.int32)
-        unit_of[name] = np.repeat(np.arange(len(units)), sizes) + len(self.units)
+        unit_of[name] = np.repeat(np.arange(len(units)), sizes) + number
         tails = [(int(name[x]), c) for x, c in zip(alone.tolist(), chains) if len(c) > 1]
         if tails:  # the bytes after the first are states of one choice each
             more_piece, more_goes = [], []
@@ -290,16 +300,18 @@ class Automaton:
             unit_of = np.concatenate([unit_of, np.repeat(unit_of[[s for s, _ in tails]], [len(c) - 1 for _, c in tails])])
             piece, goes = np.concatenate([piece, more_piece]), np.concatenate([goes, more_goes])
             logp, upto = np.concatenate([logp, np.zeros(m)]), np.concatenate([upto, np.full(m, 2.0)])
-            state, count = np.concatenate([state, n + np.arange(m)]), np.concatenate([count, np.ones(m, np.int64)])
+            count = np.concatenate([count, np.ones(m, np.int64)])
             cuts = np.concatenate([cuts, cuts[-1] + 1 + np.arange(m)])
 
-        self.piece, self.goes, self.state = grown(self.piece, self.n, piece), grown(self.goes, self.n, goes), grown(self.state, self.n, state + base)
+        self.piece, self.goes = grown(self.piece, self.n, piece), grown(self.goes, self.n, goes)
         self.logp, self.upto, self.cuts = grown(self.logp, self.n, logp), grown(self.upto, self.n, upto), grown(self.cuts, base + 1, cuts[1:] + self.n)
         self.unit_of = grown(self.unit_of, base, unit_of)
-        with np.errstate(divide="ignore"):  # log probability of another choice than this, -inf where there is none
-            self.leave = grown(self.leave, self.n, np.log(-np.expm1(logp)))
         self.n, self.n_states = self.n + len(piece), base + len(count)
-        return (name[ends - sizes] + base).tolist()
+        return name[ends - sizes] + base
+
+    def state(self, choice: int) -> int:
+        """The state that a choice is one of."""
+        return int(np.searchsorted(self.cuts[:self.n_states + 1], choice, side="right")) - 1
 
     def draw(self, states: np.ndarray, streams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(units' positions, choices) of one draw from each state to its end, in order of the units; each has its stream."""
@@ -376,7 +388,7 @@ def searches(auto: Automaton, firsts: list[np.ndarray], keys: np.ndarray, k: int
         ends = np.cumsum(sizes)
         starts = ends - sizes
         choices = np.concatenate([s.choices for s in items])
-        logp, leave, pieces = auto.logp[choices], auto.leave[choices], auto.piece[choices]
+        logp, pieces = auto.logp[choices], auto.piece[choices]
         before = np.empty(len(choices))
         for x, (value, _, _), a, b in zip(live, taken, starts.tolist(), ends.tolist()):
             np.cumsum(logp[a:b], out=before[a:b])
@@ -384,13 +396,13 @@ def searches(auto: Automaton, firsts: list[np.ndarray], keys: np.ndarray, k: int
         before -= logp
         # Regions that follow a sample up to some step and take another choice there.
         steps = np.arange(len(choices)) - np.repeat(starts, sizes)
-        split = np.flatnonzero((leave > -np.inf) & (steps >= np.repeat([s.fixed for s in items], sizes)))
-        masses = before[split] + leave[split]
+        split = np.flatnonzero((logp < 0) & (steps >= np.repeat([s.fixed for s in items], sizes)))
+        masses = before[split] + np.log(-np.expm1(logp[split]))
         cuts = np.searchsorted(split, np.append(starts, len(choices))).tolist()
         for item, start, a, b in zip(items, starts.tolist(), cuts, cuts[1:]):
             if item.barred and b > a and split[a] == start + item.fixed:
                 c = int(item.choices[item.fixed])
-                state = int(auto.state[c])
+                state = auto.state(c)
                 lo = int(auto.cuts[state])
                 rest = [math.exp(v) for i, v in enumerate(auto.logp[lo:int(auto.cuts[state + 1])].tolist(), lo) if i != c and i not in item.barred]
                 masses[a] = before[split[a]] + (math.log(sum(rest)) if sum(rest) > 0 else -math.inf)
@@ -419,7 +431,7 @@ def draw_regions(auto: Automaton, firsts: list[np.ndarray], keys: np.ndarray, re
             rests.append(first)
             continue
         item, t, barred = region
-        state = int(auto.state[item.choices[t]])
+        state = auto.state(int(item.choices[t]))
         options = [c for c in range(int(auto.cuts[state]), int(auto.cuts[state + 1])) if c not in barred]
         upto = np.cumsum(np.exp(auto.logp[options]))
         pick = options[min(len(options) - 1, int(np.searchsorted(upto, u * upto[-1], side="right")))]
@@ -487,14 +499,14 @@ def encoded_rows(shared, k: int, seed: int):
                     keys = np.array([generator(seed, docs[group[i]], texts[group[i]]) for i in sampled], np.uint64)
                     found = dict(zip([group[i] for i in sampled], searches(auto, [firsts[i] for i in sampled], keys, k)))
                 for x, ids in zip(group, coded):
-                    rows.append((docs[x], 0, len(ids), None, None, ids_digest(ids), sp.decode(ids.tolist()) == texts[x]))
+                    rows.append((docs[x], 0, len(ids), None, None, ids_digest(ids), sp.decode(ids) == texts[x]))
                     ids_of.append(ids)
                     if x not in found:
                         continue
                     samples, kappa = found[x]
                     for rank, (_, logp, pieces) in enumerate(samples, 1):
                         score = float(-np.expm1(-np.exp(min(700.0, logp - kappa)))) if kappa > -np.inf else 1.0
-                        rows.append((docs[x], rank, len(pieces), logp, score, ids_digest(pieces), sp.decode(pieces.tolist()) == texts[x]))
+                        rows.append((docs[x], rank, len(pieces), logp, score, ids_digest(pieces), sp.decode(pieces) == texts[x]))
                         ids_of.append(pieces)
                 group, held = [], 0
             types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]

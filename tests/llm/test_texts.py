@@ -275,6 +275,41 @@ def test_samples_do_not_depend_on_kept_units(tokenizer, monkeypatch):
     assert got[0] == got[1] == got[2]
 
 
+def test_ids_pass_to_the_tokenizer_and_back_as_arrays(tokenizer, monkeypatch):
+    """Without lists of Python integers in between; each unit of a text is looked up once."""
+    import pyarrow as pa
+
+    sp, lookups = tokenizer[0], []
+
+    class Arrays:
+        def __getattr__(self, name):
+            return getattr(sp, name)
+
+        def encode(self, text, return_type=None):
+            assert return_type == "numpy"
+            return sp.encode(text, return_type=return_type)
+
+        def decode(self, ids):
+            assert isinstance(ids, np.ndarray)
+            return sp.decode(ids)
+
+    class Unit(str):
+        __eq__ = str.__eq__
+
+        def __hash__(self):
+            lookups.append(self)
+            return str.__hash__(self)
+
+    texts = ["to be or not to be", None, "", "日本 \U0001F600", "to be"]
+    auto = piece_sampling.Automaton(Arrays())
+    monkeypatch.setattr(piece_sampling, "loaded", lambda model: (Arrays(), auto))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    rows = next(piece_sampling.encoded_rows(type("Model", (), {"value": b""}), 2, 7)(iter([batch]))).to_pylist()
+    assert all(r["decodes"] for r in rows) and [r["ids"] for r in rows if not r["rank"]] == [sp.encode(t or "") for t in texts]
+    auto.numbers([[Unit("\u2581to"), Unit("\u2581be"), Unit("\u2581to")]], Arrays())
+    assert len(lookups) == 3
+
+
 @pytest.mark.parametrize("html,text", [
     (None, ""), ("", ""), ("plain", "plain"),
     ("<p>a<p>b", "a\n\nb"), ("<div>a</div><div>b <b>c</b></div>", "a\nb c"),
