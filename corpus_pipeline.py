@@ -34,7 +34,7 @@ def mask_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole texts as piece ids: the tokenizer's encoding and two sampled segmentations."""
-    return piece_sampling.encode(docs)
+    return piece_sampling.encode(docs, choices=2_000_000)  # earlier stages have grown the executors' JVMs: workers keep less
 
 
 STAGES = [

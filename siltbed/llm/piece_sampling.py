@@ -2,8 +2,8 @@
 
 A text gets the tokenizer's own encoding, put together from those of its units (below), which the tokenizer gives. Its lattice holds every sequence of vocabulary pieces that spells the text as the
 tokenizer normalises it (a character that is no piece is spelled by its bytes, as in the tokenizer); a segmentation weighs
-exp(sum over pieces of (score / SCALE - COST)). No piece crosses the start of a run of space marks, so the lattice is the product of
-those of its units (such a run and the word after it), each with exact normalisers from a backward pass that is kept by unit.
+exp(sum over pieces of (score / SCALE - COST)). A text is cut between characters that stand beside each other in no piece, so the lattice
+is the product of those of its units (what lies between cuts), each with exact normalisers from a backward pass that is kept by unit.
 
 The k segmentations are drawn without replacement by perturbed A-star search: the whole space has a Gumbel value at its
 sample; taking a sample splits its region into the regions that first leave it at each step, whose Gumbel values are drawn
@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-import re
 from collections.abc import Iterator
 from itertools import islice
 
@@ -34,6 +33,9 @@ SCALE, COST = 4000.0, 2.0
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
 CHARACTERS = 1 << 19  # of texts that are encoded and sampled together; a longer text is a group of its own
+STEPS = 512  # of a sample that are looked at first for those where the next ones leave it
+APART = 45.0  # Gumbel values of ``uniforms`` lie between -3.7 and 37.5, so masses that are this far apart keep their order
+BELOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n bytes of eight
 NO_PIECE = "\U0010ffff".encode()  # stands for what a tokenizer without bytes does not know
 
 
@@ -57,6 +59,11 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
+def utf8_sizes(points: np.ndarray) -> np.ndarray:
+    """Bytes of code points in UTF-8."""
+    return 1 + (points > 0x7F).view(np.int8) + (points > 0x7FF).view(np.int8) + (points > 0xFFFF).view(np.int8)
+
+
 class Numbers(dict):
     """Numbers of units; one that is looked up for the first time gets the next."""
 
@@ -66,17 +73,18 @@ class Numbers(dict):
 
 
 class Automaton:
-    """States are rests of units; a choice is a piece that begins the rest and leads to what remains. State 0 is the end.
+    """States are rests of units; a choice is a piece that begins the rest and ``goes`` to the first choice of what remains, or -1, the end.
+    State 0 is the end.
 
-    A unit is a run of space marks with the characters after it, or a character that is in no longer piece; where no piece has a
-    space mark after another character, no piece crosses units. Units keep their states for later texts until these have
-    ``CHOICES`` choices."""
+    Units are the longest runs of characters of which each and the next are beside each other in some piece, so that no piece
+    crosses units. Units keep their states for later texts until these have ``CHOICES`` choices."""
 
-    CHOICES = 2_000_000
+    CHOICES = 6_000_000
+    SLOTS = 1 << 19  # of a table in front of the numbers: a unit of up to 23 bytes is found there by these, if no other took its slot
 
     def __init__(self, processor):
         n = processor.get_piece_size()
-        self.bytes, self.unknown, normal, self.text_of = {}, processor.unk_id(), {}, []
+        self.bytes, self.unknown, normal, merged, self.text_of = {}, processor.unk_id(), {}, [], []
         for i in range(n):
             s = processor.id_to_piece(i)
             if processor.is_byte(i):
@@ -84,14 +92,16 @@ class Automaton:
                 self.bytes[self.text_of[-1][0]] = i
             else:
                 self.text_of.append(NO_PIECE if i == self.unknown else s.encode())
-                if not (processor.is_control(i) or processor.is_unknown(i) or processor.is_unused(i)):
-                    normal[s] = i
+                if not (processor.is_control(i) or processor.is_unknown(i)):
+                    merged.append(s)  # unused pieces are split again, but the tokenizer makes them
+                    if not processor.is_unused(i):
+                        normal[s] = i
         self.weight = np.array([max(processor.get_score(i), -1e5) / SCALE - COST for i in range(n)])
         # A trie of pieces: node 0 is the root; ``child`` has a row for each other node that has children and a column for each
         # letter of longer pieces, the last column for all else.
         heads = sorted({s[:k] for s in normal for k in range(1, len(s) + 1)})
         node = {s: k for k, s in enumerate(["", *heads])}
-        inner = {c for s in normal if len(s) > 1 for c in s}
+        inner = {c for s in merged if len(s) > 1 for c in s}
         letters = {c: k for k, c in enumerate([*sorted(inner), *sorted({s[0] for s in heads} - inner)])}
         self.n_inner = len(inner)
         self.letter = np.full(0x110000, len(letters), np.int32)
@@ -107,17 +117,17 @@ class Automaton:
             else:
                 self.root[letters[s]] = node[s]
         self.piece_at = np.array([normal.get(s, -1) for s in node], np.int32)
-        if not any(SPACE in s.lstrip(SPACE) for s in normal):
-            inner.discard(SPACE)
-        plain = "[" + "".join(map(re.escape, sorted(inner))) + "]+" if inner else "(?!)"
-        self.unit = re.compile(f"{SPACE}*{plain}|{SPACE}+|.", re.S)
+        self.beside = np.zeros((len(inner) + 1, len(inner) + 1), bool)  # letters that are so in some piece
+        for s in merged:
+            self.beside[[letters[c] for c in s[:-1]], [letters[c] for c in s[1:]]] = True
         self.between = next(chr(c) for c in range(0xE000, 0xF900) if chr(c) not in letters)  # private use
         self.apart, self.coded = True, False
         self.size = np.array([len(b) for b in self.text_of], np.int64)
         self.reset()
 
     def reset(self):
-        self.units = Numbers()  # ``first`` has their first states, ``code`` their encodings
+        self.units = Numbers()  # ``first`` has their first choices, ``code`` their encodings
+        self.slot_key, self.slot_number = np.zeros((self.SLOTS, 3), np.uint64), np.full(self.SLOTS, -1, np.int32)
         self.n, self.n_states = 0, 1
         if not hasattr(self, "piece"):  # room is kept for the next units
             self.piece, self.goes = np.zeros(0, np.int32), np.zeros(0, np.int32)
@@ -128,40 +138,49 @@ class Automaton:
     def keep_used(self):
         """Makes room: units that were looked up again stay, up to half of all by their characters."""
         names = list(self.units)
-        sizes = np.array([len(u) for u in names])
+        sizes = np.fromiter(map(len, names), np.int64, len(names))
         kept = np.flatnonzero(self.used[:len(names)])
         kept = kept[np.cumsum(sizes[kept]) <= sizes.sum() // 2]
         stays = np.zeros(len(names) + 1, bool)  # the last is for the end, whose unit is -1
         stays[kept] = stays[-1] = True
+        unit = np.cumsum(stays[:-1], dtype=np.int32) - np.int32(1)
         stays = stays[self.unit_of[:self.n_states]]
-        states, number = np.flatnonzero(stays), np.cumsum(stays) - 1
-        choices, ends = spans(self.cuts[states], self.cuts[states + 1]), np.cumsum(self.cuts[states + 1] - self.cuts[states])
-        n, m = len(choices), len(kept)
+        sizes = np.diff(self.cuts[:self.n_states + 1])
+        choices, ends = np.repeat(stays, sizes), np.cumsum(sizes[stays])
+        n, m = int(ends[-1]), len(kept)
         for values in (self.piece, self.logp, self.upto):
-            values[:n] = values[choices]
-        self.goes[:n] = number[self.goes[choices]]
-        self.cuts[1:len(states) + 1] = ends
-        self.unit_of[:len(states)] = (np.cumsum(np.isin(np.arange(len(names)), kept)) - 1)[self.unit_of[states]]
-        self.unit_of[0] = -1
+            values[:n] = values[:self.n][choices]
+        place = np.cumsum(choices, dtype=np.int32) - np.int32(1)
+        goes = self.goes[:self.n][choices]
+        self.goes[:n] = np.where(goes < 0, np.int32(-1), place[goes])
+        self.cuts[1:len(ends) + 1] = ends
+        self.unit_of[1:len(ends)] = unit[self.unit_of[:self.n_states][stays][1:]]
         if self.coded:
             code = self.code[spans(self.code_cuts[kept], self.code_cuts[kept + 1])]
-            ends = np.cumsum(self.code_cuts[kept + 1] - self.code_cuts[kept])
-            self.code[:len(code)], self.code_cuts[1:m + 1] = code, ends
-        self.first[:m] = number[self.first[kept]]
+            code_ends = np.cumsum(self.code_cuts[kept + 1] - self.code_cuts[kept])
+            self.code[:len(code)], self.code_cuts[1:m + 1] = code, code_ends
+        self.first[:m] = place[self.first[kept]]
         self.units = Numbers(zip(map(names.__getitem__, kept.tolist()), range(m)))
         self.used[:] = False
-        self.n, self.n_states = n, len(states)
+        self.slot_number[:] = -1
+        self.n, self.n_states = n, len(ends)
 
     def numbers(self, parts: list[list[str]], processor=None) -> list[np.ndarray]:
         """Numbers of the units of each text, with their encodings where a processor is given; those of earlier calls may end."""
+        self.make_room(processor)
+        return self.entered(parts, processor)
+
+    def make_room(self, processor):
         if (processor is None) == self.coded:
             self.reset()
             self.coded = processor is not None
         elif self.n > self.CHOICES:
             self.keep_used()
+
+    def entered(self, parts: list[list[str]], processor) -> list[np.ndarray]:
         n, number = len(self.units), self.units.__getitem__
         found = [np.fromiter(map(number, p), np.int64, len(p)) for p in parts]
-        fresh = list(islice(self.units, n, None))
+        fresh = list(islice(reversed(self.units), len(self.units) - n))[::-1]
         if fresh:
             if self.coded:
                 code, sizes = self.codes(processor, fresh)
@@ -173,25 +192,69 @@ class Automaton:
             self.used[x[x < n]] = True
         return found
 
-    def states(self, texts: list[np.ndarray]) -> list[np.ndarray]:
-        """First states of the units of each text that is given as tokens."""
+    def numbers_of(self, units: pa.LargeStringArray, processor=None) -> np.ndarray:
+        """Numbers of units that differ; only those that aren't in their slots become strings."""
+        self.make_room(processor)
+        data, cuts = C.utf8(units)
+        sizes, starts = np.diff(cuts), cuts[:-1]
+        eights = np.ndarray((len(data) + 1,), np.dtype("<u8"), np.concatenate([data, np.zeros(32, np.uint8)]).data, strides=(1,))
+        key = np.empty((len(sizes), 3), np.uint64)
+        for k in range(3):
+            left = np.clip(sizes - 8 * k, 0, 8)
+            key[:, k] = eights[np.minimum(starts + 8 * k, len(data))] & BELOW[left]
+        key[:, 2] |= sizes.astype(np.uint64) << np.uint64(56)
+        slot = (C.mix(key[:, 0] ^ C.mix(key[:, 1] ^ C.mix(key[:, 2]))) & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        number, short = self.slot_number[slot].astype(np.int64), sizes < 24
+        known = (number >= 0) & short & (self.slot_key[slot] == key).all(1)
+        self.used[number[known]] = True
+        rest = np.flatnonzero(~known)
+        number[rest] = self.entered([units.take(pa.array(rest)).to_numpy(zero_copy_only=False).tolist()], processor)[0]
+        rest = rest[short[rest]]
+        self.slot_number[slot[rest]] = -1
+        self.slot_key[slot[rest]] = key[rest]
+        self.slot_number[slot[rest]] = number[rest]
+        return number
+
+    def columns(self, points: np.ndarray) -> np.ndarray:
+        """The columns of code points in ``child`` and ``beside``."""
+        return np.minimum(self.letter[points], self.n_inner)
+
+    def split(self, texts: list[str]) -> tuple[pa.LargeStringArray, list[np.ndarray]]:
+        """(units of texts, each once; the positions there of each text's units)."""
+        whole = "".join(texts)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        columns, ends = self.columns(points), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        begins = np.ones(len(points) + 1, bool)
+        begins[1:-1] = ~self.beside[columns[:-1], columns[1:]]
+        begins[ends] = True
+        starts = np.flatnonzero(begins)
+        upto = np.concatenate([[0], np.cumsum(utf8_sizes(points), dtype=np.int64)])[starts]
+        units = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(upto), pa.py_buffer(whole.encode())).dictionary_encode()
+        return units.dictionary, np.split(units.indices.to_numpy(), np.searchsorted(starts, ends[:-1]))
+
+    def firsts(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """First choices of the units of each text that is given as tokens."""
         text_of = self.text_of.__getitem__
-        parts = [self.unit.findall(b"".join(map(text_of, t.tolist())).decode("utf-8", "replace")) for t in texts]
-        return [self.first[x] for x in self.numbers(parts)]
+        units, found = self.split([b"".join(map(text_of, t.tolist())).decode("utf-8", "replace") for t in texts])
+        number = self.numbers_of(units)
+        first = self.first[number]
+        return [first[x] for x in found]
 
     def encode(self, processor, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """(encodings, first states of the units) of texts. As no piece crosses units, no merge does, so that a text's encoding
+        """(encodings, first choices of the units) of texts. As no piece crosses units, no merge does, so that a text's encoding
         is that of its units one after another; where the tokenizer's normaliser doesn't keep units apart, whole texts go to it."""
         if self.apart:
+            units, found = self.split([processor.normalize(t) for t in texts])
             try:
-                numbers = self.numbers([self.unit.findall(processor.normalize(t)) for t in texts], processor)
+                number = self.numbers_of(units, processor)
             except NotApart:
                 self.apart = False
                 self.reset()
             else:
-                return [self.code[spans(self.code_cuts[x], self.code_cuts[x + 1])] for x in numbers], [self.first[x] for x in numbers]
+                starts, ends, first = self.code_cuts[number], self.code_cuts[number + 1], self.first[number]
+                return [self.code[spans(starts[x], ends[x])] for x in found], [first[x] for x in found]
         coded = [np.array(processor.encode(t), np.int32) for t in texts]
-        return coded, self.states(coded)
+        return coded, self.firsts(coded)
 
     def codes(self, processor, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The tokenizer's pieces of units, and how many each has: many are encoded at once, with a character that is in no
@@ -200,9 +263,10 @@ class Automaton:
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
         ends = np.cumsum(lengths)
-        size = np.add.reduceat(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), ends - lengths)  # in UTF-8
+        size = np.add.reduceat(utf8_sizes(points), ends - lengths, dtype=np.int64)
         plain = points[ends - lengths] == ord(SPACE)  # beside each other as in a text
-        plain[1:] &= points[ends[:-1] - 1] != ord(SPACE)
+        last = points[ends[:-1] - 1]
+        plain[1:] &= (last != ord(SPACE)) & ~self.beside[self.columns(last), self.columns(points[(ends - lengths)[1:]])]
         plain[::256] = False
         texts, behind = [u if p else between + u for u, p in zip(units, plain.tolist())], size + np.where(plain, 0, gap)
         for at in range(0, len(units), 256):
@@ -217,7 +281,7 @@ class Automaton:
         return np.concatenate(found), np.concatenate(counts)
 
     def build(self, units: list[str], number: int) -> np.ndarray:
-        """The first states of new units, numbered from ``number``. States are numbered by what remains, so each round of the backward pass is a range of them."""
+        """The first choices of new units, numbered from ``number``. States are numbered by what remains, so each round of the backward pass is a range of them."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         ends = np.cumsum(sizes)
         points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
@@ -303,38 +367,43 @@ class Automaton:
             count = np.concatenate([count, np.ones(m, np.int64)])
             cuts = np.concatenate([cuts, cuts[-1] + 1 + np.arange(m)])
 
+        first = cuts[name[ends - sizes]] + self.n
+        goes = np.where(goes == 0, -1, cuts[np.maximum(goes - base, 0)] + self.n)
         self.piece, self.goes = grown(self.piece, self.n, piece), grown(self.goes, self.n, goes)
         self.logp, self.upto, self.cuts = grown(self.logp, self.n, logp), grown(self.upto, self.n, upto), grown(self.cuts, base + 1, cuts[1:] + self.n)
         self.unit_of = grown(self.unit_of, base, unit_of)
         self.n, self.n_states = self.n + len(piece), base + len(count)
-        return name[ends - sizes] + base
+        return first
 
     def state(self, choice: int) -> int:
         """The state that a choice is one of."""
         return int(np.searchsorted(self.cuts[:self.n_states + 1], choice, side="right")) - 1
 
-    def draw(self, states: np.ndarray, streams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(units' positions, choices) of one draw from each state to its end, in order of the units; each has its stream."""
-        sizes, rounds = np.zeros(len(states), np.int64), []
-        at = np.flatnonzero(states)
-        now = states[at]
+    def draw(self, firsts: np.ndarray, streams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(units' positions, choices) of one draw from each first choice to the end, in order of the units; each has its stream."""
+        sizes, rounds = np.zeros(len(firsts), np.int64), []
+        at = np.flatnonzero(firsts >= 0)
+        choice = firsts[at]
         while len(at):
-            choice, u = self.cuts[now], uniforms(streams[at], np.uint64(len(rounds)))
-            on = np.flatnonzero(u >= self.upto[choice])  # never where there is one choice
+            upto = self.upto[choice]
+            on = np.flatnonzero(upto < 2.0)  # where there is more than one choice
+            u, upto = uniforms(streams[at[on]], np.uint64(len(rounds))), upto[on]
             while len(on):
+                later = u >= upto
+                on, u = on[later], u[later]
                 next_choice = choice[on] + 1
                 choice[on] = next_choice
-                on = on[u[on] >= self.upto[next_choice]]
+                upto = self.upto[next_choice]
             rounds.append((at, choice))
             sizes[at] = len(rounds)
-            now = self.goes[choice]
-            more = np.flatnonzero(now)
-            at, now = at[more], now[more]
+            choice = self.goes[choice]
+            more = np.flatnonzero(choice >= 0)
+            at, choice = at[more], choice[more]
         ends = np.cumsum(sizes)
         out = np.empty(sizes.sum(), np.int64)
         for r, (at, choice) in enumerate(rounds):
             out[ends[at] - sizes[at] + r] = choice
-        return np.repeat(np.arange(len(states)), sizes), out
+        return np.repeat(np.arange(len(firsts)), sizes), out
 
 
 class Sample:
@@ -368,11 +437,11 @@ def below(value: float, z: float) -> float:
 
 def top_k(auto: Automaton, tokens: np.ndarray, k: int, key: int) -> tuple[list[tuple[float, float, np.ndarray]], float]:
     """([(value, log probability, pieces)], value of the (k+1)-th or -inf) of the text that tokens spell."""
-    return searches(auto, auto.states([tokens]), np.array([key], np.uint64), k)[0]
+    return searches(auto, auto.firsts([tokens]), np.array([key], np.uint64), k)[0]
 
 
 def searches(auto: Automaton, firsts: list[np.ndarray], keys: np.ndarray, k: int) -> list[tuple[list[tuple[float, float, np.ndarray]], float]]:
-    """``top_k`` of texts given by the first states of their units. Each text has its own queue and random numbers; all of them
+    """``top_k`` of texts given by the first choices of their units. Each text has its own queue and random numbers; all of them
     take a step together, so that NumPy draws and splits for all at once."""
     queues = [[(-g, 0, None)] for g in gumbels(np.zeros(len(keys)), uniforms(substreams(keys, 0), np.uint64(0))).tolist()]
     out, kappa, live, pushed = [[] for _ in firsts], [-math.inf] * len(firsts), range(len(firsts)), 0
@@ -393,28 +462,37 @@ def searches(auto: Automaton, firsts: list[np.ndarray], keys: np.ndarray, k: int
         for x, (value, _, _), a, b in zip(live, taken, starts.tolist(), ends.tolist()):
             np.cumsum(logp[a:b], out=before[a:b])
             out[x].append((-value, float(before[b - 1]) if b > a else 0.0, pieces[a:b]))
-        before -= logp
-        # Regions that follow a sample up to some step and take another choice there.
-        steps = np.arange(len(choices)) - np.repeat(starts, sizes)
-        split = np.flatnonzero((logp < 0) & (steps >= np.repeat([s.fixed for s in items], sizes)))
-        masses = before[split] + np.log(-np.expm1(logp[split]))
-        cuts = np.searchsorted(split, np.append(starts, len(choices))).tolist()
-        for item, start, a, b in zip(items, starts.tolist(), cuts, cuts[1:]):
-            if item.barred and b > a and split[a] == start + item.fixed:
-                c = int(item.choices[item.fixed])
-                state = auto.state(c)
-                lo = int(auto.cuts[state])
-                rest = [math.exp(v) for i, v in enumerate(auto.logp[lo:int(auto.cuts[state + 1])].tolist(), lo) if i != c and i not in item.barred]
-                masses[a] = before[split[a]] + (math.log(sum(rest)) if sum(rest) > 0 else -math.inf)
-        z = gumbels(masses, uniforms(np.repeat(substreams(keys[live], 3 * j + 1), np.diff(cuts)), steps[split].astype(np.uint64)))
-        need = k - j
+        # Regions that follow a sample up to some step and take another choice there. Their masses fall with the steps, so the
+        # ``need`` best are among the first; more steps are looked at where that isn't sure.
+        need, froms, width = k - j, starts + [s.fixed for s in items], np.full(len(items), STEPS)
+        while True:
+            tos = np.minimum(froms + width, ends)
+            split = spans(froms, tos)
+            split = split[logp[split] < 0]
+            masses = before[split] - logp[split] + np.log(-np.expm1(logp[split]))
+            cuts = np.append(np.searchsorted(split, froms), len(split)).tolist()
+            unsure = []
+            for x, (item, start, to, end, a, b) in enumerate(zip(items, froms.tolist(), tos.tolist(), ends.tolist(), cuts, cuts[1:])):
+                if item.barred and b > a and split[a] == start:
+                    c = int(item.choices[item.fixed])
+                    state = auto.state(c)
+                    lo = int(auto.cuts[state])
+                    rest = [math.exp(v) for i, v in enumerate(auto.logp[lo:int(auto.cuts[state + 1])].tolist(), lo) if i != c and i not in item.barred]
+                    masses[a] = before[start] - logp[start] + (math.log(sum(rest)) if sum(rest) > 0 else -math.inf)
+                if to < end and not (b - a >= need and before[to - 1] + APART < np.partition(masses[a:b], b - a - need)[b - a - need]):
+                    unsure.append(x)
+            if not unsure:
+                break
+            width[unsure] *= 8
+        steps = (split - np.repeat(starts, np.diff(cuts))).astype(np.uint64)
+        z = gumbels(masses, uniforms(np.repeat(substreams(keys[live], 3 * j + 1), np.diff(cuts)), steps))
         for x, (value, _, _), item, a, b in zip(live, taken, items, cuts, cuts[1:]):
             own = z[a:b]
             likely = np.argpartition(own, len(own) - need)[-need:] if need < len(own) else np.arange(len(own))
             for i in likely[np.argsort(-own[likely], kind="stable")].tolist():
                 v = below(-value, float(own[i]))
                 if v > -math.inf:
-                    t = int(steps[split[a + i]])
+                    t = int(steps[a + i])
                     barred = (item.barred if t == item.fixed else frozenset()) | {int(item.choices[t])}
                     pushed += 1
                     heapq.heappush(queues[x], (-v, pushed, (item, t, barred)))
@@ -479,11 +557,12 @@ def ids_digest(ids: np.ndarray) -> str:
     return hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest()
 
 
-def encoded_rows(shared, k: int, seed: int):
+def encoded_rows(shared, k: int, seed: int, choices: int = Automaton.CHOICES):
     """A function for mapInArrow over (doc_id, text): rank 0 is the tokenizer's encoding, 1 to k the samples. Every sequence is decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, auto = loaded(shared.value)
+        auto.CHOICES = choices
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             rows, ids_of, group, held = [], [], [], 0
@@ -523,13 +602,14 @@ NAMES = ["doc_id", "rank", "n_pieces", "log_p", "inclusion", "ids_sha256", "deco
 ENCODED = "doc_id long, rank int, n_pieces long, log_p double, inclusion double, ids_sha256 string, decodes boolean, ids array<int>"
 
 
-def encode(docs: DataFrame, k: int = 2, seed: int = 7, model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, k: int = 2, seed: int = 7, model: str = MODEL, choices: int = Automaton.CHOICES) -> DataFrame:
     """One row per document and rank with its ids: 0 the tokenizer's own encoding, 1 to k distinct sampled segmentations in order of their
-    perturbed value; ``decodes`` tells whether decoding the ids of the row gives the text back."""
+    perturbed value; ``decodes`` tells whether decoding the ids of the row gives the text back.
+    ``choices`` bounds what a worker keeps of units and changes no row."""
     spark = C.prepared(docs)
     with open(model, "rb") as f:  # a vocabulary file of the driver; its bytes go to the tasks
         shared = spark.sparkContext.broadcast(f.read())
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encoded_rows(shared, k, seed), ENCODED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encoded_rows(shared, k, seed, choices), ENCODED)
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:

@@ -275,6 +275,55 @@ def test_samples_do_not_depend_on_kept_units(tokenizer, monkeypatch):
     assert got[0] == got[1] == got[2]
 
 
+def test_units_are_cut_where_no_piece_crosses(tokenizer):
+    """A word is one unit whatever stands behind it, so that its lattice and encoding are made once."""
+    sp, _ = tokenizer
+    auto, texts = piece_sampling.Automaton(sp), ["to better, it", "better; better%%%", "better|"]
+    units, found = auto.split([sp.normalize(t) for t in texts])
+    assert ["".join(units.take(x.tolist()).to_pylist()) for x in found] == [sp.normalize(t) for t in texts]
+    auto.encode(sp, texts)
+    assert [u for u in auto.units if "better" in u] == ["\u2581better"]
+    pairs = {p[i:i + 2] for p in map(sp.id_to_piece, range(sp.get_piece_size())) if not p.startswith("<") for i in range(len(p) - 1)}
+    assert not any(a[-1] + b[0] in pairs for x in found for a, b in zip(units.take(x[:-1].tolist()).to_pylist(), units.take(x[1:].tolist()).to_pylist()))
+
+
+def test_known_units_are_found_without_strings(tokenizer, monkeypatch):
+    """Units of up to 23 bytes are found in their slots; others, and those whose slot another unit took, by the numbers of all. All give the same."""
+    sp, _ = tokenizer
+    texts, got = [r[1] for r in corpus() if r[1]] + ["a", "a\x00", "a\x00\x00", "ab" * 11, "ab" * 12, "ab" * 3000], []
+    for slots in (1 << 19, 1 << 4, 1):
+        monkeypatch.setattr(piece_sampling.Automaton, "SLOTS", slots)
+        auto, strings = piece_sampling.Automaton(sp), []
+        entered = auto.entered
+        auto.entered = lambda parts, processor: strings.append(sum(map(len, parts))) or entered(parts, processor)
+        rows = [auto.encode(sp, texts) for _ in range(2)]
+        assert all([x.tolist() for x in a] == [x.tolist() for x in b] for a, b in zip(*rows))
+        assert [x.tolist() for x in rows[0][0]] == [sp.encode(t) for t in texts]
+        assert slots == 1 or strings[1] < strings[0]
+        got.append([x.tolist() for x in rows[0][1]])
+    assert got[0] == got[1] == got[2]
+
+
+def test_regions_are_the_same_however_few_steps_are_looked_at(tokenizer, monkeypatch):
+    sp, auto = tokenizer
+    texts, got = [r[1] for r in corpus() if r[1]] + ["x" * 3000, "to be or not to be " * 200], []
+    keys = np.array([piece_sampling.generator(7, i, t) for i, t in enumerate(texts)], np.uint64)
+    for steps in (1, 20, 10**6):
+        monkeypatch.setattr(piece_sampling, "STEPS", steps)
+        got.append([([(v, p, x.tolist()) for v, p, x in out], kappa) for out, kappa in piece_sampling.searches(auto, auto.encode(sp, texts)[1], keys, 3)])
+    assert got[0] == got[1] == got[2]
+
+
+def test_rows_do_not_depend_on_how_much_is_kept():
+    import pyarrow as pa
+
+    with open(piece_sampling.MODEL, "rb") as f:
+        model = type("Model", (), {"value": f.read()})
+    docs = pa.table({"doc_id": [r[0] for r in corpus()], "text": [r[1] for r in corpus()]})
+    few, many = ([b.to_pylist() for b in piece_sampling.encoded_rows(model, 2, 7, n)(iter(docs.to_batches(16)))] for n in (300, 10**9))
+    assert few == many
+
+
 def test_ids_pass_to_the_tokenizer_and_back_as_arrays(tokenizer, monkeypatch):
     """Without lists of Python integers in between; each unit of a text is looked up once."""
     import pyarrow as pa
